@@ -96,6 +96,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
+# Classes for tokens with symbols: 0 white space and control, 1 word bytes of either case, 2 other symbols.
+TOKEN_KINDS = np.zeros(256, np.uint8)
+TOKEN_KINDS[0x21:] = 2
+TOKEN_KINDS[_WORD] = TOKEN_KINDS[0x41:0x5B] = 1
 _RNG = np.random.default_rng(20240131)
 _BYTE_CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -113,21 +117,20 @@ def powers(n: int) -> np.ndarray:
 
 
 class Words:
-    """The lower-cased words of some texts: where they start and end, whose they are, and their 64-bit hashes."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.lower = _LOWER[data]
-        mask = _WORD[self.lower]
-        before = np.empty_like(mask)
-        after = np.empty_like(mask)
-        if len(mask):
-            before[1:], after[:-1] = mask[:-1], mask[1:]
-            before[0] = after[-1] = False
-            edge = offsets[1:-1]
-            edge = edge[(edge > 0) & (edge < len(mask))]
-            before[edge] = after[edge - 1] = False
-        self.starts = np.flatnonzero(mask & ~before)
-        self.ends = np.flatnonzero(mask & ~after) + 1
+    """The words of some texts: where they start and end, whose they are, and their 64-bit hashes.
+
+    kinds gives each byte's class: a word is a run of bytes of one class over 0. fold lower-cases A-Z first.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = _WORD, fold: bool = True):
+        self.lower = _LOWER[data] if fold else data
+        kind = kinds[self.lower]
+        turn = np.ones(len(kind) + 1, bool)
+        np.not_equal(kind[1:], kind[:-1], out=turn[1:-1])
+        turn[offsets] = True
+        mask = kind > 0
+        self.starts = np.flatnonzero(mask & turn[:-1])
+        self.ends = np.flatnonzero(mask & turn[1:]) + 1
         self.row = np.searchsorted(offsets, self.starts, "right") - 1
         self.n = np.bincount(self.row, minlength=len(offsets) - 1) if len(offsets) > 1 else np.zeros(0, np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.n)])
@@ -179,3 +182,17 @@ def hot_lookup(rows: DataFrame, keyed: DataFrame, key: str, count: str, how: str
     near = rows.where(is_hot).join(F.broadcast(keyed.where(is_hot)), key, how)
     rest = rows.where(~is_hot | F.col(key).isNull()).join(keyed.where(~is_hot), key, how)
     return near.unionByName(rest)
+
+
+def labelled(spark: SparkSession, sf_dir: str, label: str, most: int) -> DataFrame:
+    """(doc_id, y) of at most `most` rows that may be learned from: crc32 of the id as text, modulo 5, is not 0.
+
+    The rows with the lowest hashes are taken, the same on each run; a null label or id teaches nothing.
+    """
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("double").alias("y")).dropna()
+    rows = rows.where(~held_out(F.col("doc_id")))
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
+
+
+def held_out(doc_id):
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, decontaminate, packed
+from . import bestfit, decontaminate, media, packed, quality, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every text."""
+    return toxicity.classify(spark, sf_dir, docs(spark, sf_dir)).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every text."""
+    return quality.classify(spark, sf_dir, docs(spark, sf_dir)).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op7_media_columns")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a medium, carved from a blob and read back."""
+    return media.text_media(docs(spark, sf_dir))
+
+
 @query("op8_packed_matrices")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Id matrices of 1024 columns of every text."""
