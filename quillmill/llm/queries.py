@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, decontaminate, media, packed, quality, toxicity
+from . import bestfit, decontaminate, media, packed, quality, substrings, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(spark, sf_dir, docs(spark, sf_dir)).select("doc_id", "held_out", "score", "predicted")
 
 
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the bytes of earlier documents' 50-byte strings."""
+    return substrings.remove_repeats(docs(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op6_quality")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every text."""
