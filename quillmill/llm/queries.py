@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, decontaminate, media, packed, quality, substrings, toxicity
+from . import bestfit, decontaminate, media, neardup, packed, pii, quality, substrings, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,18 @@ FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+@query("op1_near_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return neardup.classes(docs(spark, sf_dir))
+
+
+@query("op2_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text."""
+    return pii.find(docs(spark, sf_dir)).drop("redacted", "n_added")
+
+
 @query("op3_decontaminate", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 13 words against every text."""
