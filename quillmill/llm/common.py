@@ -184,6 +184,32 @@ def hot_lookup(rows: DataFrame, keyed: DataFrame, key: str, count: str, how: str
     return near.unionByName(rest)
 
 
+def bit_filter(keys: DataFrame, column: str, log_bits: int) -> np.ndarray:
+    """A set of 2**log_bits bits over the top bits of a column of 64-bit hashes, little end first in each byte; it comes to
+    the driver as rows of 4 KB whose number log_bits bounds."""
+    at = F.shiftrightunsigned(column, 64 - log_bits) + 1
+    parts = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(1 << (log_bits - 3), np.uint8)
+    for part, bits in parts.toLocalIterator():
+        out[(part - 1) * 4096 : part * 4096] = np.frombuffer(bits, np.uint8)[: len(out)]
+    return out
+
+
+def split_by_keys(rows: DataFrame, keyed: DataFrame, keys: list[str], log_bits: int = 24) -> tuple[DataFrame, DataFrame]:
+    """rows that may have their keys in keyed, and rows that certainly haven't: the latter needn't shuffle for a join.
+
+    A bit set of 2**log_bits hashed keys, built by Spark's bitmap aggregate, is broadcast as rows of 4 KB: 2 MB at most.
+    """
+    at = F.pmod(F.xxhash64(*keys), F.lit(1 << log_bits))
+    bits = keyed.select(at.alias("__qm_at")).groupBy(F.bitmap_bucket_number("__qm_at").alias("__qm_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__qm_at")).alias("__qm_bits"))
+    bits = materialize(bits, "bits")
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("__qm_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0, F.lit(False))
+    flagged = rows.withColumn("__qm_part", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "__qm_part", "left").withColumn("__qm_hit", hit).drop("__qm_part", "__qm_bits")
+    return flagged.where("__qm_hit").drop("__qm_hit"), flagged.where("not __qm_hit").drop("__qm_hit")
+
+
 def labelled(spark: SparkSession, sf_dir: str, label: str, most: int) -> DataFrame:
     """(doc_id, y) of at most `most` rows that may be learned from: crc32 of the id as text, modulo 5, is not 0.
 

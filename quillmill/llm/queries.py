@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, decontaminate, media, neardup, packed, pii, quality, substrings, toxicity
+from . import bestfit, decontaminate, lines, media, neardup, packed, pii, quality, substrings, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,36 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.pack_matrices(docs(spark, sf_dir))
 
 
+OP9_SQL = r"""
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+numbered AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS no FROM cut),
+worded AS (SELECT doc_id, no, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM numbered),
+used AS (SELECT doc_id, no, w, array_to_string(w, ' ') AS full_line FROM worded WHERE len(w) >= 8),
+firsts AS (SELECT full_line, min({'doc_id': doc_id, 'no': no}) AS pos, any_value(w) AS w FROM used GROUP BY full_line),
+gone AS (
+  SELECT full_line, pos, array_to_string(list_concat(list_slice(w, 1, i - 1), list_slice(w, i + 1, len(w))), ' ') AS v, i, len(w) AS n
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM firsts)),
+near AS (
+  SELECT a.pos FROM gone a JOIN (SELECT v, i, n, min(pos) AS pos FROM gone GROUP BY v, i, n) b ON a.v = b.v AND a.i = b.i AND a.n = b.n AND b.pos < a.pos
+  UNION SELECT l.pos FROM gone l JOIN firsts s ON l.v = s.full_line AND s.pos < l.pos
+  UNION SELECT s.pos FROM gone l JOIN firsts s ON l.v = s.full_line AND l.pos < s.pos),
+out AS (
+  SELECT doc_id, no, false AS near FROM used u JOIN firsts f ON u.full_line = f.full_line AND f.pos < {'doc_id': u.doc_id, 'no': u.no}
+  UNION ALL SELECT pos.doc_id, pos.no, true FROM near),
+left_over AS (SELECT n.doc_id, string_agg(line, chr(10) ORDER BY n.no) AS text FROM numbered n LEFT JOIN out o ON n.doc_id = o.doc_id AND n.no = o.no WHERE o.no IS NULL GROUP BY n.doc_id),
+sums AS (SELECT doc_id, count(DISTINCT no) AS n_removed, count(DISTINCT CASE WHEN near THEN no END) AS n_near FROM out GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(l.text, '') END AS text
+FROM documents d LEFT JOIN left_over l ON d.doc_id = l.doc_id LEFT JOIN sums s ON d.doc_id = s.doc_id
+"""
+
+
+@query("op9_line_dedup", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the lines that an earlier line repeats, up to one word."""
+    return lines.dedup_lines(docs(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "n_near", "text")
+
+
 @query("op10_best_fit")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in as few sequences of 1024 tokens as best fit finds."""
