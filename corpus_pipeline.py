@@ -1,24 +1,55 @@
-"""The training-data pipeline: five stages over documents, each written and reread."""
+"""The training-data pipeline: five stages over documents, each written as a table and reread by the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmill.llm import bestfit, common, decontaminate
+from quillmill.llm import bestfit, common, decontaminate, lines, neardup, quality
 
+#: A trained classifier is one of the stages, so no SQL says what run() returns.
 ORACLE_SQL = None
 
 
-def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
-    return found.where("not contaminated").select(docs.columns)
+def _same_columns(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select([F.col(f"`{c}`") for c in docs.columns])
 
 
-def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches 0.3."""
+    return _same_columns(quality.score(docs, quality.fit(spark, sf_dir, docs)).where("predicted = 1"), docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that an earlier line repeats; n_chars follows the text."""
+    found = lines.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return _same_columns(found, docs)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return _same_columns(neardup.keep_one(docs), docs)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark's windows do not contaminate."""
+    return _same_columns(decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark")).where("not contaminated"), docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 1024 tokens."""
     return bestfit.pack(docs)
 
 
-STAGES = [("benchmark decontamination", _decontaminate), ("best-fit packing", _pack)]
+STAGES = [
+    ("quality classifier", classify_quality),
+    ("line dedup", dedup_lines),
+    ("near-dedup", dedup_documents),
+    ("decontamination", decontaminate_benchmark),
+    ("packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
