@@ -195,6 +195,88 @@ def bit_filter(keys: DataFrame, column: str, log_bits: int) -> np.ndarray:
     return out
 
 
+def runs_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts of equal runs in it); the first key is the most significant."""
+    order = np.lexsort(keys[::-1])
+    if not len(order):
+        return order, order
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for k in keys:
+        s = k[order]
+        new[1:] |= s[1:] != s[:-1]
+    return order, np.flatnonzero(new)
+
+
+def repeated(src: DataFrame, hashes: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], log_p: int, log_bits: int) -> np.ndarray:
+    """A filter of 2**log_bits bits over the top bits of 64-bit hashes: set for each that two owners have (and, rarely, others).
+
+    hashes(part) gives evenly spread hashes and their owners' numbers. Tasks send each of their hashes once, as 32 bits to
+    one of 2**log_p buckets, with a mark for those that they have met twice; a bucket's size follows the number of tasks.
+    """
+    cut, low = np.uint64(64 - log_p), np.uint64(32 - log_p)
+
+    def emit(batches):
+        held, n = [], 0
+
+        def flush():
+            h, d = (np.concatenate(c) for c in zip(*held))
+            order, at = runs_of(h)
+            h, d = h[order], d[order]
+            many = np.maximum.reduceat(d, at) != np.minimum.reduceat(d, at)
+            h = h[at]
+            b = (h >> cut).astype(np.int64)
+            key = ((h >> low) & np.uint64(0xFFFFFFFF)).astype("<u4")
+            edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
+            keys = [key[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])]
+            twice = [key[i:j][many[i:j]].tobytes() for i, j in zip(edge[:-1], edge[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(b[edge[:-1]]), pa.array(keys, pa.binary()), pa.array(twice, pa.binary())], names=["bucket", "once", "twice"])
+
+        for batch in batches:
+            for part in by_bytes(batch, "text"):
+                held.append(hashes(part))
+                n += len(held[-1][0])
+                if n >= 2_000_000:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
+
+    own = 1 << (log_bits - log_p)
+
+    def shared(key, table):
+        once = np.sort(np.concatenate([np.frombuffer(b, "<u4") for b in table.column("once").to_pylist()]))
+        twice = [np.frombuffer(b, "<u4") for b in table.column("twice").to_pylist()]
+        hit = np.concatenate([once[1:][once[1:] == once[:-1]], *twice])
+        bits = np.zeros(own, bool)
+        bits[hit >> np.uint32(32 - (log_bits - log_p))] = True
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    found = src.mapInArrow(emit, "bucket bigint, once binary, twice binary").groupBy("bucket").applyInArrow(shared, "bucket bigint, bits binary")
+    return put_together(found, log_p, log_bits)
+
+
+def put_together(slices: DataFrame, log_p: int, log_bits: int) -> np.ndarray:
+    """The slices (bucket, bits) of one fixed-size filter, put together."""
+    out, own = np.zeros(1 << (log_bits - 3), np.uint8), 1 << (log_bits - log_p - 3)
+    for r in slices.toLocalIterator():
+        out[r[0] * own : (r[0] + 1) * own] = np.frombuffer(r[1], np.uint8)
+    return out
+
+
+def in_filter(bits: np.ndarray, hashes: np.ndarray, log_bits: int) -> np.ndarray:
+    """Which hashes a filter of repeated() has."""
+    i = (hashes >> np.uint64(64 - log_bits)).astype(np.int64)
+    return (bits[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 > 0
+
+
+def filter_size(src: DataFrame) -> tuple[int, int]:
+    """(log_p, log_bits) for repeated(): buckets and bits follow the number of tasks, the bits up to 32 MB."""
+    tasks = max(1, src.rdd.getNumPartitions())
+    log_p = max(6, (8 * tasks - 1).bit_length())
+    return log_p, max(log_p + 8, min(28, 21 + (tasks - 1).bit_length()))
+
+
 def split_by_keys(rows: DataFrame, keyed: DataFrame, keys: list[str], log_bits: int = 24) -> tuple[DataFrame, DataFrame]:
     """rows that may have their keys in keyed, and rows that certainly haven't: the latter needn't shuffle for a join.
 
