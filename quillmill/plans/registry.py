@@ -1,6 +1,41 @@
-"""Queries over the driver's tables and their DuckDB forms."""
+"""Queries over the driver's tables, with their DuckDB forms. Views that give a table another shape are written once, in
+SQL that both engines read: {documents} is a DataFrame here and the table's name there."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
+    return spark.sql(sql, **used)
+
+
+def duck(sql: str) -> str:
+    for t in TABLES:
+        sql = sql.replace("{" + t + "}", t)
+    return sql
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = duck(sql)
+        return f
+
+    return register
+
+
+from . import answers, corpus, logs, retrieval  # noqa: E402, F401
