@@ -22,6 +22,7 @@ def _ranked(fused: DataFrame, by: list[str], k: int) -> DataFrame:
 def rrf_fuse(legs: DataFrame, k: int = 60, top_k: int = 10, weights: Mapping[int, float] | None = None, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Sum of weight / (k + rank) over all appearances of a key; ties as first seen, leg by leg."""
     part = _weight(weights, F.lit(1.0)) / (k + F.col("rank"))
+    legs = legs.repartition(*by)  # once for all steps; and the branches of a union are not taken for one partitioning
     fused = legs.groupBy(*by, "key").agg(F.round(F.sum(part), 9).alias("score"), F.min(F.struct("leg", "rank")).alias("first"))
     return _ranked(fused, list(by), top_k)
 
@@ -32,6 +33,7 @@ def weighted_fuse(legs: DataFrame, weights: Mapping[int, float] | None = None, t
     Without weights each leg of the query has the same share.
     """
     w = Window.partitionBy(*by, "leg")
+    legs = legs.repartition(*by)
     s = F.coalesce("score", F.lit(0.0))
     low, span = F.min(s).over(w), F.max(s).over(w) - F.min(s).over(w)
     scaled = legs.withColumn("scaled", F.when(span > 0, (s - low) / span).otherwise(F.lit(1.0)))

@@ -39,6 +39,7 @@ def parse_request_log(raw: DataFrame) -> DataFrame:
 def stream_request_stats(stream: DataFrame, every: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Statistics by tumbling window; repeats of a request within the watermark count once, so state stays bounded. A batch
     gives what the stream ends with."""
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     once = stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["request_id"]) if stream.isStreaming else stream.dropDuplicates(["request_id"])
     return once.groupBy(F.window("ts", every)).agg(*_stats())
 
