@@ -22,8 +22,8 @@ def read_corpus_dir(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     kind = F.lower(F.regexp_extract("path", r"\.[^./]+$", 0))
-    text = F.decode("content", F.lit("UTF-8"))
-    ok = kind.isin(*EXTENSIONS) & F.is_valid_utf8(F.col("content").cast("string"))
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    ok = kind.isin(*EXTENSIONS) & text.isNotNull()
     page = html_to_text(text)
     is_html = kind.isin(".html", ".htm")
     df = raw.select(F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("source_file"), F.col("path").alias("source_path"), kind.alias("file_type"), F.col("modificationTime").alias("modified"), F.when(ok, text).alias("raw"), F.when(ok & is_html, page).alias("page"), F.when(~kind.isin(*EXTENSIONS), F.lit("unsupported type")).when(~ok, F.lit("not UTF-8")).alias("error"))
