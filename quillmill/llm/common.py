@@ -168,22 +168,6 @@ class Words:
         return b" ".join(self.lower[s:e].tobytes() for s, e in zip(self.starts[i : i + size], self.ends[i : i + size]))
 
 
-def hot_lookup(rows: DataFrame, keyed: DataFrame, key: str, count: str, how: str = "inner", hot_keys: int = 1000) -> DataFrame:
-    """rows joined with keyed (unique in key; `count` says how many rows have that key) without a hot task.
-
-    Keys with over 1/hot_keys of all rows are at most hot_keys in number: they are broadcast, and the others shuffle.
-    """
-    total = keyed.agg(F.sum(count)).first()[0] or 0
-    limit = max(total // hot_keys, 2000)
-    hot = [r[0] for r in keyed.where(F.col(count) > limit).select(key).collect()]
-    if not hot:
-        return rows.join(keyed, key, how)
-    is_hot = F.col(key).isin(hot)
-    near = rows.where(is_hot).join(F.broadcast(keyed.where(is_hot)), key, how)
-    rest = rows.where(~is_hot | F.col(key).isNull()).join(keyed.where(~is_hot), key, how)
-    return near.unionByName(rest)
-
-
 def bit_filter(keys: DataFrame, column: str, log_bits: int) -> np.ndarray:
     """A set of 2**log_bits bits over the top bits of a column of 64-bit hashes, little end first in each byte; it comes to
     the driver as rows of 4 KB whose number log_bits bounds."""
