@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bit_filter, by_bytes, materialize, mix, split_by_keys, text_bytes
+from .common import Words, bit_filter, by_bytes, materialize, mix, runs_of, split_by_keys, text_bytes
 
 _B = 0xD6E8FEB86659FD93
 _INVERSE = pow(_B, -1, 1 << 64)
@@ -156,7 +156,7 @@ def repeated_lines(src: DataFrame, least: int = 8, edits: int = 1) -> DataFrame:
     shared = _map(src, least, "key bigint, c bigint", halves).groupBy("key").agg((F.min("c") != F.max("c")).alias("two")).where("two").select("key")
     half = spark.sparkContext.broadcast(bit_filter(shared, "key", FILTER_BITS))
 
-    def candidates(x):
+    def candidates(part, x):
         place, key, tail = x.halves()
         hit = _hit(half.value, key)
         front, back = np.zeros(len(x.use), bool), np.zeros(len(x.use), bool)
@@ -164,21 +164,24 @@ def repeated_lines(src: DataFrame, least: int = 8, edits: int = 1) -> DataFrame:
         back[place[hit & tail]] = True
         c, _ = x.contents()
         i = np.flatnonzero(front | back)
-        _, first = np.unique(c[i], return_index=True)  # of equal lines in a step, the first (rows of a step need no order)
-        i = i[first]
+        # Of equal lines in a step, those of least (doc_id, line), whatever the order of its rows: rows that repeat a doc_id tie.
+        doc, line = np.asarray(part.column("doc_id"))[x.doc[x.use[i]]], x.number[x.use[i]]
+        order, at = runs_of(c[i], doc, line)
+        new = np.concatenate([[True], c[i][order[at[1:]]] != c[i][order[at[:-1]]]]) if len(at) else np.zeros(0, bool)
+        i = np.sort(i[order[np.repeat(new, np.diff(np.append(at, len(order))))]])
         q = (x.n[i] - 1) // 2
         return i, np.where(back[i], 0, q), np.where(front[i], x.n[i], x.n[i] - q)
 
     def variants(part, x):
         if len(x.use):
-            i, low, high = candidates(x)
+            i, low, high = candidates(part, x)
             if len(i):
                 place, key, role = x.variants(i, low, high)
                 return [pa.array(key.view(np.int64)), pa.array(role), *_ids(part, x, place)]
 
     def texts(part, x):
         if len(x.use):
-            i = candidates(x)[0]
+            i = candidates(part, x)[0]
             if len(i):
                 return [*_ids(part, x, i), pa.array([x.normal(p) for p in i.tolist()], pa.string())]
 

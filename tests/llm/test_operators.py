@@ -87,6 +87,17 @@ def test_lines(docs, none):
     assert lines.one_edit(list("abc"), list("abdc")) and not lines.one_edit(list("abc"), list("acb"))
 
 
+def test_lines_in_any_row_order(spark):
+    line, edited, other = "one line here with nine words in it all", "one line here with ten words in it all", "one line there with nine words in it all"
+    rows = [(5, line), (3, edited), (2, line), (2, line + "\n" + prose(11, 20)), (1, other)]
+    for given in (rows[:3], rows[2::-1], rows[1:], rows[:0:-1]):
+        got = sorted((r.doc_id, r.text, r.n_near) for r in lines.dedup_lines(spark.createDataFrame(given, "doc_id long, text string").coalesce(1)).collect())
+        if (1, other) in given:
+            assert got == [(1, other, 0), (2, "", 1), (2, prose(11, 20), 1), (3, "", 1)]
+        else:
+            assert got == [(2, line, 0), (3, "", 1), (5, "", 0)]
+
+
 def test_near_duplicates(docs, none):
     got = sorted((r.doc_id or -1, r.class_id) for r in neardup.classes(docs).collect())
     assert got == sorted([(1, 1), (2, 1), (2, 1), (3, 1), (-1, 1), (4, 4), (5, 4), (6, 6), (7, 7), (8, 8), (9, 9), (10, 10)])
