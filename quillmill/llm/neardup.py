@@ -75,14 +75,24 @@ class Shingles:
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
         at = np.flatnonzero(new)
-        self.row, self.gram = row[at], gram[at]
-        self.weight = weight[at] * np.diff(np.append(at, len(row)))
+        self.row, self.gram, self.many = row[at], gram[at], np.diff(np.append(at, len(row)))
+        self.weight = weight[at] * self.many
         self.words = w
 
     def keep(self, rows: np.ndarray) -> None:
         """Forget the shingles of the other rows."""
         k = rows[self.row]
-        self.row, self.gram, self.weight = self.row[k], self.gram[k], self.weight[k]
+        self.row, self.gram, self.weight, self.many = self.row[k], self.gram[k], self.weight[k], self.many[k]
+
+    def sample(self, unit: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, hash) of sampled occurrences. The i-th occurrence of a shingle in a text is an element of its own, so that
+        weighted Jaccard is that of sets of elements; each is taken by hash with a chance in proportion to its weight, a
+        sixteenth at the weight `unit`, and so alike in all texts."""
+        each = np.repeat(np.arange(len(self.row)), self.many)
+        nth = np.arange(len(each)) - np.repeat(np.cumsum(self.many) - self.many, self.many)
+        h = mix(self.gram[each] + nth.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        k = np.flatnonzero((h & np.uint64(0xFFFF)) < 4096 / unit * (self.weight / self.many)[each])
+        return self.row[each[k]], mix(h[k])
 
     def contents(self, n: int) -> list[bytes]:
         """A 128-bit digest of each text's word sequence."""
@@ -119,20 +129,23 @@ def signatures(s: Shingles, n: int, bands: int, rows: int, seed: int = 1) -> np.
     return out
 
 
-def may_match(s: Shingles, n: int, bits: np.ndarray, log_bits: int) -> np.ndarray:
-    """Which texts may have a near-duplicate: judged by their sampled shingles (a sixteenth, chosen by hash).
+def unit_weight(idf: np.ndarray) -> float:
+    """About the mean inverse document frequency of the words of all texts."""
+    share = np.where(idf < idf.max(), np.exp(-idf.astype(np.float64)), 0.0)
+    return float((idf * share).sum() / share.sum()) if share.any() else float(idf.max())
 
-    Of a text with a partner of similarity 0.8, four fifths of the shingles at least are met elsewhere. With 12 samples, none
-    met has a chance of 0.2**12 for it, with 24 samples, under two fifths one of 6 in a million. Shorter texts all pass.
-    """
-    k = np.flatnonzero(sampled(s.gram))
-    size = np.bincount(s.row[k], minlength=n)
-    met = np.bincount(s.row[k[in_filter(bits, mix(s.gram[k]), log_bits)]], minlength=n)
-    return ~((size >= 12) & (met == 0) | (size >= 24) & (met < 0.4 * size))
 
+def may_match(s: Shingles, n: int, bits: np.ndarray, log_bits: int, unit: float) -> np.ndarray:
+    """Which texts may have a near-duplicate: judged by their sampled occurrences of shingles.
 
-def sampled(gram: np.ndarray) -> np.ndarray:
-    return (gram & np.uint64(15)) == 0
+    Of a text with a partner of weighted similarity 0.8, four fifths of the weight at least is met elsewhere, and samples fall
+    in proportion to weight. With 12 samples, none met has a chance of 0.2**12 for it, with 24 samples, under two fifths one
+    of 6 in a million. Shorter texts all pass.
+    """
+    row, h = s.sample(unit)
+    size = np.bincount(row, minlength=n)
+    met = np.bincount(row[in_filter(bits, h, log_bits)], minlength=n)
+    return ~((size >= 12) & (met == 0) | (size >= 24) & (met < 0.4 * size))
 
 
 def _verify(pairs: DataFrame, cast, least: float) -> DataFrame:
@@ -180,11 +193,11 @@ class NearDuplicates:
         src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         cast = spark.sparkContext.broadcast(idf_table(src))  # 1 MB
 
+        unit = unit_weight(cast.value)
+
         def samples(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-            w = Words(*text_bytes(part.column("text")))
-            at, g = w.windows(w.hashes, SHINGLE)
-            k = np.flatnonzero(sampled(g))
-            return mix(g[k]), np.asarray(part.column("doc_id").to_numpy(zero_copy_only=False))[w.row[at[k]]]
+            row, h = Shingles(part.column("text"), cast.value).sample(unit)
+            return h, np.asarray(part.column("doc_id").to_numpy(zero_copy_only=False))[row]
 
         known = src.where("doc_id is not null")
         log_p, log_bits = filter_size(known)
@@ -192,7 +205,7 @@ class NearDuplicates:
 
         def sign(column: pa.Array) -> list:
             s, n = Shingles(column, cast.value), len(column)
-            ok = may_match(s, n, met.value, log_bits) & (s.words.n > 0)
+            ok = may_match(s, n, met.value, log_bits, unit) & (s.words.n > 0)
             total = np.bincount(s.row, s.weight, n)
             digest = s.contents(n)
             s.keep(ok)

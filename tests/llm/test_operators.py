@@ -112,6 +112,18 @@ def test_many_edits_of_one_text_are_one_class(spark):
     assert {r.class_id for r in got} == {0}
 
 
+def test_repeated_paragraphs_carry_the_weight(spark):
+    r = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join([passage] * 100 + [f"x{r.random()}".replace(".", "") for _ in range(500)])) for i in range(16)]
+    rows += [(100 + i, " ".join(f"y{i}n{k}" for k in range(600))) for i in range(8)]
+    for pair in range(0, 16, 2):
+        # Each pair has a passage of its own.
+        rows[pair], rows[pair + 1] = ((i, t.replace("p", f"q{pair}p")) for i, t in rows[pair : pair + 2])
+    got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 if i < 16 else i for i, _ in rows}
+
+
 def test_packing(docs, none):
     path = tokens.default_path()
     from tokenizers import Tokenizer
