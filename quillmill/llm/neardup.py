@@ -231,8 +231,8 @@ class NearDuplicates:
 
         Rounds of stars: the members of a bucket meet its leader, the one with most company over all its buckets, so that
         copies of one text need a link each and a text edited many times meets its edits. Each round has the next leader.
-        Buckets that still hold several components are then compared in full if they are small; larger ones, as texts with
-        a long common passage make, are divided by pairs of equal bands first, and what stays large meets its leader.
+        Buckets that still hold several components are then compared in full if they are small; the members of larger ones, as
+        texts with a long common passage make, are joined exactly by their rarest shingles.
         """
         degree = members.groupBy("content").agg(F.sum("n").alias("degree"))
         members = materialize(members.join(degree, "content").drop("n"), "ranked")
@@ -252,11 +252,7 @@ class NearDuplicates:
         left = self._open(left)
         self._test(self._all(left), texts, cast, least)
         large = self._open(left).where(F.col("size") > SMALL)
-        mine = large.groupBy("content", "weight", "degree").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-        two = mine.select("content", "weight", "degree", "keys", F.posexplode("keys").alias("i", "first"))
-        two = two.select("content", "weight", "degree", "first", F.explode(F.filter("keys", lambda k: k > F.col("first"))).alias("second"))
-        two = self._open(two.select("content", "weight", "degree", F.xxhash64("first", "second").alias("key")))
-        self._test(self._all(two).unionByName(self._stars(two.where(F.col("size") > SMALL), led.limit(0))[0]), texts, cast, least)
+        self._test(self._rare(large, texts, cast, least), texts, cast, least)
         return self._labels
 
     def _open(self, members: DataFrame) -> DataFrame:
@@ -284,6 +280,54 @@ class NearDuplicates:
         other = few.select("key", F.col("content").alias("other"), F.col("label").alias("other_label"), F.col("weight").alias("other_weight"))
         return self._paired(few.join(other, "key").where(F.col("content") < F.col("other")))
 
+    def _rare(self, members: DataFrame, texts: DataFrame, cast, least: float) -> DataFrame:
+        """Pairs of two components among all members that may be `least` alike; none that is gets lost.
+
+        Shingles have one order, the rarest among these texts first. What two texts share lies, in each, from their first common
+        shingle on. Weights being A <= B, they share least / (1 + least) * (A + B) or more, so at least 2 * least / (1 + least)
+        of A and `least` of B: that shingle stands before the rest of the lighter text weighs less than the former, and before
+        the rest of the heavier one weighs less than the latter. A passage of many texts stands last, so it makes no pairs.
+        """
+        spark = members.sparkSession
+        who = members.select("content", "label").distinct()
+        held = materialize(texts.join(who, "content").select("content", "label", "text"), "large")
+        cells = lambda gram: (gram >> np.uint64(64 - IDF_BITS)).astype(np.int64)
+
+        def count(batches):
+            for batch in batches:
+                for part in by_bytes(batch, "text"):
+                    cell, n = np.unique(cells(Shingles(part.column("text"), cast.value).gram), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
+
+        found = held.select("text").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        common = np.zeros(1 << IDF_BITS, np.int64)
+        common[np.asarray(found.column("cell"))] = np.asarray(found.column("n"))
+        ranks = spark.sparkContext.broadcast(common)  # 2 MB
+        light = 2 * least / (1 + least)
+
+        def prefixes(batches):
+            for batch in batches:
+                for part in by_bytes(batch, "text"):
+                    x = Shingles(part.column("text"), cast.value)
+                    order = np.lexsort((x.gram, ranks.value[cells(x.gram)], x.row))
+                    row, gram, weight = x.row[order], x.gram[order], x.weight[order]
+                    total = np.bincount(row, weight, part.num_rows)
+                    ends = np.cumsum(total)[row]
+                    rest = ends - np.concatenate([[0.0], np.cumsum(weight)[:-1]])
+                    k = np.flatnonzero(rest >= least * total[row] - 1e-3)
+                    mine = pa.array(row[k])
+                    out = [pa.array(gram[k].view(np.int64)), part.column("content").take(mine), part.column("label").take(mine), pa.array(total[row[k]]), pa.array(rest[k]), pa.array(rest[k] >= light * total[row[k]] - 1e-3)]
+                    yield pa.RecordBatch.from_arrays(out, names=["gram", "content", "label", "weight", "rest", "light"])
+
+        rows = materialize(held.mapInArrow(prefixes, "gram bigint, content binary, label binary, weight double, rest double, light boolean"), "prefixes")
+        several = rows.groupBy("gram").agg((F.min("label") != F.max("label")).alias("open"), F.max("light").alias("led")).where("open and led").select("gram")
+        rows = materialize(rows.join(several, "gram"), "open-prefixes")
+        other = rows.select("gram", *[F.col(c).alias(f"other_{c}") for c in ("content", "label", "weight", "rest")])
+        need = least / (1 + least) * (F.col("weight") + F.col("other_weight")) - 1e-2
+        fits = (F.col("weight") >= least * F.col("other_weight") - 1e-2) & (F.least("rest", "other_rest") >= need) & (F.col("weight") <= F.col("other_weight") + 1e-2)
+        pairs = rows.where("light").join(other, "gram").where((F.col("label") != F.col("other_label")) & fits)
+        return pairs.select(F.least("content", "other_content").alias("a"), F.greatest("content", "other_content").alias("b"))
+
     def _test(self, pairs: DataFrame, texts: DataFrame, cast, least: float) -> None:
         """Verify the pairs that are new, and let their links join components."""
         new = materialize(pairs.distinct().join(self._tested, ["a", "b"], "left_anti"), "pairs")

@@ -124,6 +124,14 @@ def test_repeated_paragraphs_carry_the_weight(spark):
     assert got == {i: i // 2 * 2 if i < 16 else i for i, _ in rows}
 
 
+def test_pairs_within_a_large_group_that_shares_a_passage(spark):
+    passage = " ".join(f"p{i}" for i in range(1000))
+    own = lambda i, n: " ".join(f"o{i}n{k}" for k in range(n))
+    rows = [(i, f"{passage} {own(i // 2, 6) if i < 120 else own(5000 + i, 6)} {own(1000 + i, 18)}") for i in range(400)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 if i < 120 else i for i, _ in rows}
+
+
 def test_packing(docs, none):
     path = tokens.default_path()
     from tokenizers import Tokenizer
