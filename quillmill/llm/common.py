@@ -168,17 +168,6 @@ class Words:
         return b" ".join(self.lower[s:e].tobytes() for s, e in zip(self.starts[i : i + size], self.ends[i : i + size]))
 
 
-def bit_filter(keys: DataFrame, column: str, log_bits: int) -> np.ndarray:
-    """A set of 2**log_bits bits over the top bits of a column of 64-bit hashes, little end first in each byte; it comes to
-    the driver as rows of 4 KB whose number log_bits bounds."""
-    at = F.shiftrightunsigned(column, 64 - log_bits) + 1
-    parts = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    out = np.zeros(1 << (log_bits - 3), np.uint8)
-    for part, bits in parts.toLocalIterator():
-        out[(part - 1) * 4096 : part * 4096] = np.frombuffer(bits, np.uint8)[: len(out)]
-    return out
-
-
 def runs_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, starts of equal runs in it); the first key is the most significant."""
     order = np.lexsort(keys[::-1])
@@ -192,10 +181,22 @@ def runs_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def repeated(src: DataFrame, hashes: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], log_p: int, log_bits: int) -> np.ndarray:
+def in_buckets(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Arrays that are in the order of their buckets as a row for each bucket, of bytes."""
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
+    cuts = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]])] + [pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary()) for x in columns.values()], names=["bucket", *columns])
+
+
+def unpacked(table: pa.Table, column: str, kind) -> np.ndarray:
+    """A column of in_buckets() as one array again."""
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+
+
+def repeated(src: DataFrame, hashes: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], log_p: int, log_bits: int, text: str | None = "text") -> np.ndarray:
     """A filter of 2**log_bits bits over the top bits of 64-bit hashes: set for each that two owners have (and, rarely, others).
 
-    hashes(part) gives evenly spread hashes and their owners' numbers. Tasks send each of their hashes once, as 32 bits to
+    hashes(part) gives evenly spread hashes and their owners' numbers; parts are cut by the bytes of the column text, if any. Tasks send each of their hashes once, as 32 bits to
     one of 2**log_p buckets, with a mark for those that they have met twice; a bucket's size follows the number of tasks.
     """
     cut, low = np.uint64(64 - log_p), np.uint64(32 - log_p)
@@ -217,7 +218,7 @@ def repeated(src: DataFrame, hashes: Callable[[pa.RecordBatch], tuple[np.ndarray
             return pa.RecordBatch.from_arrays([pa.array(b[edge[:-1]]), pa.array(keys, pa.binary()), pa.array(twice, pa.binary())], names=["bucket", "once", "twice"])
 
         for batch in batches:
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, text) if text else [batch]:
                 held.append(hashes(part))
                 n += len(held[-1][0])
                 if n >= 2_000_000:

@@ -95,15 +95,15 @@ OP9_SQL = r"""
 WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
 numbered AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS no FROM cut),
 worded AS (SELECT doc_id, no, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM numbered),
-used AS (SELECT doc_id, no, w, array_to_string(w, ' ') AS full_line FROM worded WHERE len(w) >= 8),
+used AS (SELECT doc_id, no, w, array_to_string(w, ' ') AS full_line FROM worded WHERE len(w) > 0),
 firsts AS (SELECT full_line, min({'doc_id': doc_id, 'no': no}) AS pos, any_value(w) AS w FROM used GROUP BY full_line),
 gone AS (
   SELECT full_line, pos, array_to_string(list_concat(list_slice(w, 1, i - 1), list_slice(w, i + 1, len(w))), ' ') AS v, i, len(w) AS n
-  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM firsts)),
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM firsts WHERE len(w) >= 8)),
 near AS (
   SELECT a.pos FROM gone a JOIN (SELECT v, i, n, min(pos) AS pos FROM gone GROUP BY v, i, n) b ON a.v = b.v AND a.i = b.i AND a.n = b.n AND b.pos < a.pos
-  UNION SELECT l.pos FROM gone l JOIN firsts s ON l.v = s.full_line AND s.pos < l.pos
-  UNION SELECT s.pos FROM gone l JOIN firsts s ON l.v = s.full_line AND l.pos < s.pos),
+  UNION SELECT l.pos FROM gone l JOIN firsts s ON l.v = s.full_line AND s.pos < l.pos AND len(s.w) >= 8
+  UNION SELECT s.pos FROM gone l JOIN firsts s ON l.v = s.full_line AND l.pos < s.pos AND len(s.w) >= 8),
 out AS (
   SELECT doc_id, no, false AS near FROM used u JOIN firsts f ON u.full_line = f.full_line AND f.pos < {'doc_id': u.doc_id, 'no': u.no}
   UNION ALL SELECT pos.doc_id, pos.no, true FROM near),

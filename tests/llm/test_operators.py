@@ -98,6 +98,37 @@ def test_lines_in_any_row_order(spark):
             assert got == [(2, line, 0), (3, "", 1), (5, "", 0)]
 
 
+def test_short_lines_and_lines_of_one_word_repeat_exactly(spark):
+    rows = [(2, "All rights reserved.\n---\n\n\u4e2d\u6587\u3002"), (1, "---\n\nall rights RESERVED\n\u4e2d\u6587\u3002\nyes"), (1, "all rights RESERVED"), (3, "yes\nno\nyes\nno")]
+    got = sorted((r.doc_id, r.text, r.n_removed, r.n_near) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, "---\n\n\u4e2d\u6587\u3002\nyes", 1, 0), (1, "all rights RESERVED", 0, 0), (2, "---\n", 2, 0), (3, "no", 3, 0)]
+
+
+def test_lines_against_brute_force(spark):
+    r = random.Random(9)
+    base = [[r.choice(WORDS[:30]) for _ in range(r.choice((3, 7, 8, 9, 12)))] for _ in range(25)]
+
+    def edited(words):
+        words = list(words)
+        for _ in range(r.choice((0, 0, 1, 1, 2))):
+            i = r.randrange(len(words) + 1)
+            kind = r.choice("idr")
+            words[i : i + (kind != "i")] = [] if kind == "d" else [r.choice(WORDS)]
+        return words
+
+    rows = [(i, "\n".join(" ".join(edited(r.choice(base))) for _ in range(r.randrange(6)))) for i in range(60)]
+    flat = [(i, k, t.split()) for i, text in rows for k, t in enumerate(text.split("\n")) if t.split()]
+    firsts = {}
+    for i, k, w in sorted(flat):
+        firsts.setdefault(tuple(w), (i, k))
+    near = {firsts[w] for w in firsts if len(w) >= 8 and any(len(o) >= 8 and firsts[o] < firsts[w] and lines.one_edit(list(o), list(w)) for o in firsts if o != w)}
+    equal = {(i, k) for i, k, w in flat if firsts[tuple(w)] < (i, k)}
+    want = {i: (len(text.split("\n")), sum((i, k) in near | equal for k in range(9)), sum((i, k) in near for k in range(9))) for i, text in rows}
+    r.shuffle(rows)
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_lines, x.n_removed, x.n_near) for x in got} == want and len(near) > 10
+
+
 def test_near_duplicates(docs, none):
     got = sorted((r.doc_id or -1, r.class_id) for r in neardup.classes(docs).collect())
     assert got == sorted([(1, 1), (2, 1), (2, 1), (3, 1), (-1, 1), (4, 4), (5, 4), (6, 6), (7, 7), (8, 8), (9, 9), (10, 10)])
