@@ -48,7 +48,7 @@ META_TIME = ["什么时候", "时间", "学期", "本学期", "这学年", "今
 META_SCOPE = [(COLLEGE, ["计算机学院", "软件学院", "计算机"]), (CAMPUS, ["屏峰", "朝晖", "莫干山"])]
 
 # Subjects that the corpus does not cover, in the order of their checks.
-OUT_OF_SCOPE = "研究生 硕士 博士 导师 转专业 辅修学位 辅修专业 毕业设计 毕业论文 开题 答辩 补考 重修 缓考 宿舍 住宿 后勤 社团 学生会 出国 留学 交换生".split()
+OUT_OF_SCOPE = ["研究生", "硕士", "博士", "导师", "转专业", "辅修学位", "辅修专业", "毕业设计", "毕业论文", "开题", "答辩", "补考", "重修", "缓考", "宿舍", "住宿", "后勤", "社团", "学生会", "出国", "留学", "交换生"]
 FALLBACK_ANSWER = "未在现行政策中找到依据，建议咨询教务处。"
 
 # Value patterns by type, in the order of their checks.
@@ -70,6 +70,7 @@ CONDITIONS = ["不及格", "挂科", "处分", "违纪", "贫困认定", "有效
 # Majors and fields of credit claims, negations, and the ends of sentences.
 MAJORS = "计算机科学与技术|软件工程|网络工程|数字媒体技术"
 FIELDS = "第二课堂|专业必修|专业选修|学科基础|通识|实践教学|辅修|毕业|总学分"
+GRADUATION, ALL_CREDITS = "毕业", "总学分"
 NEGATION = "(?:并非|不是|不需要|不必|无需|无须|不用|不得|不能|没有|未曾|未|不|无)$"
 SENTENCE_END = "[。；;！？!?\\n]"
 CLAUSE_END = r"[，,](?!\s*(?:均为|同为|都是|均需|各为))"

@@ -3,11 +3,10 @@ source_tags, is_table_question, negative_sample); cands are ranked rows with sou
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ground import matches_condition, matches_value
+from .ground import stated
 
 
 def validate_gold(gold: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -99,14 +98,11 @@ def compare_models(recall: DataFrame, models: tuple[str, str]) -> DataFrame:
 
 def score_answers(answers: DataFrame) -> DataFrame:
     """answers (query_id, answer, expected_values, expected_conditions) with how many of each the answer states."""
-    def counter(test):
-        @F.pandas_udf("int")
-        def run(a: pd.Series, e: pd.Series) -> pd.Series:
-            return pd.Series([sum(test(x, t or "") for x in (es if es is not None else [])) for t, es in zip(a, e)])
-
-        return run
-
-    return answers.withColumns({"values_hit": counter(matches_value)("answer", "expected_values"), "conditions_hit": counter(matches_condition)("answer", "expected_conditions")})
+    out = answers
+    for kind in ("value", "condition"):
+        hits = stated(answers, "query_id", f"expected_{kind}s", kind).withColumnRenamed("hits", f"{kind}s_hit")
+        out = out.join(hits, "query_id", "left").na.fill(0, [f"{kind}s_hit"])
+    return out
 
 
 def _rate(a: Column, b: Column) -> Column:
