@@ -21,16 +21,18 @@ PATTERNS = {
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-#: The forms that an added span may have.
+#: The forms that an added span may have: spaced or spelled signs, any separators, no country code.
 LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?@ ?[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+){3}"),
-    "card": re.compile(r"[0-9]([ .-]?[0-9])+"),
-    "phone": re.compile(r"[(+]?[0-9][ ().0-9-]+[0-9]"),
+    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?\. ?[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(?:(?:\.|\[\.\]| \. )[0-9]+){3}"),
+    "card": re.compile(r"[0-9](?:[ ./-]?[0-9])+"),
+    "phone": re.compile(r"(?=.*[0-9][ ().-]+[0-9])[(+]?[0-9][ ().0-9-]+[0-9]"),
 }
 _DIGIT = re.compile(r"[0-9]")
-#: A character without which no kind can be: windows lie around these.
-_TRIGGER = re.compile(r"[0-9@]")
+#: A run of digits of a card's length: what a card looks like before its checksum is known.
+_RUN = re.compile(r"(?<![0-9])[0-9]{12,19}(?![0-9])")
+#: What no kind can be without: windows lie around these.
+_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
 
 WIDTH, STRIDE = 48, 24
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
@@ -51,7 +53,7 @@ def valid(kind: str, text: str) -> bool:
     """The check that a match of a kind's pattern must pass."""
     digits = "".join(_DIGIT.findall(text))
     if kind == "ip":
-        return all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in text.split("."))
+        return all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in re.findall("[0-9]+", text))
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
     return kind != "phone" or 9 <= len(digits) <= 15
@@ -92,13 +94,14 @@ def encode(texts: list[str]) -> np.ndarray:
 def windows(text: str) -> list[int]:
     """Starts of the overlapping windows, STRIDE apart on one grid, that hold a trigger or lie next to one that does.
 
-    A window without digit and @ can hold no kind (each kind's check asks for one), so its decoding is known: outside.
+    A window far from triggers can hold no kind (each kind's check asks for one), so its decoding is known: outside.
     """
     cells: dict[int, None] = {}
+    last = len(text) // STRIDE
     for m in _TRIGGER.finditer(text):
         c = m.start() // STRIDE
-        cells[c] = cells[c - 1] = None
-    return [c * STRIDE for c in sorted(cells) if c >= 0] or ([0] if cells else [])
+        cells[c] = cells[max(c - 1, 0)] = cells[min(c + 1, last)] = None
+    return [c * STRIDE for c in sorted(cells)]
 
 
 def _sigmoid(x):
@@ -189,19 +192,20 @@ class Tagger:
         np.add.at(grads[0], x, dx)
         return float((z.sum() - score) / n), [g / n for g in grads]
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """The best tag path of each window (Viterbi)."""
-        em, _ = self.emissions(x)
+    def best_path(self, em: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The best tag path of each row (Viterbi) over its first lengths emissions."""
         n, steps, _ = em.shape
-        best, back = em[:, 0], np.zeros((n, steps, TAGS), np.int64)
+        best, back = em[:, 0].copy(), np.zeros((n, steps, TAGS), np.int8)
         for t in range(1, steps):
             s = best[:, :, None] + self.p[9]
             back[:, t] = s.argmax(1)
-            best = s.max(1) + em[:, t]
+            go = t < lengths
+            best[go] = s[go].max(1) + em[go, t]
         out = np.zeros((n, steps), np.int64)
-        out[:, -1] = best.argmax(1)
-        for t in range(steps - 1, 0, -1):
-            out[:, t - 1] = back[np.arange(n), t, out[:, t]]
+        rows, at = np.arange(n), best.argmax(1)
+        for t in range(steps - 1, -1, -1):
+            out[:, t] = at
+            at = np.where((t < lengths) & (t > 0), back[rows, t, at], at)
         return out
 
 
@@ -216,85 +220,157 @@ def tags_of(text: str, spans: list[tuple[int, int, str]], start: int) -> np.ndar
     return out
 
 
-def varied(text: str, tags: list[int]) -> list[tuple[str, list[int]]]:
-    """Looser writings of a labelled window's spans: a phone without its country code, an email with spaces at its @."""
-    out, phone = [], 1 + 2 * KINDS.index("phone")
-    if phone in tags and text[(a := tags.index(phone)) :].startswith("+") and 0 < (b := text.find("(", a)) - a < 6:
-        out.append((text[:a] + text[b:], (tags[:a] + [phone] + tags[b + 1 :] + [0] * (b - a))[:WIDTH]))
-    if 0 < (a := text.find("@")) and tags[a] == 2:
-        out.append(((text[:a] + " @ " + text[a + 1 :])[:WIDTH], (tags[:a] + [2, 2] + tags[a:])[:WIDTH]))
-    return out
-
-
-def train(rows: list[tuple[str, list[int]]], steps: int = 160, batch: int = 64) -> Tagger:
-    """Adam on the CRF loss over labelled windows (text, tags); a fixed seed, so the same rows give the same tagger."""
+def shapes(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """What the tagger learns to see: the base spans, and digit runs of a card's length whatever their checksum, which the
+    check of added spans settles."""
+    return base + [(m.start(), m.end(), "card") for m in _RUN.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in base)]
+
+
+def _word(r: np.random.Generator) -> str:
+    return "".join(map(chr, r.integers(97, 123, int(r.integers(2, 9)))))
+
+
+def varied(text: str, tags: list[int], r: np.random.Generator) -> tuple[str, list[int]]:
+    """A looser writing of a labelled window: the signs of each whole span spaced, spelled or dropped, digits put before."""
+    out, marks, at = [], [], 0
+    while at < len(text):
+        tag, end = tags[at], at + 1
+        if tag % 2 == 0:
+            out.append(text[at])
+            marks.append(tag)
+            at = end
+            continue
+        while end < len(text) and tags[end] == tag + 1:
+            end += 1
+        span, kind, ahead = text[at:end], KINDS[tag // 2], ""
+        if kind == "email" and "@" in span:
+            name, _, host = span.partition("@")
+            if r.random() < 0.7:
+                name = str(r.choice(["", ".", "_"])).join(_word(r) for _ in range(int(r.integers(1, 3))))
+                host = ".".join(_word(r) for _ in range(int(r.integers(2, 4))))
+            span = name + str(r.choice(["@", " @ ", "(at)", " (at) ", "[at]", " [at] "])) + host
+        elif kind == "ip":
+            span = span.replace(".", str(r.choice(["[.]", " . "])))
+        elif kind == "phone":
+            digits = _DIGIT.findall(span)
+            form = int(r.integers(4))
+            tail = "".join(digits[-10:])
+            span = [span.lstrip("+"), f"({tail[:-7]}) {tail[-7:-4]}-{tail[-4:]}", f"{tail[:-7]}-{tail[-7:-4]}-{tail[-4:]}", f"{tail[:-7]}.{tail[-7:-4]}.{tail[-4:]}"][form]
+        elif kind == "card" and len(span) == 16:
+            groups = [span[k : k + 4] for k in range(0, 16, 4)]
+            if r.random() < 0.5:
+                span = str(r.choice([".", "/"])).join(groups)
+            else:
+                ahead = "".join(map(str, r.integers(0, 10, int(r.integers(1, 9))))) + " "
+        out.append(ahead + span)
+        marks += [0] * len(ahead) + [tag] + [tag + 1] * (len(span) - 1)
+        at = end
+    marks = marks[:WIDTH]
+    return "".join(out)[:WIDTH], marks + [0] * (WIDTH - len(marks))
+
+
+def train(rows: list[tuple[str, list[int]]], steps: int = 400, batch: int = 64) -> Tagger:
+    """Adam on the CRF loss over labelled windows (text, tags), each also in a looser writing; a fixed seed, so the same rows
+    give the same tagger."""
     model, r = Tagger.new(), np.random.default_rng(11)
     if not rows:
         return model
-    rows = rows + [v for t, y in rows for v in varied(t, y)]
+    rows = rows + [varied(t, y, r) for t, y in rows for _ in range(3) if any(y)]
     x, y = encode([t for t, _ in rows]), np.array([y for _, y in rows])
     m, v = [np.zeros_like(q) for q in model.p], [np.zeros_like(q) for q in model.p]
     for t in range(1, steps + 1):
         i = r.integers(0, len(rows), batch)
         _, grads = model.gradients(x[i], y[i])
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
+        rate = 0.02 * min(1, 2 * (steps - t + 1) / steps)
         for k, g in enumerate(grads):
             g = g * min(1, 5 / (norm + 1e-9))
             m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
-            model.p[k] -= 0.02 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+            model.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
     return model
 
 
-def added_spans(texts: list[str], base: list[list[tuple[int, int, str]]], model: Tagger, block: int = 512) -> list[list[tuple[int, int, str]]]:
-    """The spans that the tagger finds and the base patterns don't, reconciled over each whole text.
+_DEPTH = np.minimum(np.arange(WIDTH), np.arange(WIDTH)[::-1]) + 1.0
 
-    Where windows overlap, a character takes its tag from the window in which it lies deepest. Runs of one kind become
-    spans; those that fail their kind's check or touch a base span are left out.
-    """
+
+def _paths(texts: list[str], model: Tagger, block: int = 512):
+    """(text number, start, tags) of each stretch of overlapping windows, reconciled: where windows overlap, their emissions are
+    averaged by how deep the character lies in each, and one path is decoded over the whole stretch."""
     where = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
-    tags: dict[int, dict[int, tuple[int, int]]] = {}
-    for lo in range(0, len(where), block):
-        part = where[lo : lo + block]
-        got = model.decode(encode([texts[i][s : s + WIDTH] for i, s in part]))
-        for (i, s), row in zip(part, got):
-            own = tags.setdefault(i, {})
-            for j in range(min(WIDTH, len(texts[i]) - s)):
-                depth = min(j, WIDTH - 1 - j)
-                if depth > own.get(s + j, (-1, 0))[0]:
-                    own[s + j] = (depth, int(row[j]))
+    em = [model.emissions(encode([texts[i][s : s + WIDTH] for i, s in where[lo : lo + block]]))[0] for lo in range(0, len(where), block)]
+    em = np.concatenate(em) if em else np.zeros((0, WIDTH, TAGS))
+    first = [k for k, (i, s) in enumerate(where) if not k or where[k - 1][0] != i or s - where[k - 1][1] > STRIDE]
+    spans = []
+    for a, b in zip(first, first[1:] + [len(where)]):
+        i, start = where[a]
+        spans.append((min(where[b - 1][1] + WIDTH, len(texts[i])) - start, i, start, a, b))
+    spans.sort()
+    lo = 0
+    while lo < len(spans):
+        hi = lo + 1
+        while hi < len(spans) and hi - lo < block and (hi - lo + 1) * spans[hi][0] < 200_000:
+            hi += 1
+        part, lo = spans[lo:hi], hi
+        steps = part[-1][0]
+        total = np.zeros((len(part), steps + WIDTH, TAGS))
+        weight = np.zeros((len(part), steps + WIDTH, 1))
+        for k, (_, _, start, a, b) in enumerate(part):
+            for w in range(a, b):
+                at = where[w][1] - start
+                total[k, at : at + WIDTH] += em[w] * _DEPTH[:, None]
+                weight[k, at : at + WIDTH, 0] += _DEPTH
+        lengths = np.array([x[0] for x in part])
+        tags = model.best_path((total / np.maximum(weight, 1))[:, :steps], lengths)
+        for (n, i, start, _, _), row in zip(part, tags):
+            yield i, start, row[:n]
+
+
+def added_spans(texts: list[str], base: list[list[tuple[int, int, str]]], model: Tagger) -> list[list[tuple[int, int, str]]]:
+    """The spans that the tagger finds and the base patterns don't: those of a form and check of their kind that start and end
+    with a word and touch no base span."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for i, own in tags.items():
-        runs: list[list[int]] = []
-        for at in sorted(own):
-            tag = own[at][1]
-            if tag:
-                if tag % 2 == 0 and runs and runs[-1][1] == at and runs[-1][2] == (tag - 1) // 2:
-                    runs[-1][1] = at + 1
-                else:
-                    runs.append([at, at + 1, (tag - 1) // 2])
-        for a, b, k in runs:
-            s = texts[i][a:b]
-            if LOOSE[KINDS[k]].fullmatch(s) and valid(KINDS[k], s) and not any(a < y and x < b for x, y, _ in base[i]):
-                out[i].append((a, b, KINDS[k]))
-    return out
-
-
-def _labelled_windows(docs: DataFrame, most: int) -> list[tuple[str, list[int]]]:
-    """At most `most` windows with the tags of their base spans, those of lowest hash over all documents."""
+    for i, start, tags in _paths(texts, model):
+        t = texts[i]
+        begins = np.flatnonzero((tags > 0) & ((tags % 2 == 1) | (np.append(0, tags[:-1]) < tags - 1) | (np.append(0, tags[:-1]) > tags)))
+        for a in begins.tolist():
+            k, b = (int(tags[a]) - 1) // 2, a + 1
+            while b < len(tags) and tags[b] == 2 * k + 2:
+                b += 1
+            x, y = start + a, start + b
+            s = t[x:y]
+            whole = not (x and t[x - 1].isalnum() and s[0].isalnum()) and not (y < len(t) and t[y].isalnum() and s[-1].isalnum())
+            if whole and LOOSE[KINDS[k]].fullmatch(s) and valid(KINDS[k], s) and not any(x < q and p < y for p, q, _ in base[i]):
+                out[i].append((x, y, KINDS[k]))
+    return [sorted(o) for o in out]
+
+
+def labelled_windows(docs: DataFrame, slots: int) -> list[tuple[str, list[int]]]:
+    """At most `slots` distinct windows of each kind and of none with their tags, over all documents.
+
+    A window's hash deals it to a slot of its kind, and the window of least hash stays: equal windows count once, rare kinds
+    have as many slots as frequent ones, and a task sends no more than the slots. The driver gets 5 * slots rows at most.
+    """
 
     def cut(batches):
+        held: dict[tuple[int, int], tuple[int, str, bytes]] = {}
         for batch in batches:
-            texts, tags, keys = [], [], []
             for t in batch.column("text").to_pylist():
-                if (at := windows(t)) and (spans := base_spans(t)) is not None:
-                    for s in at:
-                        texts.append(t[s : s + WIDTH])
-                        tags.append(tags_of(t, spans, s).tolist())
-                        keys.append(int.from_bytes(hashlib.blake2b(texts[-1].encode("utf-8", "replace"), digest_size=7).digest(), "big"))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string()), pa.array(tags, pa.list_(pa.int64()))], names=["key", "text", "tags"])
-
-    found = docs.mapInArrow(cut, "key bigint, text string, tags array<bigint>").orderBy("key", "text", "tags").limit(most)
-    return [(r[1], r[2]) for r in found.collect()]
+                at = windows(t)
+                spans = shapes(t, base_spans(t)) if at else []
+                for s in at:
+                    w = t[s : s + WIDTH]
+                    h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=7).digest(), "big")
+                    near = [x for x in spans if x[1] > s and x[0] < s + WIDTH]
+                    key = (1 + KINDS.index(near[h % len(near)][2]) if near else 0, h % slots)
+                    if key not in held or h < held[key][0]:
+                        held[key] = (h, w, tags_of(t, near, s).astype(np.uint8).tobytes())
+        rows = [(k, slot, *v) for (k, slot), v in held.items()]
+        cols = list(zip(*rows)) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary()))], names=["kind", "slot", "key", "text", "tags"])
+
+    found = docs.mapInArrow(cut, "kind int, slot int, key bigint, text string, tags binary")
+    found = found.groupBy("kind", "slot").agg(F.min(F.struct("key", "text", "tags")).alias("w")).select("w.*")
+    return [(r["text"], list(r["tags"])) for r in sorted(found.collect(), key=lambda r: (r["key"], r["text"]))]
 
 
 def _join(spans: list[tuple[int, int, str]]) -> str:
@@ -304,15 +380,15 @@ def _join(spans: list[tuple[int, int, str]]) -> str:
 FIELDS = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint, redacted string"
 
 
-def find(docs: DataFrame, most: int = 3000) -> DataFrame:
+def find(docs: DataFrame, slots: int = 600) -> DataFrame:
     """Per document: counts and digest of the base spans, all spans, how many the tagger added, and the redacted text.
 
-    The tagger learns from at most `most` windows around digits and @ with their base spans as labels, and reads every
-    such window of every whole text. Null and empty texts have no spans. Repeated rows give a row each; an empty table
-    gives none; extra columns are ignored.
+    The tagger learns from at most 5 * `slots` windows around digits and @ with their base spans as labels, as they are and in
+    looser writings, and reads every such window of every whole text. Null and empty texts have no spans. Repeated rows give
+    a row each; an empty table gives none; extra columns are ignored.
     """
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cast = docs.sparkSession.sparkContext.broadcast(train(_labelled_windows(src, most)))  # a few thousand weights
+    cast = docs.sparkSession.sparkContext.broadcast(train(labelled_windows(src, slots)))  # a few thousand weights
 
     def run(batches):
         for batch in batches:

@@ -238,6 +238,52 @@ def test_pii(spark, none):
     assert pii.find(none).count() == 0
 
 
+LOOSE = [
+    ("mail {} today", "jane.doe @ mail.example.org", "email"), ("write to {} please", "bob(at)site.example.com", "email"), ("call {} now", "(020) 7946 0958", "phone"),
+    ("call {} or", "974-555-3436", "phone"), ("pay {} soon", "4111.1111.1111.1111", "card"), ("see 7536784127813051 {} there", "4845168114407329", "card"), ("host {} is", "97[.]51[.]17[.]173", "ip"),
+]
+
+
+def test_tagger_adds_loose_forms_and_nothing_else(spark):
+    """Learning from a corpus's own base matches, the tagger finds most loose writings; plain numbers and words stay clean."""
+    corpus = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    filler = "und hewh that onereer " * 40
+    planted = [(10**6 + i, filler + form.format(x) + " " + filler) for i, (form, x, _) in enumerate(LOOSE)]
+    clean = [(2 * 10**6 + i, f"{filler} in {1990 + i} some {i} of {i * 731} and the 7536784127813051 {filler}") for i in range(20)]
+    extra = [(3 * 10**6, None), (3 * 10**6 + 1, ""), (3 * 10**6 + 2, "12 " * 20_000 + "call 974-555-3436 or")]
+    rows = spark.createDataFrame(planted + clean + extra + planted[:1], "doc_id long, text string")
+    found = pii.find(corpus.unionByName(rows)).where("doc_id >= 1000000").collect()
+    assert len(found) == len(planted) + len(clean) + len(extra) + 1
+    by_id = {r.doc_id: r for r in found}
+    hits = sum(by_id[i].spans == f"{k}:{t.index(x)}:{t.index(x) + len(x)}" for (i, t), (_, x, k) in zip(planted, LOOSE))
+    assert hits >= len(LOOSE) - 1
+    assert not any(by_id[i].spans for i, _ in clean + extra[:2])
+    assert {r.spans for r in found if r.doc_id == 10**6} == {by_id[10**6].spans}
+
+
+def test_windows_are_reconciled_as_one_path(spark):
+    import numpy as np
+
+    m = pii.Tagger.new()
+    texts = ["a1b2 " * 30, "no trigger", "x@y " + "z" * 90 + " 5"]
+    seen = {(i, start): tags for i, start, tags in pii._paths(texts, m)}
+    for (i, start), tags in seen.items():
+        starts = [s for s in pii.windows(texts[i]) if start <= s < start + len(tags)]
+        total, weight = np.zeros((len(tags) + pii.WIDTH, pii.TAGS)), np.zeros((len(tags) + pii.WIDTH, 1))
+        for s in starts:
+            total[s - start : s - start + pii.WIDTH] += m.emissions(pii.encode([texts[i][s : s + pii.WIDTH]]))[0][0] * pii._DEPTH[:, None]
+            weight[s - start : s - start + pii.WIDTH, 0] += pii._DEPTH
+        em = (total / np.maximum(weight, 1))[: len(tags)]
+        score = lambda path: em[range(len(path)), path].sum() + m.p[9][path[:-1], path[1:]].sum()  # noqa: E731, B023
+        best = score(tags)
+        r = np.random.default_rng(0)
+        for _ in range(300):
+            other = tags.copy()
+            other[r.integers(0, len(tags), 2)] = r.integers(0, pii.TAGS, 2)
+            assert score(other) <= best + 1e-9
+    assert len(seen) >= 2 and not any(i == 1 for i, _ in seen)
+
+
 def test_tagger_gradient():
     import numpy as np
 
