@@ -55,6 +55,44 @@ def test_substrings(docs, none):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_longest_previous_factors():
+    import numpy as np
+
+    r = random.Random(4)
+    for size in (3, 9):
+        for _ in range(60):
+            text = bytes(r.choice(b"ab") for _ in range(60))
+            at = sorted(range(len(text) - size - 8), key=lambda i: (text[i : i + size], r.random()))
+            value = np.array([r.randrange(6) for _ in at])
+            word = np.ndarray((len(text) - 7,), ">u8", np.frombuffer(text, np.uint8), strides=(1,))
+            same = lambda a, b: next((k for k in range(size) if text[a + k] != text[b + k]), size)  # noqa: E731, B023
+            lcp = substrings.common_prefixes(word, np.array(at), size)
+            assert lcp.tolist() == [0] + [same(a, b) for a, b in zip(at, at[1:])]
+            for least in (1, size):
+                longest, source = substrings.longest_previous(value, lcp, least)
+                for i, a in enumerate(at):
+                    want = max([same(a, b) for j, b in enumerate(at) if value[j] < value[i]], default=0)
+                    assert longest[i] == want if want >= least else longest[i] < least
+                    assert want < least or source[i] < value[i]
+
+
+def test_substrings_of_periodic_texts(spark):
+    """Few letters, repeated ids and rows in no order: every window has many contexts."""
+    r = random.Random(8)
+    unit = ["".join(r.choice("ab ") for _ in range(n)) for n in (3, 20, 70)]
+    texts = [(r.randrange(30), "".join(r.choice(unit) for _ in range(r.randrange(1, 12))) * r.randrange(1, 3)) for _ in range(50)]
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans) for x in substrings.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    want = []
+    for i, t in texts:
+        earlier = {u[p : p + 50] for j, u in texts if j < i for p in range(len(u) - 49)}
+        hit = [False] * len(t)
+        for p in range(len(t) - 49):
+            if t[p : p + 50] in earlier:
+                hit[p : p + 50] = [True] * 50
+        want.append((i, len(t), sum(hit), sum(h and not (k and hit[k - 1]) for k, h in enumerate(hit))))
+    assert got == sorted(want) and sum(w[2] for w in want)
+
+
 def test_decontaminate(spark, docs, none):
     bench = spark.createDataFrame([(1, " ".join(BASE.split()[5:25])), (2, "W3"), (3, None), (None, BASE), (1, " ".join(BASE.split()[5:25]))], "item_id long, text string")
     for rows in (400_000, 3):  # one block, and several passes
