@@ -72,8 +72,9 @@ def pack_matrices(docs: DataFrame, size: int = 1024, path: str | None = None, po
     lengths from 0, the positions at which position ids restart, and each segment's document, piece, start and checksum.
 
     Each task packs its own rows in pools of about pool_tokens tokens, so nothing is shuffled and memory stays bounded;
-    a pool wastes at most part of its last sequences. Overlong documents are cut into pieces of size tokens after a shorter
-    first one; pieces and starts put them together again. width 2 holds ids below 65,536, as the default file's are.
+    a pool wastes at most part of its last sequences, and which texts share a sequence follows how the input is split. Overlong documents are cut into pieces of size tokens after a shorter
+    first one; pieces and starts put them together again. width 2 holds ids below 65,536, as
+    the default file's are; an id that doesn't fit raises ValueError, none is cut.
 
     Null or empty text: one segment with the end id alone. Repeated rows are packed as often as they occur. An empty table
     gives no rows. Extra columns are ignored.
@@ -98,6 +99,8 @@ def pack_matrices(docs: DataFrame, size: int = 1024, path: str | None = None, po
                 for d, t, p in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("pool").to_pylist()):
                     pool = p
                     got = ids(enc, t)
+                    if len(got) and int(got.max()) >> (8 * width):
+                        raise ValueError(f"id {int(got.max())} needs more than {width} bytes")
                     rows += [(d, k, s, got[s : s + n]) for k, (s, n) in enumerate(pieces(len(got), size))]
                     held += len(got)
                 if held >= pool_tokens:

@@ -143,7 +143,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     cast = docs.sparkSession.sparkContext.broadcast(model)  # a few MB whatever the corpus
 
     def fn(column: pa.Array) -> list:
-        s = cast.value.scores(column)
+        s = np.round(cast.value.scores(column), 9)  # sums over other neighbours differ in their last digits
         return [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
 
     return with_rows(docs, fn, [("score", "double"), ("predicted", "int")])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, by_bytes, held_out, labelled, table, text_bytes, with_rows
+from .common import Words, by_bytes, held_out, labelled, mix, table, text_bytes, with_rows
 
 # Insults of common use, each a voter.
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb fool jerk imbecile garbage vermin filth coward liar freak ugly hate shut kill die".split()
@@ -151,10 +151,12 @@ class Model:
     weights: np.ndarray
     bias: float
 
+    def votes(self, data: np.ndarray, offsets: np.ndarray, w: Words) -> np.ndarray:
+        return np.hstack([self.lexicon.presence(w, len(offsets) - 1), patterns(data, offsets, w)])
+
     def inputs(self, column: pa.Array) -> np.ndarray:
         data, offsets = text_bytes(column)
-        w = Words(data, offsets)
-        return np.hstack([self.lexicon.presence(w, len(column)), patterns(data, offsets, w)])
+        return self.votes(data, offsets, Words(data, offsets))
 
     def scores(self, column: pa.Array) -> np.ndarray:
         z = self.inputs(column) @ self.weights + self.bias
@@ -175,9 +177,13 @@ def _logistic(x: np.ndarray, target: np.ndarray, steps: int = 400) -> tuple[np.n
     return w[:-1], b
 
 
-def fit(spark: SparkSession, sf_dir: str, docs: DataFrame, most: int = 12_000, entries: int = 400, least: int = 5) -> Model:
-    """Lexicon and rates from at most `most` labelled documents, co-votes from all of docs. Without labelled rows the
-    fixed insults alone make the lexicon, and each is trusted alike."""
+def fit(spark: SparkSession, sf_dir: str, docs: DataFrame, most: int = 12_000, entries: int = 400, least: int = 5, unlabelled: int = 16_384) -> Model:
+    """Lexicon and rates from at most `most` labelled documents, co-votes from all of docs; the linear classifier learns the label
+    model's posteriors of those documents and of at most `unlabelled` others. Without labelled rows the fixed insults alone
+    make the lexicon, and each is trusted alike.
+
+    The others: a text's hash deals it to a slot, and the text of least hash there stays; equal texts count once.
+    """
     rows = F.broadcast(labelled(spark, sf_dir, "toxic", most))  # at most `most` rows
     texts = table(spark, sf_dir, "documents").select("doc_id", "text").join(rows, "doc_id").select("y", "text")
     mined = mine(texts, entries, least)
@@ -188,21 +194,39 @@ def fit(spark: SparkSession, sf_dir: str, docs: DataFrame, most: int = 12_000, e
 
     def covotes(batches):
         total, n = np.zeros((len(cast.value.weights),) * 2), 0
+        slots: dict[int, tuple[int, bytes]] = {}
         for batch in batches:
             for part in by_bytes(batch, "text"):
-                v = cast.value.inputs(part.column("text"))
+                data, offsets = text_bytes(part.column("text"))
+                w = Words(data, offsets)
+                v = cast.value.votes(data, offsets, w)
                 total += v.T @ v
                 n += len(v)
+                place = (np.arange(len(w.row)) - w.first[:-1][w.row] + 1).astype(np.uint64)
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hashes * place)])
+                key = mix(np.diff(sums[w.first]) + w.n.astype(np.uint64)).view(np.int64)
+                packed = np.packbits(v.astype(bool), axis=1)
+                for i, (k, slot) in enumerate(zip(key.tolist(), (key % unlabelled).tolist())):
+                    if slot not in slots or k < slots[slot][0]:
+                        slots[slot] = (k, packed[i].tobytes())
         i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1)), pa.array(np.append(j, -1)), pa.array(np.append(total[i, j], n).astype(np.int64))], names=["i", "j", "n"])
+        m = len(slots)
+        first = np.concatenate([i, [-1], np.full(m, -2)])
+        second = np.concatenate([j, [-1], np.fromiter(slots, np.int64, m)])
+        number = np.concatenate([total[i, j].astype(np.int64), [n], np.fromiter((k for k, _ in slots.values()), np.int64, m)])
+        yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(number), pa.array([None] * (len(i) + 1) + [v for _, v in slots.values()], pa.binary())], names=["i", "j", "n", "votes"])
 
     src = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts, n = np.zeros((len(model.weights),) * 2), 0.0
-    for r in src.mapInArrow(covotes, "i bigint, j bigint, n bigint").groupBy("i", "j").agg(F.sum("n")).toLocalIterator():
-        if r[0] < 0:
-            n = r[2]
+    counts, n, more = np.zeros((len(model.weights),) * 2), 0.0, []
+    # Sums of the counts, and of each slot the text of least hash: what comes to the driver follows the entries and slots.
+    found = src.mapInArrow(covotes, "i bigint, j bigint, n bigint, votes binary").groupBy("i", "j").agg(F.sum(F.when(F.col("i") > -2, F.col("n"))).alias("n"), F.min(F.struct("n", "votes")).alias("least"))
+    for r in found.toLocalIterator():
+        if r["i"] == -2:
+            more.append((r["j"], np.unpackbits(np.frombuffer(r["least"]["votes"], np.uint8), count=len(model.weights))))
+        elif r["i"] == -1:
+            n = r["n"]
         else:
-            counts[r[0], r[1]] = r[2]
+            counts[r["i"], r["j"]] = r["n"]
     got = with_rows(texts, lambda c: [pa.array([x.tobytes() for x in cast.value.inputs(c).astype(np.uint8)], pa.binary())], [("x", "binary")]).select("y", "x").collect()
     if not got:
         model.weights[: len(lexicon.hashes)] = 3.0
@@ -211,6 +235,8 @@ def fit(spark: SparkSession, sf_dir: str, docs: DataFrame, most: int = 12_000, e
     got.sort(key=lambda r: (bytes(r[1]), r[0]))
     y, x = np.array([r[0] for r in got]), np.array([np.frombuffer(r[1], np.uint8) for r in got]).astype(np.float32)
     generative = label_model(n, counts, x, y)
+    if more:
+        x = np.vstack([x, np.array([v for _, v in sorted(more, key=lambda m: m[0])], np.float32)])
     model.weights, model.bias = _logistic(x, generative.posterior(x))
     return model
 
@@ -224,7 +250,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     cast = docs.sparkSession.sparkContext.broadcast(model)
 
     def fn(column: pa.Array) -> list:
-        s = cast.value.scores(column)
+        s = np.round(cast.value.scores(column), 9)  # sums over other neighbours differ in their last digits
         return [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
 
     return with_rows(docs, fn, [("score", "double"), ("predicted", "int")])

@@ -351,12 +351,65 @@ def test_label_model_discounts_copies():
     assert m.on[0] < 0.8 * m.on[2]
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op6_quality", "quality", 0.95), ("op4_toxicity", "toxic", 0.9)])
-def test_held_out_accuracy(spark, name, label, least):
+def _held_out(spark, name: str, label: str, sf: str) -> tuple[float, float, float, float]:
+    """Accuracy, precision, recall and area under the curve on held-out labels."""
     from quillmill.llm import queries
 
-    sf = "/root/testdata/sf0.01"
-    got = queries.QUERIES[name](spark, sf)
+    got = queries.QUERIES[name](spark, sf).cache()
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
-    j = got.where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
-    assert j.agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0] >= least
+    rows = got.where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("score", "predicted", label).dropna().collect()
+    yes, no = ([r.score for r in rows if r[label] == k] for k in (1, 0))
+    hits = sum(r.predicted == r[label] == 1 for r in rows)
+    area = sum((y > x) + 0.5 * (y == x) for y in yes for x in no) / (len(yes) * len(no))
+    return sum(r.predicted == r[label] for r in rows) / len(rows), hits / max(1, sum(r.predicted for r in rows)), hits / len(yes), area
+
+
+def test_quality_on_held_out_rows(spark):
+    accuracy, _, recall, area = _held_out(spark, "op6_quality", "quality", "/root/testdata/sf0.01")
+    assert accuracy > 0.95 and recall > 0.95 and area > 0.95
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """An eighth of these rows is toxic; some of them hold no toxic word, so no text model finds all."""
+    _, precision, recall, area = _held_out(spark, "op4_toxicity", "toxic", "/root/testdata/sf0.1")
+    assert precision > 0.85 and recall > 0.75 and area > 0.9
+
+
+def test_scores_of_odd_rows(spark, docs, none):
+    from quillmill.llm import quality
+
+    sf = "/root/testdata/sf0.001"
+    for module in (quality, toxicity):
+        model = module.fit(spark, sf, docs)
+        got = module.score(docs, model).collect()
+        assert len(got) == len(TEXTS) and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in got)
+        assert {r.n_words for r in got} == {"x"} and len({r.score for r in got if r.text == BASE}) == 1
+        assert len({r.score for r in got if not r.text}) == 1
+        assert module.score(none, model).count() == 0
+        assert module.score(docs, module.fit(spark, sf, none)).count() == len(TEXTS)
+
+
+def test_best_fit_decreasing_against_brute_force():
+    r = random.Random(2)
+    for _ in range(200):
+        size = r.choice((8, 20))
+        lengths = [r.randrange(1, size + 1) for _ in range(r.randrange(40))]
+        open_, want = [], []
+        for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+            fits = [k for k, room in enumerate(open_) if room >= lengths[i]]
+            if fits:
+                k = min(fits, key=lambda k: open_[k])
+            else:
+                k = len(open_)
+                open_.append(size)
+                want.append(0)
+            open_[k] -= lengths[i]
+            want[k] += lengths[i]
+        got = packed.best_fit(lengths, size)
+        assert sorted(i for seq in got for i in seq) == list(range(len(lengths)))
+        assert sorted(sum(lengths[i] for i in seq) for seq in got) == sorted(want)
+
+
+def test_ids_that_do_not_fit_are_refused(docs):
+    with pytest.raises(Exception, match="needs more than 1 bytes"):
+        packed.pack_matrices(docs, size=64, width=1).count()
