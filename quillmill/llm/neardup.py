@@ -159,7 +159,7 @@ def _verify(pairs: DataFrame, cast, least: float) -> DataFrame:
                 order = np.lexsort((gram, row))
                 row, gram, weight = row[order], gram[order], weight[order]
                 both = np.flatnonzero((row[1:] == row[:-1]) & (gram[1:] == gram[:-1]))
-                common = np.bincount(row[both], np.minimum(weight[both], weight[both + 1]), n)
+                common = np.bincount(row[both], np.minimum(weight[both], weight[both + 1]), n).astype(np.float64)
                 total = np.bincount(row, weight, n)
                 sim = common / np.maximum(total - common, 1e-9)
                 ok = np.flatnonzero(sim >= least - 1e-9)
@@ -206,7 +206,7 @@ class NearDuplicates:
         def sign(column: pa.Array) -> list:
             s, n = Shingles(column, cast.value), len(column)
             ok = may_match(s, n, met.value, log_bits, unit) & (s.words.n > 0)
-            total = np.bincount(s.row, s.weight, n)
+            total = np.bincount(s.row, s.weight, n).astype(np.float64)  # of no shingle at all, numpy counts in whole numbers
             digest = s.contents(n)
             s.keep(ok)
             keys = signatures(s, n, bands, rows)
