@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import rules
 
-def tokenize(c: Column, terms: list[str] = ()) -> Column:
-    """Lower-cased tokens: protected terms whole, then words, then single CJK characters."""
+
+def token_pattern(terms: list[str], han: str) -> str:
+    """Protected terms whole, then runs of letters, single CJK characters, runs of digits; han is an engine's name of the CJK class."""
     whole = "|".join(sorted(terms, key=len, reverse=True))
-    return F.regexp_extract_all(F.lower(c), F.lit(f"({whole + '|' if whole else ''}\\p{{IsHan}}|[^\\P{{L}}\\p{{IsHan}}]+|[0-9]+)"), 1)
+    return f"({whole + '|' if whole else ''}\\p{{{han}}}|[^\\P{{L}}\\p{{{han}}}]+|[0-9]+)"
+
+
+def tokenize(c: Column, terms: list[str] = ()) -> Column:
+    """Lower-cased tokens of a text in any script."""
+    return F.regexp_extract_all(F.lower(c), F.lit(token_pattern(terms, "IsHan")), 1)
 
 
 def words(c: Column) -> Column:
-    """Runs of letters a-z and digits of the lower-cased text; other engines have the same pattern."""
-    return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1)
+    """The tokens that searches use, with the domain's terms whole."""
+    return tokenize(c, rules.TERMS)

@@ -32,11 +32,12 @@ def by_model(score: Callable[[pd.Series, pd.Series], pd.Series]) -> Callable[[Co
     return run
 
 
-def rerank(cands: DataFrame, score: Callable[[Column, Column], Column] = overlap_score, top_n: int = 5) -> DataFrame:
-    """The top_n of each query by rerank_score, ties and unscored rows in their old order."""
+def rerank(cands: DataFrame, score: Callable[[Column, Column], Column] = overlap_score, top_n: int | None = 5) -> DataFrame:
+    """The top_n (all, if None) of each query by rerank_score, ties and unscored rows in their old order."""
     w = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc_nulls_last(), "rank")
     scored = cands.withColumn("rerank_score", score(F.col("query"), F.col("text")))
-    return scored.withColumn("new_rank", F.row_number().over(w)).where(F.col("new_rank") <= top_n).drop("rank").withColumnRenamed("new_rank", "rank")
+    ranked = scored.withColumn("new_rank", F.row_number().over(w))
+    return (ranked.where(F.col("new_rank") <= top_n) if top_n else ranked).drop("rank").withColumnRenamed("new_rank", "rank")
 
 
 def dedup_by_source(cands: DataFrame, max_per_source: int = 2, top_k: int | None = None, source: str = "source_file", by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -77,6 +78,6 @@ def metadata_boost(cands: DataFrame, time: float = 0.3, year: float = 0.1, scope
 
 def retrieve(cands: DataFrame, score=overlap_score, fetch_k: int = 10, top_k: int = 5, max_per_source: int | None = 2, boost: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The production chain after fusion: rerank (all candidates if a cap follows, else fetch_k), boost, cap or cut."""
-    ranked = rerank(cands, score, 1_000_000 if max_per_source else fetch_k)
+    ranked = rerank(cands, score, None if max_per_source else fetch_k)
     ranked = boost(ranked) if boost else ranked
     return dedup_by_source(ranked, max_per_source, top_k) if max_per_source else ranked.where(F.col("rank") <= top_k)

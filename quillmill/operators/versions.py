@@ -51,9 +51,10 @@ def remove_files(df: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def import_docs(corpus: DataFrame, new: DataFrame, year: str, text: str = "text", order: str = "ordinal") -> DataFrame:
-    """corpus and the records of new under the given year; ids count on after those that the file already has."""
+    """corpus and the records of new under the given year; ids count on after the greatest number that the file has."""
     fresh = new.withColumn("academic_year", F.lit(year)).where(F.trim(F.coalesce(text, F.lit(""))) != "")
-    had = corpus.groupBy("source_file").agg(F.count("*").alias("had"))
+    number = F.regexp_extract("chunk_id", r"__chunk_(\d+)$", 1)
+    had = corpus.groupBy("source_file").agg((F.max(F.when(number != "", number.cast("bigint"))) + 1).alias("had"))
     nth = F.row_number().over(Window.partitionBy("source_file").orderBy(order)) - 1
     fresh = fresh.withColumn("nth", nth).join(had, "source_file", "left")
     ids = F.concat("source_file", F.lit("__chunk_"), F.coalesce("had", F.lit(0)) + F.col("nth"))

@@ -13,7 +13,7 @@ from .registry import query, table, view
 NL = "chr(10)"
 DIRTY = f"SELECT doc_id, concat('Page ', CAST(doc_id AS STRING), ' of many', {NL}, '- 3 -', {NL}, '​\u0007', replace(text, ' and ', '  and  '), '   ', chr(13), {NL}, '4 / 9', {NL}, {NL}, {NL}, {NL}, {NL}, '|  a  |  b  |', {NL}, 'x  y') AS text FROM {{documents}}"
 STRUCTURED = f"SELECT doc_id, concat('preface', {NL}, '第一章 总则', {NL}, replace(text, '. ', concat('.', {NL})), {NL}, 'a = f(b);', {NL}, 'c = g(d);', {NL}, 'e = h(f);', {NL}, 'plain', {NL}, 'x = 1;', {NL}, '| h | k |', {NL}, '| - | - |', {NL}, '一、范围', {NL}, '1.1、适用', {NL}, '2. this sentence ends。') AS text FROM {{documents}}"
-NAMED = "SELECT doc_id, text, CASE doc_id % 8 WHEN 0 THEN '3 关于2024-2025学年第一学期选课的通知.pdf' WHEN 1 THEN '浙江工业大学学生管理办法.docx' WHEN 2 THEN '2023软件工程专业培养计划.pdf' WHEN 3 THEN '计算机学院名额分布.pdf' WHEN 4 THEN '屏峰校区缓考说明.txt' WHEN 5 THEN '2022年工作.md' WHEN 6 THEN '7 浙工大发〔2022〕46号浙江工业大学奖学金评定办法.pdf' ELSE 'plain.txt' END AS source_file, concat(CASE doc_id % 5 WHEN 0 THEN '培养目标 2021-2022学年第二学期 ' WHEN 1 THEN '特此通知 2024年3月5日 补考 补考 学籍 ' WHEN 2 THEN '浙江工业大学 2020/1/2 第三章 总则 第六条 ' WHEN 3 THEN '第二节 转专业 ' ELSE '' END, substr(text, 1, 300)) AS body FROM {documents}"
+NAMED = "SELECT doc_id, text, CASE doc_id % 8 WHEN 0 THEN '3 关于2024-2025学年第一学期选课的通知.pdf' WHEN 1 THEN '浙江工业大学学生管理办法.docx' WHEN 2 THEN '2023软件工程专业培养计划.pdf' WHEN 3 THEN '计算机学院名额分布.pdf' WHEN 4 THEN '屏峰校区缓考说明.txt' WHEN 5 THEN '2022年工作.md' WHEN 6 THEN '7 浙工大发〔2022〕46号浙江工业大学奖学金评定办法.pdf' ELSE 'plain.txt' END AS source_file, concat(CASE doc_id % 5 WHEN 0 THEN '培养目标 2021-2022学年第二学期 ' WHEN 1 THEN '特此通知 2024年3月5日 补考 补考 学籍 ' WHEN 2 THEN '浙江工业大学 2020/1/2 第三章 总则 第六条 ' WHEN 3 THEN '第二节 转专业 ' ELSE '' END, text) AS body FROM {documents}"
 YEARLY = "SELECT doc_id AS ordinal, doc_id, text, source AS source_file, lang AS business_tag, CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat(CAST(2020 + doc_id % 4 AS STRING), '-', CAST(2021 + doc_id % 4 AS STRING)) END AS academic_year FROM {documents}"
 
 DROPPED = "(?i)^(Page\\s*\\d+.*|-\\s*\\d+\\s*-|\\d+\\s*/\\s*\\d+)$"
@@ -86,18 +86,18 @@ def _year_sql(c: str) -> str:
     return ", ".join([_range_sql(c), *[f"nullif(regexp_extract({c}, '{p}', 1), '')" for p in ("(\\d{4})\\s*年", "(\\d{4})级", "(\\d{4})")]])
 
 
-_COUNTS = " UNION ALL ".join(f"SELECT doc_id, '{t}' AS t, {i} AS o, " + " + ".join(f"(length(body) - length(replace(body, '{w}', ''))) // {len(w)}" for w in ws) + " AS n FROM d" for i, (t, ws) in enumerate(R.TAGS))
+_COUNTS = " UNION ALL ".join(f"SELECT doc_id, '{t}' AS t, {i} AS o, " + " + ".join(f"(length(left(body, 2000)) - length(replace(left(body, 2000), '{w}', ''))) // {len(w)}" for w in ws) + " AS n FROM d" for i, (t, ws) in enumerate(R.TAGS))
 
 
 @query(f"""WITH d AS (SELECT *, regexp_replace(source_file, '\\.[^.]*$', '') AS stem FROM ({NAMED})), n AS ({_COUNTS}), best AS (SELECT doc_id, arg_max(t, n * 100 - o) FILTER (n > 0) AS t FROM n GROUP BY doc_id)
 SELECT d.doc_id, lower(regexp_extract(source_file, '\\.[^.]+$')) AS file_type,
-CASE {_case('stem', R.TAGS)} ELSE CASE {_case('body', R.MARKERS)} ELSE coalesce(best.t, '其他') END END AS business_tag,
-coalesce({_year_sql('stem')}, {_year_sql('body')}, '') AS academic_year,
-CASE {_case('stem', R.TYPE_BY_NAME)} ELSE CASE {_case('body', R.TYPE_BY_TEXT)} ELSE '制度' END END AS doc_type,
-coalesce({_sem_sql('stem')}, {_range_sql('stem')}, nullif(regexp_extract(stem, '(\\d{{4}})年', 1), ''), {_sem_sql('body')}, {_range_sql('body')}, '') AS effective_date,
-CASE {_case('stem', R.SCOPE_BY_NAME)} ELSE CASE {_case('body', R.SCOPE_BY_TEXT)} ELSE '' END END AS scope,
-CASE WHEN regexp_matches(body, '(\\d{{4}})年(\\d{{1,2}})月(\\d{{1,2}})日') THEN regexp_extract(body, '(\\d{{4}})年', 1) || '-' || lpad(regexp_extract(body, '年(\\d{{1,2}})月', 1), 2, '0') || '-' || lpad(regexp_extract(body, '月(\\d{{1,2}})日', 1), 2, '0')
-WHEN regexp_matches(body, '(\\d{{4}})[-/](\\d{{1,2}})[-/](\\d{{1,2}})') THEN regexp_extract(body, '(\\d{{4}})[-/](\\d{{1,2}})[-/](\\d{{1,2}})', 1) || '-' || lpad(regexp_extract(body, '(\\d{{4}})[-/](\\d{{1,2}})[-/](\\d{{1,2}})', 2), 2, '0') || '-' || lpad(regexp_extract(body, '(\\d{{4}})[-/](\\d{{1,2}})[-/](\\d{{1,2}})', 3), 2, '0') END AS update_time
+CASE {_case('stem', R.TAGS)} ELSE CASE {_case('left(body, 2000)', R.MARKERS)} ELSE coalesce(best.t, '其他') END END AS business_tag,
+coalesce({_year_sql('stem')}, {_year_sql('left(body, 500)')}, '') AS academic_year,
+CASE {_case('stem', R.TYPE_BY_NAME)} ELSE CASE {_case('left(body, 2000)', R.TYPE_BY_TEXT)} ELSE '制度' END END AS doc_type,
+coalesce({_sem_sql('stem')}, {_range_sql('stem')}, nullif(regexp_extract(stem, '(\\d{{4}})年', 1), ''), {_sem_sql('left(body, 500)')}, {_range_sql('left(body, 500)')}, '') AS effective_date,
+CASE {_case('stem', R.SCOPE_BY_NAME)} ELSE CASE {_case('left(body, 1000)', R.SCOPE_BY_TEXT)} ELSE '' END END AS scope,
+CASE WHEN regexp_matches(left(body, 1000), '(\\d{{4}})年(\\d{{1,2}})月(\\d{{1,2}})日') THEN regexp_extract(left(body, 1000), '(\\d{{4}})年', 1) || '-' || lpad(regexp_extract(left(body, 1000), '年(\\d{{1,2}})月', 1), 2, '0') || '-' || lpad(regexp_extract(left(body, 1000), '月(\\d{{1,2}})日', 1), 2, '0')
+WHEN regexp_matches(left(body, 1000), '(\\d{{4}})[-/](\\d{{1,2}})[-/](\\d{{1,2}})') THEN regexp_extract(left(body, 1000), '(\\d{{4}})[-/](\\d{{1,2}})[-/](\\d{{1,2}})', 1) || '-' || lpad(regexp_extract(left(body, 1000), '(\\d{{4}})[-/](\\d{{1,2}})[-/](\\d{{1,2}})', 2), 2, '0') || '-' || lpad(regexp_extract(left(body, 1000), '(\\d{{4}})[-/](\\d{{1,2}})[-/](\\d{{1,2}})', 3), 2, '0') END AS update_time
 FROM d LEFT JOIN best ON d.doc_id = best.doc_id""")
 def document_metadata(spark, sf_dir):
     m = meta.extract_metadata(view(spark, sf_dir, NAMED), body="body")
@@ -110,11 +110,16 @@ def titles_and_marks(spark, sf_dir):
     return view(spark, sf_dir, NAMED).select("doc_id", meta.doc_title(F.col("source_file")).alias("title"), meta.article_mark(F.col("body")).alias("article"), meta.chapter_mark(F.col("body")).alias("chapter"))
 
 
-@query("SELECT conv_id, turn, substr(text, 1, 20) AS first_variant, md5(text) AS key FROM conversations WHERE regexp_matches(text, '^[A-Za-z]{20}')")
+# Replies of a model made of whole texts: numbered, marked lines, and an empty one between each two.
+REPLIES = f"SELECT conv_id, turn, text, concat('1. **', replace(text, {NL}, concat('**', {NL}, {NL}, '2、`')), '`') AS reply FROM {{conversations}}"
+
+
+@query(f"""WITH r AS ({REPLIES}), l AS (SELECT conv_id, turn, text, unnest(string_split(trim(reply, ' ' || chr(10)), chr(10))) AS line, unnest(range(len(string_split(trim(reply, ' ' || chr(10)), chr(10))))) AS no FROM r),
+p AS (SELECT *, trim(regexp_replace(regexp_replace(trim(line), '^\\d+[.、)\\] ]+\\s*', ''), '^[*`]+|[*`]+$', '', 'g')) AS variant FROM l)
+SELECT conv_id, turn, string_agg(variant, '|' ORDER BY no) AS variants, md5(any_value(text)) AS key FROM p WHERE variant <> '' GROUP BY conv_id, turn""")
 def parsed_rewrites(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where(F.col("text").rlike("^[A-Za-z]{20}"))
-    reply = F.concat(F.lit("1. **"), F.substring("text", 1, 20), F.lit("**\n\n2、`second`"))
-    return c.select("conv_id", "turn", F.get(meta.parse_rewrites(reply), F.lit(0)).alias("first_variant"), meta.query_key(F.col("text")).alias("key"))
+    r = view(spark, sf_dir, REPLIES)
+    return r.select("conv_id", "turn", F.array_join(meta.parse_rewrites(F.col("reply")), "|").alias("variants"), meta.query_key(F.col("text")).alias("key"))
 
 
 @query("SELECT doc_id, i AS piece, substr(text, i * 450 + 1, 500) AS content FROM (SELECT doc_id, text, unnest(range(CAST(greatest(ceil((length(text) - 500) / 450.0), 0) AS BIGINT) + 1)) AS i FROM documents) WHERE trim(substr(text, i * 450 + 1, 500), ' ' || chr(10)) <> ''")
@@ -208,7 +213,7 @@ def files_removed(spark, sf_dir):
 
 
 NEW_DOCS = "SELECT conv_id * 1000 + turn AS ordinal, text, concat('src', CAST(conv_id % 30 AS STRING)) AS source_file, role AS business_tag, 'old' AS academic_year FROM {conversations}"
-IMPORTED = f"WITH {RECORDS}, kept AS (SELECT * FROM rec WHERE trim(text) <> ''{{0}}), had AS (SELECT source_file, count(*) AS had FROM kept GROUP BY ALL) SELECT * FROM kept UNION ALL SELECT concat(n.source_file, '__chunk_', CAST(coalesce(had, 0) + row_number() OVER (PARTITION BY n.source_file ORDER BY ordinal) - 1 AS STRING)), text, n.source_file, business_tag, '2021-2022' FROM ({NEW_DOCS}) n LEFT JOIN had ON n.source_file = had.source_file WHERE trim(text) <> ''"
+IMPORTED = f"WITH {RECORDS}, kept AS (SELECT * FROM rec WHERE trim(text) <> ''{{0}}), had AS (SELECT source_file, max(CAST(regexp_extract(chunk_id, '__chunk_([0-9]+)$', 1) AS BIGINT)) + 1 AS had FROM kept GROUP BY ALL) SELECT * FROM kept UNION ALL SELECT concat(n.source_file, '__chunk_', CAST(coalesce(had, 0) + row_number() OVER (PARTITION BY n.source_file ORDER BY ordinal) - 1 AS STRING)), text, n.source_file, business_tag, '2021-2022' FROM ({NEW_DOCS}) n LEFT JOIN had ON n.source_file = had.source_file WHERE trim(text) <> ''"
 
 
 @query(IMPORTED.replace("{0}", ""))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.rules import TERMS
+from ..functions.text import token_pattern, words
 from ..operators import dense, evaluate, fuse, lexical, rerank
 from .registry import query, table, view
 
@@ -14,6 +15,9 @@ CHUNKS = "SELECT doc_id, text, source AS source_file, lang AS business_tag, CASE
 ASKED = "SELECT item_id AS query_id, text AS query FROM {benchmark}"
 
 
+TOKENS = token_pattern(TERMS, "Han")
+
+
 def chunks(spark, sf_dir) -> DataFrame:
     return view(spark, sf_dir, CHUNKS)
 
@@ -23,12 +27,22 @@ def asked(spark, sf_dir) -> DataFrame:
 
 
 def gold(spark, sf_dir) -> DataFrame:
-    """Benchmark passages with the sources and languages of the documents that contain them, met on their first five words."""
-    grams = lambda c: F.transform(F.arrays_zip(*[F.slice(words(F.col(c)), i, 1 << 30) for i in range(1, 6)]), lambda z: F.concat_ws(" ", *[z[str(i)] for i in range(5)]))
-    q = asked(spark, sf_dir).withColumn("gram", F.get(grams("query"), F.lit(0)))
-    d = chunks(spark, sf_dir).select("text", "source_file", "business_tag", F.explode(F.array_distinct(grams("text"))).alias("gram"))
-    met = q.join(d, "gram").where(F.contains("text", F.col("query")))
-    found = met.groupBy("query_id").agg(F.collect_set("source_file").alias("source_files"), F.collect_set("business_tag").alias("source_tags"))
+    """Benchmark passages with the sources and languages of the documents that contain them.
+
+    The second to fifth words of a passage are whole words wherever it stands, even if it begins inside a word: ids of
+    documents meet passages on their hash, and the pairs met are looked up in full once. Passages of fewer than six words, a
+    part of a stated set, are looked up in each document.
+    """
+    def grams(c: str):
+        four = F.arrays_zip(*[F.slice(words(F.col(c)), i, 1 << 30) for i in range(1, 5)])
+        return F.transform(four, lambda z: F.xxhash64(*[z[str(i)] for i in range(4)]))
+
+    q, c = asked(spark, sf_dir), chunks(spark, sf_dir)
+    q = q.withColumns({"gram": F.get(grams("query"), F.lit(1)), "long": F.size(words(F.col("query"))) >= 6})
+    met = c.select("doc_id", F.explode(F.array_distinct(grams("text"))).alias("gram")).join(F.broadcast(q.where("long")), "gram").select("query_id", "query", "doc_id")
+    short = c.join(F.broadcast(q.where("not long").select("query_id", "query")), F.contains("text", F.col("query")))
+    found = met.join(c, "doc_id").where(F.contains("text", F.col("query"))).unionByName(short.select("doc_id", "query_id", "query", *[x for x in c.columns if x != "doc_id"]))
+    found = found.groupBy("query_id").agg(F.collect_set("source_file").alias("source_files"), F.collect_set("business_tag").alias("source_tags"))
     out = q.join(found, "query_id", "left")
     return out.select("query_id", "query", F.coalesce("source_files", F.array().cast("array<string>")).alias("source_files"), F.coalesce("source_tags", F.array().cast("array<string>")).alias("source_tags"), F.col("source_files").isNull().alias("negative_sample"), (F.col("query_id") % 4 == 0).alias("is_table_question"))
 
@@ -36,12 +50,12 @@ def gold(spark, sf_dir) -> DataFrame:
 GOLD = """gold AS (SELECT b.item_id AS query_id, coalesce(list_sort(list(DISTINCT d.source) FILTER (d.doc_id IS NOT NULL)), []) AS source_files, coalesce(list_sort(list(DISTINCT d.lang) FILTER (d.doc_id IS NOT NULL)), []) AS source_tags, count(d.doc_id) = 0 AS negative_sample, b.item_id % 4 = 0 AS is_table_question
 FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id)"""
 
-BM25 = r"""tok AS (SELECT doc_id AS chunk, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents),
+BM25 = r"""tok AS (SELECT doc_id AS chunk, regexp_extract_all(lower(text), '@TOKENS@') AS ts FROM documents),
 post AS (SELECT chunk, token, len AS length, count(*) AS tf FROM (SELECT chunk, len(ts) AS len, unnest(ts) AS token FROM tok) GROUP BY ALL),
 tot AS (SELECT count(*) AS n, avg(len(ts)) AS mean_length FROM tok),
 raw AS (SELECT token, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, tot GROUP BY token),
 stats AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-ask AS (SELECT query_id, token, count(*) AS times FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark) GROUP BY ALL),
+ask AS (SELECT query_id, token, count(*) AS times FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '@TOKENS@')) AS token FROM benchmark) GROUP BY ALL),
 scored AS (SELECT query_id, chunk, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))), 6) AS score FROM ask JOIN stats USING (token) JOIN post USING (token), tot GROUP BY ALL),
 bm25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 10)"""
 
@@ -57,7 +71,7 @@ SELECT 'table', unnest([1, 3, 5]), unnest([h1, h3, h5]) FROM {0}_detail WHERE is
 
 
 def with_(*parts: str) -> str:
-    return "WITH " + ", ".join(parts) + " "
+    return ("WITH " + ", ".join(parts) + " ").replace("@TOKENS@", TOKENS)
 
 
 def bm25(spark, sf_dir) -> DataFrame:
@@ -78,7 +92,7 @@ def recall_bm25_capped(spark, sf_dir):
 @query(with_(BM25) + "SELECT token, df, round(idf, 6) AS idf FROM stats")
 def bm25_index(spark, sf_dir):
     c = chunks(spark, sf_dir)
-    return lexical.token_stats(lexical.postings(c, "doc_id", "text"), c.agg(F.count("*").alias("n"))).withColumn("idf", F.round("idf", 6))
+    return lexical.token_stats(lexical.token_counts(c, "text")).withColumn("idf", F.round("idf", 6))
 
 
 @query(with_(BM25) + "SELECT query_id, chunk, score, rank FROM bm25")
@@ -295,7 +309,8 @@ def candidates(spark, sf_dir) -> DataFrame:
     return c.withColumns({"query": F.concat(F.expr(_SIGNAL), F.col("query")), "business_tag": F.expr(_TAGGED)})
 
 
-RERANKED = with_(BM25, f"asking AS (SELECT item_id AS query_id, text AS query FROM benchmark), c AS (SELECT query_id, chunk, rank, source AS source_file, d.text, concat({_SIGNAL}, query) AS query, {_TAGGED} AS tag, doc_id % 3 = 0 AS notice, concat(CAST(2022 + doc_id % 4 AS STRING), '-', CAST(2023 + doc_id % 4 AS STRING)) AS eff, doc_id % 2 = 0 AS college FROM bm25 JOIN documents d ON d.doc_id = chunk JOIN asking USING (query_id)), s AS (SELECT *, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS q, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM c), r AS (SELECT *, round(len(list_intersect(q, t)) / len(q), 6) AS rerank_score FROM s), r10 AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rank FROM r)")
+_RERANK = f"asking AS (SELECT item_id AS query_id, text AS query FROM benchmark), c AS (SELECT query_id, chunk, rank, source AS source_file, d.text, concat({_SIGNAL}, query) AS query, {_TAGGED} AS tag, doc_id % 3 = 0 AS notice, concat(CAST(2022 + doc_id % 4 AS STRING), '-', CAST(2023 + doc_id % 4 AS STRING)) AS eff, doc_id % 2 = 0 AS college FROM @BASE@ JOIN documents d ON d.doc_id = chunk JOIN asking USING (query_id)), s AS (SELECT *, list_distinct(regexp_extract_all(lower(query), '@TOKENS@')) AS q, regexp_extract_all(lower(text), '@TOKENS@') AS t FROM c), r AS (SELECT *, round(len(list_intersect(q, t)) / len(q), 6) AS rerank_score FROM s), r10 AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rank FROM r)"
+RERANKED = with_(BM25, _RERANK.replace("@BASE@", "bm25"))
 
 
 @query(RERANKED + "SELECT query_id, chunk, rerank_score, rank FROM r10 WHERE rank <= 5")
@@ -331,14 +346,55 @@ def capped_by_source(spark, sf_dir):
     return rerank.dedup_by_source(bm25(spark, sf_dir), 2).select("query_id", "chunk", "rank")
 
 
-@query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents), b AS (SELECT doc_id, CAST(concat('0x', substr(md5(w), 1, 8)) AS BIGINT) % 64 AS bucket FROM (SELECT doc_id, unnest(ts) AS w FROM t)), c AS (SELECT doc_id, bucket, count(*) AS n FROM b GROUP BY ALL) SELECT doc_id, count(*) AS buckets, round(max(n) / sqrt(sum(n * n)), 6) AS top FROM c GROUP BY doc_id")
+def hashed(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, bucket, n): the tokens of each text, dealt to 64 buckets by their md5."""
+    d = texts.select(key, F.explode(words(F.col(text))).alias("w"))
+    return d.groupBy(key, (F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("bigint") % 64).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def hashed_vector(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, vector) of 64 counts."""
+    counts = hashed(texts, key, text).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"))
+    return counts.select(key, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at("m", i.cast("bigint")), F.lit(0)).cast("double")).alias("vector"))
+
+
+HASHED = "counted AS (SELECT doc_id, bucket, count(*) AS n FROM (SELECT doc_id, CAST(concat('0x', substr(md5(w), 1, 8)) AS BIGINT) % 64 AS bucket FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '@TOKENS@')) AS w FROM documents)) GROUP BY ALL)"
+
+
+@query(with_(HASHED) + "SELECT doc_id, count(*) AS buckets, round(max(n) / sqrt(sum(n * n)), 6) AS top FROM counted GROUP BY doc_id")
 def hashed_vectors(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("w"))
-    bucket = (F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("bigint") % 64).alias("bucket")
-    c = d.groupBy("doc_id", bucket).agg(F.count("*").alias("n"))
+    c = hashed(table(spark, sf_dir, "documents"), "doc_id", "text")
     return c.groupBy("doc_id").agg(F.count("*").alias("buckets"), F.round(F.max("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")), 6).alias("top"))
 
 
+def text_legs(spark, sf_dir) -> DataFrame:
+    """BM25 and dense search over the documents, the latter by hashed token vectors."""
+    lexical_leg = lexical.bm25_topk(asked(spark, sf_dir), chunks(spark, sf_dir)).withColumn("leg", F.lit(1))
+    q, v = hashed_vector(asked(spark, sf_dir), "query_id", "query"), hashed_vector(chunks(spark, sf_dir), "doc_id", "text").withColumnRenamed("doc_id", "chunk")
+    return lexical_leg.unionByName(dense.knn_topk(q, v, 10).withColumn("leg", F.lit(2))).withColumnRenamed("chunk", "key")
+
+
+ASKED_HASHED = HASHED.replace("counted AS", "asked_counts AS").replace("doc_id", "query_id").replace("FROM documents", "FROM (SELECT item_id AS query_id, text FROM benchmark)")
+DENSE_TEXT = "near AS (SELECT query_id, doc_id AS chunk, round(sum(a.n * c.n) / sqrt(any_value(qn) * any_value(dn)), 6) AS score FROM (SELECT *, sum(n * n) OVER (PARTITION BY query_id) AS qn FROM asked_counts) a JOIN (SELECT *, sum(n * n) OVER (PARTITION BY doc_id) AS dn FROM counted) c USING (bucket) GROUP BY ALL), dense_text AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank FROM near QUALIFY rank <= 10)"
+TEXT_LEGS = "legs AS (SELECT 1 AS leg, query_id, chunk AS key, score, rank FROM bm25 UNION ALL SELECT 2, query_id, chunk, score, rank FROM dense_text)"
+_HYBRID = (BM25, HASHED, ASKED_HASHED, DENSE_TEXT, TEXT_LEGS)
+
+
+@query(with_(*_HYBRID) + RRF.format(60, _ORDERED))
+def hybrid_search(spark, sf_dir):
+    """BM25 and dense legs over one corpus, fused by reciprocal ranks."""
+    return fuse.hybrid(text_legs(spark, sf_dir))
+
+
+@query(with_(*_HYBRID, "fused AS (" + RRF.format(60, _ORDERED) + ")", "base AS (SELECT query_id, key AS chunk, rank FROM fused)", _RERANK.replace("@BASE@", "base")) + "SELECT query_id, chunk, new_rank AS rank FROM (SELECT query_id, chunk, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS new_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source_file ORDER BY rank) AS nth FROM r10) WHERE nth <= 2) WHERE new_rank <= 5")
+def hybrid_chain(spark, sf_dir):
+    """The whole chain: both legs, fusion, rerank, cap."""
+    fused = fuse.hybrid(text_legs(spark, sf_dir)).withColumnRenamed("key", "chunk").select("query_id", "chunk", "rank")
+    c = fused.join(chunks(spark, sf_dir).withColumnRenamed("doc_id", "chunk"), "chunk").join(asked(spark, sf_dir), "query_id")
+    c = c.withColumns({"query": F.concat(F.expr(_SIGNAL), F.col("query")), "business_tag": F.expr(_TAGGED)})
+    return rerank.retrieve(c).select("query_id", "chunk", "rank")
+
+
 @query()
 def embedded_corpus(spark, sf_dir):
     """The embedding ladder with a small deterministic model: letter frequencies."""
