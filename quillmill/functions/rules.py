@@ -75,14 +75,33 @@ NEGATION = "(?:并非|不是|不需要|不必|无需|无须|不用|不得|不能
 SENTENCE_END = "[。；;！？!?\\n]"
 CLAUSE_END = r"[，,](?!\s*(?:均为|同为|都是|均需|各为))"
 
-# Classes of conditional wording, each a pattern to count in a corpus.
+# Classes of conditional wording, each with the patterns to count in a corpus.
 PHRASES = [
-    ("不得类", "不得[^，。；\\n]{1,12}"),
-    ("必须类", "必须[^，。；\\n]{1,12}"),
-    ("下限类", "不(?:低|少)于[^，。；\\n]{1,10}"),
-    ("上限类", "不(?:超|高)过?[^，。；\\n]{1,10}"),
-    ("例外类", "(?:除|以外|之外)[^，。；\\n]{0,10}"),
-    ("可以类", "可以?申请[^，。；\\n]{0,10}"),
+    ("并列条件", r"须(?:同时)?符合以下条件"),
+    ("并列条件", r"还须(?:同时)?符合"),
+    ("并列条件", r"（\d+）.*；.*（\d+）"),
+    ("并列条件", r"同时(?:具备|满足|符合)"),
+    ("并列条件", r"且.*(?:同[时具]|均)"),
+    ("阈值条件", r"不(?:低于|少于|超过|大于)\s*\d+"),
+    ("阈值条件", r"前\s*\d+\s*%"),
+    ("阈值条件", r"比例不超过\s*\d+\s*%"),
+    ("阈值条件", r"不低于\s*\d+\.?\d*"),
+    ("阈值条件", r"达到\s*\d+.*(?:分|含|以上)"),
+    ("阈值条件", r"\d+\s*(?:分|元|学分).*?(?:以上|及以上|含)"),
+    ("阈值条件", r"最多\s*(?:不超过|不超过)"),
+    ("排除/取消条件", r"(?:取消|不具备).*(?:资格|条件)"),
+    ("排除/取消条件", r"凡.*(?:违反|受到|处分)"),
+    ("排除/取消条件", r"(?:无|没有).*?(?:不及格|处分|违纪)"),
+    ("例外/特殊条件", r"(?:具体|特殊).*?(?:情况|条件|要求)"),
+    ("例外/特殊条件", r"(?:除.*(?:外|以外))"),
+    ("例外/特殊条件", r"以.*(?:为准|为据)"),
+    ("时间限定", r"(?:上一|本|当)学年"),
+    ("时间限定", r"每学年.*?(?:初|末|第.*学期)"),
+    ("时间限定", r"(?:仅限|限于|仅在).*?(?:期间|内|前)"),
+    ("时间限定", r"\d{4}\s*年.*?(?:至|到|-|—).*?\d{4}\s*年"),
+    ("资格限定", r"(?:全日制|在校|普通).*?(?:本科|学生)"),
+    ("资格限定", r"(?:面向|针对|适用于).*?(?:学生|专业|年级)"),
+    ("资格限定", r"(?:须|需)(?:要)?(?:通过|完成|获得)"),
 ]
 
 # Question and file forms of the direct lookup of total credits.

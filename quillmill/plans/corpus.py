@@ -241,7 +241,11 @@ def corpus_exported(spark, sf_dir):
     return io.export_corpus(v).select(*_EXPORT)
 
 
-@query(" UNION ALL ".join([f"SELECT pattern_class AS class, CAST(NULL AS VARCHAR) AS pattern, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY ALL", "SELECT pattern_class, pattern, CAST(sum(n) AS BIGINT) FROM m GROUP BY ALL", "SELECT NULL, NULL, CAST(sum(n) AS BIGINT) FROM m"]).join(["WITH t AS (SELECT concat(text, '不得超过', CAST(doc_id AS STRING), '。必须申请。') AS t FROM documents), m AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS pattern_class, '{p}' AS pattern, len(regexp_extract_all(t, '{p}')) AS n FROM t" for c, p in R.PHRASES) + ") WHERE n > 0) ", ""]))
+# Whole texts with rules at the end of each line, their numbers and words by the document.
+RULED = f"SELECT doc_id, concat(replace(text, {NL}, concat(' 比例不超过 ', CAST(doc_id % 9 AS STRING), '%，前 5 %', {NL})), ' 还须同时符合以下条件：（1）不低于 ', CAST(doc_id AS STRING), ' 分以上；（2）没有处分。', CASE doc_id % 3 WHEN 0 THEN '除特殊情况外，上一学年全日制在校学生须通过考核' WHEN 1 THEN '凡违反规定者取消资格，2021 年至 2023 年' ELSE '面向各年级，以公布为准，每学年末' END) AS text FROM {{documents}}"
+_COUNTED = " UNION ALL ".join(f"SELECT '{c}' AS pattern_class, '{p}' AS pattern, len(regexp_extract_all(text, '{p}')) AS n FROM t" for c, p in R.PHRASES)
+
+
+@query(f"WITH t AS ({RULED}), m AS (SELECT * FROM ({_COUNTED}) WHERE n > 0) SELECT pattern_class AS class, pattern, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY ROLLUP (pattern_class, pattern)")
 def phrase_counts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("text", F.concat("text", F.lit("不得超过"), F.col("doc_id").cast("string"), F.lit("。必须申请。")))
-    return ground.mine_patterns(d).select("class", "pattern", "n")
+    return ground.mine_patterns(view(spark, sf_dir, RULED)).select("class", "pattern", "n")

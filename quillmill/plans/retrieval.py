@@ -146,12 +146,6 @@ def metric_deltas(spark, sf_dir):
     return evaluate.metric_deltas(evaluate.recall_at_k(a), evaluate.recall_at_k(b))
 
 
-@query(_BOTH + "SELECT a.query_id, CAST(b.first_rank AS BIGINT) AS first_rank FROM cands_detail a JOIN capped_detail b USING (query_id) WHERE NOT a.h3 AND b.h3")
-def fix_cases(spark, sf_dir):
-    a, b, _ = details(spark, sf_dir)
-    return evaluate.fix_cases(a, b).withColumn("first_rank", F.col("first_rank").cast("bigint"))
-
-
 @query(with_(GOLD, BM25, CANDS) + "SELECT g.query_id, CAST(min(rank) AS BIGINT) AS found_rank FROM gold g LEFT JOIN cands c ON g.query_id = c.query_id AND rank <= 5 AND list_contains(source_files, source_file) GROUP BY g.query_id")
 def find_rank(spark, sf_dir):
     return evaluate.first_rank_within(bm25(spark, sf_dir), gold(spark, sf_dir)).withColumn("found_rank", F.col("found_rank").cast("bigint"))
@@ -395,6 +389,21 @@ def hybrid_chain(spark, sf_dir):
     return rerank.retrieve(c).select("query_id", "chunk", "rank")
 
 
+def _with_sources(spark, sf_dir, found: DataFrame) -> DataFrame:
+    return found.join(chunks(spark, sf_dir).select(F.col("doc_id").alias("key"), "source_file", "business_tag"), "key")
+
+
+_SOURCED = "SELECT query_id, key AS chunk, score, rank, source AS source_file, lang AS business_tag FROM {0} JOIN documents d ON d.doc_id = key"
+
+
+@query(with_(GOLD, *_HYBRID, "fused AS (" + RRF.format(60, _ORDERED) + ")", "dense_run AS (" + _SOURCED.format("(SELECT * FROM legs WHERE leg = 2)") + ")", "fused_run AS (" + _SOURCED.format("fused") + ")", DETAIL.format("dense_run"), DETAIL.format("fused_run")) + "SELECT a.query_id, CAST(b.first_rank AS BIGINT) AS first_rank FROM dense_run_detail a JOIN fused_run_detail b USING (query_id) WHERE NOT a.h3 AND b.h3")
+def fix_cases(spark, sf_dir):
+    """Questions that the dense leg misses in its first three and the fusion doesn't."""
+    g, both = gold(spark, sf_dir), text_legs(spark, sf_dir)
+    a, b = (evaluate.eval_detail(_with_sources(spark, sf_dir, r), g) for r in (both.where("leg = 2").drop("leg"), fuse.hybrid(both)))
+    return evaluate.fix_cases(a, b).withColumn("first_rank", F.col("first_rank").cast("bigint"))
+
+
 @query()
 def embedded_corpus(spark, sf_dir):
     """The embedding ladder with a small deterministic model: letter frequencies."""
