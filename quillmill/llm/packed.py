@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,50 +69,77 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return out
 
 
+PIECES = "doc_id bigint, piece int, start bigint, piece_crc32 bigint, copy int, ids binary"
+
+
+def id_pieces(docs: DataFrame, size: int, path: str, width: int) -> DataFrame:
+    """Each document's pieces of at most size tokens with their ids; copy counts rows alike in a batch, so that they part."""
+
+    def run(batches):
+        enc = encoder(path)
+        for batch in batches:
+            copies: Counter = Counter()
+            for part in by_bytes(batch, "text"):
+                rows = []
+                for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    got = ids(enc, t)
+                    if int(got.max()) >> (8 * width):
+                        raise ValueError(f"id {int(got.max())} needs more than {width} bytes")
+                    narrow = got.astype(f"<u{width}")
+                    rows += [(d, k, s, zlib.crc32(got[s : s + n].tobytes()), copies[d, t], narrow[s : s + n].tobytes()) for k, (s, n) in enumerate(pieces(len(got), size))]
+                    copies[d, t] += 1
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in PIECES.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, PIECES)
+
+
 def pack_matrices(docs: DataFrame, size: int = 1024, path: str | None = None, pool_tokens: int = 2_000_000, width: int = 2) -> DataFrame:
     """One row for each packed sequence: its ids (little-endian, `width` bytes each, zero padded to size), cumulative segment
     lengths from 0, the positions at which position ids restart, and each segment's document, piece, start and checksum.
 
-    Each task packs its own rows in pools of about pool_tokens tokens, so nothing is shuffled and memory stays bounded;
-    a pool wastes at most part of its last sequences, and which texts share a sequence follows how the input is split. Overlong documents are cut into pieces of size tokens after a shorter
-    first one; pieces and starts put them together again. width 2 holds ids below 65,536, as
-    the default file's are; an id that doesn't fit raises ValueError, none is cut.
+    A hash deals the pieces to pools of about pool_tokens tokens, as many as the table's bytes ask for, and a task packs a
+    pool; so a pool's size and what shares a sequence follow the rows, not how the input is split. A task holds twice
+    pool_tokens at most and starts a further pool beyond. Overlong documents are cut into pieces of size tokens after a
+    shorter first one; pieces and starts put them together again. width 2 holds ids below 65,536, as the default file's
+    are; an id that doesn't fit raises ValueError, none is cut.
 
     Null or empty text: one segment with the end id alone. Repeated rows are packed as often as they occur. An empty table
     gives no rows. Extra columns are ignored.
     """
-    path = path or default_path()
 
     def flush(pool: str, rows: list, first: int) -> pa.RecordBatch:
         cols: list[list] = [[] for _ in _NAMES]
-        for k, seq in enumerate(best_fit([len(r[3]) for r in rows], size)):
+        for k, seq in enumerate(best_fit([len(r[4]) // width for r in rows], size)):
             own = [rows[i] for i in seq]
-            cu = np.concatenate([[0], np.cumsum([len(r[3]) for r in own])]).tolist()
-            matrix = np.zeros(size, f"<u{width}")
-            matrix[: cu[-1]] = np.concatenate([r[3] for r in own])
-            for c, v in zip(cols, (pool, first + k, cu[-1], matrix.tobytes(), cu, cu[:-1], [r[0] for r in own], [r[1] for r in own], [r[2] for r in own], [zlib.crc32(r[3].tobytes()) for r in own])):
+            cu = [0, *accumulate(len(r[4]) // width for r in own)]
+            matrix = b"".join(r[4] for r in own).ljust(size * width, b"\0")
+            for c, v in zip(cols, (pool, first + k, cu[-1], matrix, cu, cu[:-1], [r[0] for r in own], [r[1] for r in own], [r[2] for r in own], [r[3] for r in own])):
                 c.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], names=_NAMES)
 
     def run(batches):
-        enc, rows, held, first, pool = encoder(path), [], 0, 0, None
+        rows, held, first, pool = [], 0, 0, None
         for batch in batches:
-            for part in by_bytes(batch, "text"):
-                for d, t, p in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("pool").to_pylist()):
-                    pool = p
-                    got = ids(enc, t)
-                    if len(got) and int(got.max()) >> (8 * width):
-                        raise ValueError(f"id {int(got.max())} needs more than {width} bytes")
-                    rows += [(d, k, s, got[s : s + n]) for k, (s, n) in enumerate(pieces(len(got), size))]
-                    held += len(got)
-                if held >= pool_tokens:
+            if not batch.num_rows:
+                continue
+            pool = batch.column("pool")[0].as_py()
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "piece", "start", "piece_crc32", "ids"))):
+                rows.append(row)
+                held += len(row[4]) // width
+                if held >= 2 * pool_tokens:
                     yield (out := flush(pool, rows, first))
                     rows, held, first = [], 0, first + out.num_rows
         if rows:
             yield flush(pool, rows, first)
 
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.spark_partition_id().cast("string").alias("pool"))
-    return src.mapInArrow(run, SCHEMA)
+    # About three bytes a token, and an end id for each row; this decides the number of pools only.
+    tokens = docs.agg((F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)) / 3 + F.count("*")).alias("n")).first()["n"]
+    pools = max(1, math.ceil(tokens / pool_tokens))
+    dealt = id_pieces(docs, size, path or default_path(), width).repartition(pools, "doc_id", "piece", "piece_crc32", "copy")
+    # In one order whatever the shuffle's, a task that is run again packs alike.
+    ordered = dealt.sortWithinPartitions("doc_id", "piece", "start", "piece_crc32", "ids").drop("copy")
+    return ordered.withColumn("pool", F.spark_partition_id().cast("string")).mapInArrow(run, SCHEMA)
 
 
 def write_packed(df: DataFrame, path: str) -> None:

@@ -255,6 +255,13 @@ def test_matrices_round_trip(spark, docs, none, tmp_path):
     assert [tree.least(k) for k in (1, 4, 5, 9)] == [4, 4, 8, -1]
 
 
+def test_matrices_are_the_same_however_the_input_is_split(docs):
+    alike = lambda df: sorted((r.pool, r.sequence, bytes(r.ids), tuple(r.pieces)) for r in packed.pack_matrices(df, size=64, pool_tokens=1500).collect())
+    once = docs.dropDuplicates(["doc_id", "text"])  # rows alike are dealt by their count in a batch
+    one = alike(once.coalesce(1))
+    assert len({r[0] for r in one}) > 1 and one == alike(once.repartition(5))
+
+
 def test_media(spark, docs, none):
     for r in media.text_media(docs).collect():
         t = next((u or "").encode() for i, u in TEXTS if i == r.doc_id)
