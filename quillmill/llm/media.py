@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
-from functools import lru_cache
+from bisect import bisect_left, bisect_right
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -38,6 +40,54 @@ TYPES = {
 }
 
 
+class Marks:
+    """What the validators search a blob for, found once and only when asked for, so that many magic bytes stay cheap."""
+
+    def __init__(self, blob: bytes):
+        self.blob = blob
+        self._found: dict[str, list[int]] = {}
+
+    def _places(self, name: str, pattern: bytes) -> list[int]:
+        if name not in self._found:
+            self._found[name] = [m.start() for m in re.finditer(pattern, self.blob, re.DOTALL)]
+        return self._found[name]
+
+    def after(self, name: str, at: int) -> int:
+        """The first marker at or behind `at` that ends a JPEG scan's data; the blob's end if there is none."""
+        found = self._places(name, rb"\xff[^\x00\xd0-\xd7\xff]")
+        i = bisect_left(found, at)
+        return found[i] if i < len(found) else len(self.blob)
+
+    @cached_property
+    def archives(self) -> dict[int, int]:
+        """End by start of the zip archives: an end record's directory size and offset tell where its archive starts."""
+        out: dict[int, int] = {}
+        for at in self._places("zip", rb"PK\x05\x06"):
+            if at + 22 <= len(self.blob):
+                size, offset, note = struct.unpack_from("<IIH", self.blob, at + 12)
+                start, end = at - size - offset, at + 22 + note
+                if start >= 0 and end <= len(self.blob) and size and self.blob[at - size : at - size + 4] == b"PK\x01\x02":
+                    out.setdefault(start, end)
+        return out
+
+    @cached_property
+    def _pdf_ends(self) -> list[tuple[int, int]]:
+        return [(m.end(), int(m[1])) for m in re.finditer(rb"startxref\s+(\d{1,10})\s+%%EOF", self.blob)]
+
+    def pdf_end(self, start: int) -> int:
+        """0 if there is none."""
+        heads = self._places("pdf", rb"%PDF-\d")
+        i = bisect_right(heads, start)
+        stop, end = heads[i] if i < len(heads) else len(self.blob), 0
+        for k in range(bisect_left(self._pdf_ends, (start, 0)), len(self._pdf_ends)):
+            e, offset = self._pdf_ends[k]
+            if e > stop:
+                break
+            if start + offset < e and re.compile(rb"\s*(xref|\d+\s+\d+\s+obj)").match(self.blob, start + offset):
+                end = e
+        return end
+
+
 def _png(b: memoryview) -> tuple[str, int] | None:
     at, first = 8, True
     while at + 12 <= len(b):
@@ -72,17 +122,21 @@ def _gif(b: memoryview) -> tuple[str, int] | None:
     return None
 
 
-def _jpeg(b: memoryview) -> tuple[str, int] | None:
-    at = 2
+def _jpeg(b: memoryview, marks: Marks, start: int) -> tuple[str, int] | None:
+    at, scans = 2, 0
     while at + 4 <= len(b) and b[at] == 0xFF:
-        kind, (n,) = b[at + 1], struct.unpack_from(">H", b, at + 2)
+        kind, n = b[at + 1], 0
+        if kind == 0xD9:
+            return ("jpeg", at + 2) if scans else None
+        if kind not in (0x01, *range(0xD0, 0xD8)):
+            (n,) = struct.unpack_from(">H", b, at + 2)
+            if n < 2:
+                return None
         at += 2 + n
         if kind == 0xDA:
-            end = bytes(b[at:]).find(b"\xff\xd9")
-            return ("jpeg", at + end + 2) if end >= 0 else None
-        if n < 2:
-            return None
-    return None
+            scans += 1
+            at = marks.after("scan", start + at) - start
+    return ("jpeg", at + 2) if scans and bytes(b[at : at + 2]) == b"\xff\xd9" else None
 
 
 def _bmp(b: memoryview) -> tuple[str, int] | None:
@@ -117,44 +171,108 @@ def _au(b: memoryview) -> tuple[str, int] | None:
     return ("au", head + n) if head >= 24 and 1 <= code <= 27 and 0 < rate <= 768_000 and 1 <= channels <= 64 and head + n <= len(b) else None
 
 
+@lru_cache(maxsize=2)
+def _crc_table(bits: int, poly: int) -> list[int]:
+    """A byte's remainders by the polynomial, highest bit first."""
+    top, mask, out = 1 << (bits - 1), (1 << bits) - 1, []
+    for byte in range(256):
+        r = byte << (bits - 8)
+        for _ in range(8):
+            r = (r << 1 ^ (poly if r & top else 0)) & mask
+        out.append(r)
+    return out
+
+
+def _flac_frame(b: memoryview, at: int) -> int:
+    """The samples of the frame whose header stands at `at`, 0 if none does: reserved values, coded number and checksum must
+    be right."""
+    if at + 6 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8 or b[at + 3] & 1:
+        return 0
+    size, rate = b[at + 2] >> 4, b[at + 2] & 15
+    if not size or rate == 15 or b[at + 3] >> 4 > 10:
+        return 0
+    lead = b[at + 4]
+    more = 0 if lead < 0x80 else next((k for k in range(1, 7) if not lead << (k + 1) & 0x80), 0) if lead >= 0xC0 else -1
+    if more < 0 or lead == 0xFF:
+        return 0
+    end = at + 5 + more
+    own = {6: 1, 7: 2}.get(size, 0)
+    stop = end + own + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if stop >= len(b) or any(b[k] & 0xC0 != 0x80 for k in range(at + 5, end)):
+        return 0
+    table, r = _crc_table(8, 0x07), 0
+    for k in range(at, stop):
+        r = table[r ^ b[k]]
+    if r != b[stop]:
+        return 0
+    if own:
+        return int.from_bytes(b[end : end + own], "big") + 1
+    return 192 if size == 1 else 576 << (size - 2) if size < 6 else 256 << (size - 8)
+
+
 def _flac(b: memoryview) -> tuple[str, int] | None:
-    at = 4
+    """Frames have no length: one ends where its checksum comes out even and a further header stands. The last one, by the
+    samples that STREAMINFO counts or as no header follows, ends where the checksum does so at the blob's end, else where
+    it first does (without decoding, chance ends it early once in 65,536 bytes)."""
+    at, least, most, total = 4, 0, 0, 0
     while at + 4 <= len(b):
         last, n = b[at] & 0x80, int.from_bytes(b[at + 1 : at + 4], "big")
         if at == 4 and (b[at] & 0x7F or n != 34) or at + 4 + n > len(b):
             return None
+        if at == 4:
+            least, most, total = (int.from_bytes(b[k:e], "big") for k, e in ((12, 15), (15, 18), (21, 26)))
+            total &= (1 << 36) - 1
         at += 4 + n
         if last:
-            return ("flac", len(b)) if at + 2 <= len(b) and b[at] == 0xFF and b[at + 1] >> 2 == 0x3E else None
-    return None
+            break
+    else:
+        return None
+    table, seen, follows = _crc_table(16, 0x8005), 0, True
+    while follows and (samples := _flac_frame(b, at)):
+        seen += samples
+        final = bool(total) and seen >= total
+        r, ends, follows = 0, [], False
+        for k in range(at, min(len(b), at + most) if most else len(b)):
+            r = table[r >> 8 ^ b[k]] ^ (r << 8 & 0xFF00)
+            if not r and k + 1 - at >= max(least, 8):
+                ends.append(k + 1)
+                if not final and (follows := _flac_frame(b, k + 1) > 0):
+                    break
+        if not ends:
+            return None
+        at = ends[-1] if follows or ends[-1] == len(b) else ends[0]
+    return ("flac", at) if seen and seen >= total else None
 
 
 def _ogg(b: memoryview) -> tuple[str, int] | None:
-    at = 0
+    """Pages up to the one that ends the last open stream."""
+    at, open_ = 0, set()
     while at + 27 <= len(b) and bytes(b[at : at + 4]) == b"OggS" and b[at + 4] == 0:
-        table = bytes(b[at + 27 : at + 27 + b[at + 26]])
-        last = b[at + 5] & 4
+        table, serial = bytes(b[at + 27 : at + 27 + b[at + 26]]), bytes(b[at + 14 : at + 18])
+        flags = b[at + 5]
+        if not at and not flags & 2:
+            return None
         at += 27 + len(table) + sum(table)
         if at > len(b):
             return None
-        if last:
-            return "ogg", at
+        open_.add(serial)
+        if flags & 4:
+            open_.discard(serial)
+            if not open_:
+                return "ogg", at
     return None
 
 
-def _pdf(b: memoryview) -> tuple[str, int] | None:
-    raw = bytes(b)
-    end = raw.find(b"%%EOF")
-    return ("pdf", end + 5) if end > 0 and b"startxref" in raw[:end] and raw[5:6].isdigit() else None
+def _pdf(b: memoryview, marks: Marks, start: int) -> tuple[str, int] | None:
+    """Up to the last end mark before the next header whose startxref points at a cross-reference table or stream; so a
+    document that holds another one uncompressed is taken for the inner one alone."""
+    if not bytes(b[5:6]).isdigit():
+        return None
+    return ("pdf", end - start) if (end := marks.pdf_end(start)) else None
 
 
-def _zip(b: memoryview) -> tuple[str, int] | None:
-    raw = bytes(b)
-    at = raw.find(b"PK\x05\x06")
-    if at < 0 or at + 22 > len(raw):
-        return None
-    size, start, note = struct.unpack_from("<IIH", raw, at + 12)
-    return ("zip", at + 22 + note) if start + size == at and at + 22 + note <= len(raw) and (not size or raw[start : start + 4] == b"PK\x01\x02") else None
+def _zip(b: memoryview, marks: Marks, start: int) -> tuple[str, int] | None:
+    return ("zip", end - start) if (end := marks.archives.get(start)) else None
 
 
 def _gzip(b: memoryview) -> tuple[str, int] | None:
@@ -173,6 +291,11 @@ def _mp4(b: memoryview) -> tuple[str, int] | None:
     at, seen = 0, []
     while at + 8 <= len(b):
         (n,), kind = struct.unpack_from(">I", b, at), bytes(b[at + 4 : at + 8])
+        if n == 1 and at + 16 <= len(b):
+            (n,) = struct.unpack_from(">Q", b, at + 8)
+            n = n if n >= 16 else 0
+        elif n == 0 and at and kind == b"mdat":
+            n = len(b) - at  # the last box may reach to the end
         if n < 8 or at + n > len(b) or not kind.isalnum():
             break
         seen.append(kind)
@@ -180,7 +303,8 @@ def _mp4(b: memoryview) -> tuple[str, int] | None:
     return ("mp4", at) if seen[:1] == [b"ftyp"] and b"moov" in seen else None
 
 
-_VALIDATE = {"png": _png, "gif": _gif, "jpeg": _jpeg, "bmp": _bmp, "riff": _riff, "au": _au, "flac": _flac, "ogg": _ogg, "pdf": _pdf, "zip": _zip, "gzip": _gzip, "mp4": _mp4}
+_VALIDATE = {"png": _png, "gif": _gif, "bmp": _bmp, "riff": _riff, "au": _au, "flac": _flac, "ogg": _ogg, "gzip": _gzip, "mp4": _mp4}
+_SEARCHED = {"jpeg": _jpeg, "pdf": _pdf, "zip": _zip}
 
 
 @lru_cache(maxsize=1)
@@ -194,10 +318,12 @@ def _automaton():
 
 def carve(blob: bytes) -> list[tuple[str, int, int]]:
     """(format, offset, bytes) of the valid media in blob from left to right; media inside other media are not listed."""
-    out, end, view = [], 0, memoryview(blob)
+    out, end, view, marks = [], 0, memoryview(blob), Marks(blob)
     for at, (kind, back) in _automaton().iter(blob.decode("latin-1")):
         start = at - back
-        if start >= end and (ok := _VALIDATE[kind](view[start:])):
+        if start < end:
+            continue
+        if ok := _SEARCHED[kind](view[start:], marks, start) if kind in _SEARCHED else _VALIDATE[kind](view[start:]):
             out.append((ok[0], start, ok[1]))
             end = start + ok[1]
     return out

@@ -274,6 +274,70 @@ def test_media(spark, docs, none):
     assert [(r.media_type, r.corrected, len(r.embedded)) for r in got] == [("audio/wav", True, 1), (None, False, 1), ("text/plain", False, 0), ("audio/wav", False, 0)]
 
 
+def _crc(data: bytes, bits: int, poly: int) -> int:
+    r = 0
+    for byte in data:
+        r ^= byte << (bits - 8)
+        for _ in range(8):
+            r = (r << 1 ^ (poly if r >> (bits - 1) else 0)) & ((1 << bits) - 1)
+    return r
+
+
+def _examples() -> dict[str, bytes]:
+    """A small valid file of each format; some hold end marks within, or several parts."""
+    import gzip
+    import io
+    import struct
+    import zipfile
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    def frame(number, samples):
+        # One channel of 16 bits, a constant subframe.
+        head = b"\xff\xf8\x69\x08" + bytes([number, samples - 1])
+        head += bytes([_crc(head, 8, 0x07)]) + b"\x00" + struct.pack(">h", 77 * number)
+        return head + struct.pack(">H", _crc(head, 16, 0x8005))
+
+    info = struct.pack(">HH", 100, 100) + bytes(6) + ((44100 << 44) | (15 << 36) | 250).to_bytes(8, "big") + bytes(16)
+    flac = b"fLaC\x80" + len(info).to_bytes(3, "big") + info + frame(0, 100) + frame(1, 100) + frame(2, 50)
+    page = lambda flags, serial, body: b"OggS\x00" + bytes([flags]) + bytes(8) + struct.pack("<I", serial) + bytes(8) + bytes([1, len(body)]) + body
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("a.txt", "text PK\x05\x06 within and more of it to come")
+        f.writestr("b.txt", "more")
+    body = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\n"
+    once = body + b"xref\n0 1\ntrailer\n<<>>\nstartxref\n" + str(len(body)).encode() + b"\n%%EOF"
+    pdf = once + b"\n2 0 obj\n<<>>\nendobj\nxref\n0 1\nstartxref\n" + str(len(once) + 21).encode() + b"\n%%EOF"
+    box = lambda kind, body: struct.pack(">I", 8 + len(body)) + kind + body
+    segment = lambda kind, body: b"\xff" + bytes([kind]) + struct.pack(">H", 2 + len(body)) + body
+    webp = b"WEBP" + b"VP8 " + struct.pack("<I", 4) + b"abcd"
+    return {
+        "png": b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", b"IEND") + chunk(b"IEND", b""),
+        "gif": b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + bytes(6) + b"!\xf9\x04;;;;\x00" + b"," + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02D\x01\x00;",
+        "jpeg": b"\xff\xd8" + segment(0xE0, b"JFIF\xff\xd9\x00") + segment(0xDA, b"ab") + b"xx\xff\x00yy\xff\xd1zz" + segment(0xC4, b"\xff\xd9") + segment(0xDA, b"cd") + b"ww\xff\xd9",
+        "bmp": media.store_bmp(b"abcd" * 16), "wav": media.store_wav(b"fLaC" * 16), "webp": b"RIFF" + struct.pack("<I", len(webp)) + webp, "au": media.store_au(b"PK\x03\x04" * 16),
+        "flac": flac, "ogg": page(2, 1, b"a") + page(2, 2, b"b") + page(4, 1, b"c") + page(4, 2, b"OggS"), "pdf": pdf, "zip": z.getvalue(), "gzip": gzip.compress(b"many words " * 9),
+        "mp4": box(b"ftyp", b"isom" + bytes(4)) + box(b"moov", b"") + struct.pack(">I4sQ", 1, b"mdat", 20) + b"data",
+    }
+
+
+def test_each_format_is_found_at_its_length():
+    files = _examples()
+    assert set(files) == set(media.TYPES)
+    for order in (sorted(files), sorted(files, reverse=True)):
+        blob, want = b"", []
+        for kind in order:
+            blob += b"\r\n- part of it \r\n"
+            want.append((kind, len(blob), len(files[kind])))
+            blob += files[kind]
+        assert media.carve(blob) == want and media.carve(blob + b"--end--") == want
+    for kind, file in files.items():
+        assert media.carve(file) == [(kind, 0, len(file))]
+        assert not any(found == (kind, 0, len(file)) for found in media.carve(file[:-1]))
+    assert media.carve(b"%PDF-1 fLaC\x00 PK\x03\x04 \xff\xd8\xff BM GIF89a ftyp OggS \x1f\x8b\x08 RIFF .snd" * 50) == []
+
+
 def test_pii(spark, none):
     texts = ["mail a.b@x.example.com now +1 (974) 555-3436 or 10.0.0.1 and 300.1.1.1", None, "", "card 4111 1111 1111 1111 and 4111111111111112", "x@y", "+1 (843) 555-7672 170.106.47.218"]
     found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
