@@ -4,7 +4,9 @@ the state machines of a document run as a small generator in tasks, one document
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -75,41 +77,35 @@ def _windows(text: str, size: int, overlap: int) -> list[str]:
     return [p for i in range(last + 1) if (p := text[i * step : i * step + size]).strip()]
 
 
+def _reach(ends: list[int], i: int, room: int) -> int:
+    """The end of the longest run of parts from i that fits into room; one part at least. ends are their running lengths."""
+    return max(i + 1, bisect_right(ends, (ends[i - 1] if i else 0) + room))
+
+
 def pack_paragraphs(text: str, size: int = 500, overlap: int = 50) -> list[str]:
-    """Paragraphs joined up to `size` characters (joints aside), each pack after the tail of the one before it."""
+    """Paragraphs joined up to `size` characters (joints aside), each pack after the tail of the one before it; one that is
+    longer than that is cut into windows, and no tail passes it."""
     out: list[str] = []
-    pack: list[str] = []
-    for part in re.split(r"\n\n+", text.strip()):
-        part = part.strip()
-        if len(part) > size:
-            if pack:
-                out.append("\n\n".join(pack))
-            out += _windows(part, size, overlap)
-            pack = []
-        elif part:
-            if pack and sum(map(len, pack)) + len(part) > size:
-                out.append("\n\n".join(pack))
-                tail = out[-1][-overlap:].strip() if overlap else ""
-                pack = [tail] if tail else []
-            pack.append(part)
-    if pack:
-        out.append("\n\n".join(pack))
-    return [p.strip() for p in out if p.strip()]
+    for long, stretch in groupby(filter(None, map(str.strip, re.split(r"\n\n+", text))), lambda p: len(p) > size):
+        parts = list(stretch)
+        if long:
+            out += [w for p in parts for w in _windows(p, size, overlap)]
+            continue
+        ends, tail, i = list(accumulate(map(len, parts))), "", 0
+        while i < len(parts):
+            j = _reach(ends, i, size - len(tail))
+            out.append("\n\n".join(filter(None, [tail, *parts[i:j]])))
+            tail, i = out[-1][-overlap:].strip() if overlap else "", j
+    return out
 
 
 def split_table(text: str, size: int = 500) -> list[str]:
     """Rows of a long table in pieces, each under the two header lines, which count for its size."""
-    rows = text.split("\n")
-    if len(rows) < 3:
-        return [text]
-    head, out, piece = rows[:2], [], []
-    base = sum(map(len, head))
-    for row in rows[2:]:
-        if piece and base + sum(map(len, piece)) + len(row) > size:
-            out.append("\n".join(head + piece))
-            piece = []
-        piece.append(row)
-    return out + ["\n".join(head + piece)]
+    head, rows = text.split("\n")[:2], text.split("\n")[2:]
+    ends, cuts = list(accumulate(map(len, rows))), [0]
+    while cuts[-1] < len(rows):
+        cuts.append(_reach(ends, cuts[-1], size - sum(map(len, head))))
+    return ["\n".join(head + rows[i:j]) for i, j in zip(cuts, cuts[1:])] or [text]
 
 
 def _pieces(kind: str, text: str, size: int, overlap: int) -> list[str]:

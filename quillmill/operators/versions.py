@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions import rules
 
@@ -16,12 +17,29 @@ def core_fields(df: DataFrame) -> list[Column]:
     return [(F.coalesce(F.col(c).cast("string"), F.lit("")) if have.get(c, "array") not in ("array", "struct", "map") else F.lit("")).alias(c) for c in CORE]
 
 
+def numbered(df: DataFrame, order: str, name: str, step: int = 1_000_000) -> DataFrame:
+    """df with `name`, each row's place from 0 within its source_file by a column of order.
+
+    A large file's rows are no single group: by a numeric order they are ranked within stretches of `step` values, to which
+    the counts of the stretches before are added, one row for each stretch. Other orders rank a file as a whole.
+    """
+    kind = df.schema[order].dataType
+    place = F.floor(F.col(order) / step).cast("bigint") if isinstance(kind, NumericType) else F.lit(None).cast("bigint")
+    stretch = F.coalesce(place, F.lit(-(1 << 62)).cast("bigint"))  # nulls come first
+    df = df.withColumn("__stretch", stretch)
+    sizes = df.groupBy("source_file", "__stretch").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("source_file").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(F.col("source_file").alias("__file"), F.col("__stretch").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    within = F.row_number().over(Window.partitionBy("source_file", "__stretch").orderBy(order)) - 1
+    ranked = df.withColumn(name, within).join(bases, F.col("source_file").eqNullSafe(F.col("__file")) & (F.col("__stretch") == F.col("__of")))
+    return ranked.withColumn(name, F.col("__base") + F.col(name)).drop("__stretch", "__file", "__of", "__base")
+
+
 def corpus_records(df: DataFrame, text: str = "text", order: str = "ordinal") -> DataFrame:
     """(chunk_id, text, core fields) without blank texts; the number in an id is the row's place within its file, counted
     before blank rows go, so it needs no global order."""
-    nth = F.row_number().over(Window.partitionBy("source_file").orderBy(order)) - 1
-    numbered = df.withColumn("chunk_id", F.concat(F.coalesce("source_file", F.lit("")), F.lit("__chunk_"), nth))
-    return numbered.where(F.trim(F.coalesce(text, F.lit(""))) != "").select("chunk_id", F.col(text).alias("text"), *core_fields(df))
+    named = numbered(df, order, "__nth").withColumn("chunk_id", F.concat(F.coalesce("source_file", F.lit("")), F.lit("__chunk_"), "__nth"))
+    return named.where(F.trim(F.coalesce(text, F.lit(""))) != "").select("chunk_id", F.col(text).alias("text"), *core_fields(df))
 
 
 def list_years(df: DataFrame) -> DataFrame:
@@ -55,8 +73,7 @@ def import_docs(corpus: DataFrame, new: DataFrame, year: str, text: str = "text"
     fresh = new.withColumn("academic_year", F.lit(year)).where(F.trim(F.coalesce(text, F.lit(""))) != "")
     number = F.regexp_extract("chunk_id", r"__chunk_(\d+)$", 1)
     had = corpus.groupBy("source_file").agg((F.max(F.when(number != "", number.cast("bigint"))) + 1).alias("had"))
-    nth = F.row_number().over(Window.partitionBy("source_file").orderBy(order)) - 1
-    fresh = fresh.withColumn("nth", nth).join(had, "source_file", "left")
+    fresh = numbered(fresh, order, "nth").join(had, "source_file", "left")
     ids = F.concat("source_file", F.lit("__chunk_"), F.coalesce("had", F.lit(0)) + F.col("nth"))
     return corpus.unionByName(fresh.select(ids.alias("chunk_id"), F.col(text).alias("text"), *core_fields(fresh)))
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.versions import corpus_records
+from ..operators.versions import corpus_records, numbered
 
 EXTENSIONS = (".md", ".txt", ".html", ".htm")
 GOLD = "id bigint, question string, answer string, difficulty string, category string, is_table_question boolean, source_tags array<string>, source_files array<string>, negative_sample boolean"
@@ -157,9 +157,8 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 def export_corpus(vectors: DataFrame) -> DataFrame:
     """All rows of a vector table as corpus records of six metadata fields, numbered within their files."""
-    nth = F.row_number().over(Window.partitionBy("source_file").orderBy("chunk")) - 1
     keep = ["source_file", "business_tag", "academic_year", "chapter", "chunk_strategy", "heading_path"]
-    return vectors.select(F.concat("source_file", F.lit("__chunk_"), nth).alias("chunk_id"), "text", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in keep])
+    return numbered(vectors, "chunk", "__nth").select(F.concat("source_file", F.lit("__chunk_"), "__nth").alias("chunk_id"), "text", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in keep])
 
 
 def write_eval(df: DataFrame, path: str) -> None:

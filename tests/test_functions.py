@@ -48,6 +48,8 @@ def test_chunking(spark):
     assert list(chunk.sections("p\n# A\nx\n## B\ny\n# C\nz")) == [([], "p"), (["A"], "x"), (["A", "B"], "y"), (["C"], "z")]
     assert list(chunk.blocks("a\n|x|\n|y|\n```\nc\n```\nb")) == [("text", "a"), ("table", "|x|\n|y|"), ("code", "```\nc\n```"), ("text", "b")]
     assert chunk.pack_paragraphs("aaaa\n\nbbbb\n\ncccc", 8, 2) == ["aaaa\n\nbbbb", "bb\n\ncccc"]
+    assert chunk.pack_paragraphs("aa\n\nbbbbbbbbbbbb\n\ncc\n\n \n\ndd", 6, 2) == ["aa", "bbbbbb", "bbbbbb", "bbbb", "cc\n\ndd"]
+    assert chunk.split_table("h\n-") == ["h\n-"] and chunk.split_table("h\n-\n" + "r" * 20, 5) == ["h\n-\n" + "r" * 20]
     assert chunk.split_table("h\n-\n" + "\n".join("r" * 5 for _ in range(4)), 14) == ["h\n-\nrrrrr\nrrrrr", "h\n-\nrrrrr\nrrrrr"]
     text = "".join(chr(97 + i % 26) for i in range(1234))
     parts = one(spark, text, chunk.hard_split)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillmill.operators import dense, evaluate
+from quillmill.operators import dense, evaluate, versions
 from quillmill.sources import io
 from quillmill.streaming import requests
 
@@ -58,3 +58,15 @@ def test_recall_grows_with_k(spark):
     g = spark.createDataFrame([(1, ["f3"], ["t"], False, True), (2, ["f9"], [], True, False)], "query_id int, source_files array<string>, source_tags array<string>, negative_sample boolean, is_table_question boolean")
     r = {(x.subset, x.k): x.recall for x in evaluate.recall_at_k(evaluate.eval_detail(c, g)).collect()}
     assert r == {("all", 1): 0, ("all", 3): 1, ("all", 5): 1, ("table", 1): 0, ("table", 3): 1, ("table", 5): 1}
+
+
+def test_rows_are_numbered_within_files_across_stretches(spark):
+    rows = [("a", k * 7 % 101 - 20) for k in range(101)] + [(None, k) for k in (5, 3, None)] + [("b", 4)]
+    got = versions.numbered(spark.createDataFrame(rows, "source_file string, k int"), "k", "nth", step=10).collect()
+    want = []
+    for f in ("a", "b", None):
+        own = sorted((x for x in rows if x[0] == f), key=lambda x: (x[1] is not None, x[1]))
+        want += [(f, k, i) for i, (_, k) in enumerate(own)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    text = versions.numbered(spark.createDataFrame([("a", "y"), ("a", "x")], "source_file string, k string"), "k", "nth").collect()
+    assert sorted((r.k, r.nth) for r in text) == [("x", 0), ("y", 1)]
