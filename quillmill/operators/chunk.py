@@ -12,12 +12,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clean import strip
+from ..functions.clean import clean_text, strip
+from ..functions.meta import extract_metadata
+from ..functions.structure import mark_structures
 
 _HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*")
 CHUNK = "section int, block int, piece int, chunk_index int, content_type string, heading_path string, heading_level int, table_columns array<string>, content string"
 
 
+def _names() -> list[str]:
+    return [f.split()[0] for f in CHUNK.split(", ")]
+
+
 def hard_split(c: Column, size: int = 500, overlap: int = 50) -> Column:
     """Windows of `size` characters, each `size - overlap` after the last, up to the one that reaches the end; no blank ones."""
     step, n = max(size - overlap, 1), F.char_length(c)
@@ -126,7 +132,7 @@ def chunk(df: DataFrame, key: str = "source_file", text: str = "text", strategy:
     """
     if strategy not in ("structured", "recursive"):
         raise ValueError(f"unknown strategy {strategy}")
-    names = [f.split()[0] for f in CHUNK.split(", ")]
+    names = _names()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -153,3 +159,21 @@ def split_sections(df: DataFrame, key: str = "source_file", text: str = "text")
 
     src = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     return src.mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, section int, heading_path array<string>, body string")
+
+
+def build_corpus(docs: DataFrame, strategy: str = "structured", key: str = "source_file", text: str = "text", loader: tuple[str, ...] = (), **options) -> DataFrame:
+    """The chunks of docs, cleaned and marked first: all columns of docs but text, the document's metadata, and CHUNK's columns.
+
+    The document's columns go through the chunker as one key, so nothing is shuffled and rows that repeat a document give
+    its chunks as often. Null text gives no chunk. Columns of docs named as one of CHUNK's or as metadata are replaced (the
+    latter stay where loader names them). An empty table gives no rows.
+    """
+    own = _names()
+    ready = docs.where(F.col(text).isNotNull()).select(*[c for c in docs.columns if c not in (text, *own)], clean_text(F.col(text)).alias(text))
+    described = extract_metadata(mark_structures(ready, text), name=key, body=text, loader=loader)
+    whole = F.struct(*[c for c in described.columns if c != text])
+    form = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    keyed = described.select(F.to_json(whole, {"ignoreNullFields": "false", **form}).alias("__document"), F.col(text).alias("text"))
+    kind = described.select(whole.alias("d")).schema["d"].dataType
+    chunks = chunk(keyed, "__document", "text", strategy, **options)
+    return chunks.withColumn("__document", F.from_json("__document", kind, form)).select("__document.*", *own, "chunk_strategy")

@@ -146,6 +146,12 @@ def structured_chunks(spark, sf_dir):
     return chunk.chunk(d, key="doc_id").drop("table_columns")
 
 
+@query()
+def built_corpus(spark, sf_dir):
+    """The named documents as a corpus: cleaned, marked, described and chunked, whole texts."""
+    return chunk.build_corpus(view(spark, sf_dir, NAMED).drop("text"), text="body").drop("table_columns")
+
+
 GRID = "SELECT o_orderkey AS k, o_orderstatus AS a, o_orderpriority AS b FROM {orders}"
 
 

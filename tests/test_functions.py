@@ -56,3 +56,18 @@ def test_chunking(spark):
     assert parts[0] + "".join(p[50:] for p in parts[1:]) == text
     rows = chunk.chunk(spark.createDataFrame([("f", "# A\nx"), ("g", None)], "source_file string, text string")).collect()
     assert [(r.content, r.heading_level, r.chunk_index) for r in rows] == [("A\n\nx", 1, 0)]
+
+
+def test_build_corpus(spark):
+    body = "第一章 总则\nPage 3\n本办法自2022年9月1日起施行。\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n第二章 附则\n" + "其他规定。" * 150
+    rows = [(1, "浙江工业大学学生管理办法.docx", body, 1.5, 9), (2, "2023软件工程专业培养计划.pdf", "plain", None, 9), (2, "2023软件工程专业培养计划.pdf", "plain", None, 9), (3, "x.txt", None, 0.0, 9), (4, "y.txt", "", 0.0, 9)]
+    docs = spark.createDataFrame(rows, "doc_id int, source_file string, text string, size double, section int")
+    got = chunk.build_corpus(docs).orderBy("doc_id", "chunk_index").collect()
+    plain = structure.mark_structures(docs.where("text is not null").select("doc_id", clean.clean_text(F.col("text")).alias("text")))
+    want = chunk.chunk(plain, key="doc_id").orderBy("doc_id", "chunk_index").collect()
+    assert [(r.doc_id, r.section, r.chunk_index, r.content_type, r.heading_path, r.content) for r in got] == [(r.doc_id, r.section, r.chunk_index, r.content_type, r.heading_path, r.content) for r in want]
+    first = [r for r in got if r.doc_id == 1]
+    assert len(first) > 3 and {r.content_type for r in first} == {"text", "table"} and {r["size"] for r in first} == {1.5} and {r.chunk_strategy for r in first} == {"structured"}
+    meta_of = {r.doc_id: r for r in meta.extract_metadata(plain.join(docs.select("doc_id", "source_file").distinct(), "doc_id")).collect()}
+    assert all(r[c] == meta_of[r.doc_id][c] for r in got for c in ("file_type", "business_tag", "academic_year", "chapter", "doc_type", "effective_date", "scope", "update_time"))
+    assert chunk.build_corpus(docs.limit(0)).count() == 0 and chunk.build_corpus(docs, strategy="recursive").where("heading_path != ''").count() == 0
