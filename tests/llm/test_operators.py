@@ -39,8 +39,9 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_substrings(docs, none):
-    got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(docs).collect())
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_substrings(docs, none, hot):
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(docs, hot=hot).collect())
     want = []
     for i, t in TEXTS:
         b = (t or "").encode()
@@ -52,7 +53,7 @@ def test_substrings(docs, none):
         kept = bytes(x for x, h in zip(b, hit) if not h)
         want.append((i or -1, len(b), sum(hit), sum(h and not (k and hit[k - 1]) for k, h in enumerate(hit)), hashlib.sha256(kept).hexdigest()))
     assert got == sorted(want)
-    assert substrings.remove_repeats(none).count() == 0
+    assert substrings.remove_repeats(none, hot=hot).count() == 0
 
 
 def test_longest_previous_factors():
@@ -76,12 +77,13 @@ def test_longest_previous_factors():
                     assert want < least or source[i] < value[i]
 
 
-def test_substrings_of_periodic_texts(spark):
-    """Few letters, repeated ids and rows in no order: every window has many contexts."""
+@pytest.mark.parametrize("hot", [4096, 9, 2])
+def test_substrings_of_periodic_texts(spark, hot):
+    """Few letters, repeated ids and rows in no order: every window has many contexts; hot anchors go by window."""
     r = random.Random(8)
     unit = ["".join(r.choice("ab ") for _ in range(n)) for n in (3, 20, 70)]
     texts = [(r.randrange(30), "".join(r.choice(unit) for _ in range(r.randrange(1, 12))) * r.randrange(1, 3)) for _ in range(50)]
-    got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans) for x in substrings.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans) for x in substrings.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), hot=hot).collect())
     want = []
     for i, t in texts:
         earlier = {u[p : p + 50] for j, u in texts if j < i for p in range(len(u) - 49)}
