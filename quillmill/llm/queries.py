@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, decontaminate, lines, media, neardup, packed, pii, quality, substrings, toxicity
+from . import bestfit, decontaminate, lines, media, neardup, packed, phrases, pii, quality, substrings, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,25 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in as few sequences of 1024 tokens as best fit finds."""
     return bestfit.pack(docs(spark, sf_dir))
+
+
+OP13_SQL = r"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+worded AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+gram AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (VALUES (1), (2), (3)) AS s(k) WHERE len(w) >= k)),
+known AS (SELECT lang, k AS size, phrase, string_split(phrase, ' ') AS w, count(*) AS f FROM gram GROUP BY lang, k, phrase HAVING count(*) >= 10),
+cut AS (SELECT lang, phrase, f AS a, k, array_to_string(list_slice(w, 1, k), ' ') AS x, array_to_string(list_slice(w, k + 1, size), ' ') AS y FROM (SELECT *, unnest(range(1, size)) AS k FROM known WHERE size > 1)),
+scored AS (SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score FROM cut c JOIN known x ON x.lang = c.lang AND x.phrase = c.x JOIN known y ON y.lang = c.lang AND y.phrase = c.y),
+best AS (SELECT lang, phrase, a, min({'score': score, 'k': k, 'l': l, 'r': r}) AS b FROM scored GROUP BY lang, phrase, a),
+around AS (SELECT lang, phrase, max(f) AS longer FROM (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM known WHERE size = 3) GROUP BY lang, phrase),
+ranked AS (SELECT b.lang, b.phrase, b.a, b.b.l AS l, b.b.r AS r, b.b.score AS score, row_number() OVER (PARTITION BY b.lang ORDER BY b.b.score DESC, b.a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.longer IS NULL OR 100 * CAST(o.longer AS HUGEINT) < 50 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collocations of two and three words of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
