@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, decontaminate, lines, media, neardup, packed, phrases, pii, quality, substrings, toxicity
+from . import bestfit, decontaminate, lines, media, neardup, packed, phrases, pii, quality, substrings, toxicity, vectors
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +127,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack(docs(spark, sf_dir))
 
 
+OP12_SQL = """
+WITH RECURSIVE numbered AS (SELECT row_number() OVER () AS rn, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (SELECT rn, vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM numbered WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e) AND list_dot_product(e, e) > 0),
+pair AS (SELECT a.rn AS x, b.rn AS y, b.vec_id AS id FROM usable a JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e) AND a.rn <> b.rn WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reach AS (SELECT x, y, id FROM pair UNION SELECT r.x, p.y, p.id FROM reach r JOIN pair p ON p.x = r.y),
+linked AS (SELECT x AS rn, count(*) AS n FROM pair GROUP BY x),
+least AS (SELECT x AS rn, min(id) AS id FROM reach GROUP BY x)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(id, vec_id)) AS component_id, coalesce(vec_id = least(vec_id, coalesce(id, vec_id)), false) AS kept
+FROM numbered LEFT JOIN linked USING (rn) LEFT JOIN least USING (rn)
+"""
+
+
+@query("op12_near_vectors", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 within every label, and their components."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+
+
 OP13_SQL = r"""
 WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
 worded AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
