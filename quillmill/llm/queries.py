@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, decontaminate, lines, media, neardup, packed, phrases, pii, quality, substrings, toxicity, vectors
+from . import bestfit, decontaminate, lines, media, neardup, packed, phrases, pii, quality, substrings, toxicity, turns, vectors
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +127,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack(docs(spark, sf_dir))
 
 
+@query("op11_repair_conversations")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    return turns.repair_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 OP12_SQL = """
 WITH RECURSIVE numbered AS (SELECT row_number() OVER () AS rn, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 usable AS (SELECT rn, vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM numbered WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e) AND list_dot_product(e, e) > 0),
