@@ -127,7 +127,50 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack(docs(spark, sf_dir))
 
 
-@query("op11_repair_conversations")
+OP11_SQL = r"""
+WITH hashed AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: list_reduce(range(8), lambda d, i: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END, xor(c, b)), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS h
+  FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS k FROM conversations)),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed WHERE h <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n, rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS body FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         concat(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n), left(role, 1)) AS pair
+  FROM placed),
+gathered AS (
+  SELECT conv_id, count(*) AS n, CASE WHEN max(turn) IS NULL THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (n > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal,
+         list({'role': role, 'text': text} ORDER BY n) AS turns,
+         list({'c0': 0, 'a0': '', 'c1': 1000000, 'a1': '', 'c2': 4, 'a2': 'II', 'c3': 2, 'a3': 'I', 'i': left(role, 1), 'gone': fault IN ('blank', 'duplicate'), 't': CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END} ORDER BY n) AS rows
+  FROM judged GROUP BY conv_id),
+aligned AS (
+  SELECT *, list_reduce(rows, lambda x, y: list_transform(list_transform([{
+      'n0': {'c': x.c0 + 3, 'a': x.a0 || 'D'},
+      'n1': list_min([{'c': x.c1 + 3, 'a': x.a1 || 'D'}, {'c': CASE WHEN y.i = 's' AND NOT y.gone THEN x.c0 + y.t ELSE 1000000 END, 'a': x.a0 || 'K'}]),
+      'n2': list_min([{'c': x.c2 + 3, 'a': x.a2 || 'D'}, {'c': CASE WHEN y.gone THEN 1000000 WHEN y.i = 'a' THEN x.c3 + y.t ELSE x.c3 + y.t + 2 END, 'a': x.a3 || CASE WHEN y.i = 'a' THEN 'K' ELSE 'R' END}]),
+      'n3': list_min([{'c': x.c3 + 3, 'a': x.a3 || 'D'}] || list_transform([{'c': x.c0, 'a': x.a0}, {'c': x.c1, 'a': x.a1}, {'c': x.c2, 'a': x.a2}], lambda z: {'c': CASE WHEN y.gone THEN 1000000 WHEN y.i = 'u' THEN z.c + y.t ELSE z.c + y.t + 2 END, 'a': z.a || CASE WHEN y.i = 'u' THEN 'K' ELSE 'R' END}))}],
+      lambda m: {'n0': m.n0, 'n1': m.n1, 'n2': m.n2, 'n3': list_min([m.n3, {'c': m.n0.c + 2, 'a': m.n0.a || 'I'}, {'c': m.n1.c + 2, 'a': m.n1.a || 'I'}, {'c': m.n2.c + 2, 'a': m.n2.a || 'I'}])}),
+      lambda m: {'c0': m.n0.c, 'a0': m.n0.a, 'c1': m.n1.c, 'a1': m.n1.a, 'c2': least(m.n2.c, m.n3.c + 2), 'a2': list_min([m.n2, {'c': m.n3.c + 2, 'a': m.n3.a || 'I'}]).a, 'c3': m.n3.c, 'a3': m.n3.a, 'i': y.i, 'gone': y.gone, 't': y.t})[1],
+    {'c0': 0, 'a0': '', 'c1': 1000000, 'a1': '', 'c2': 4, 'a2': 'II', 'c3': 2, 'a3': 'I', 'i': '', 'gone': false, 't': 0}) AS e
+  FROM gathered),
+decided AS (SELECT *, list_min([{'c': e.c0, 'a': e.a0}, {'c': e.c2, 'a': e.a2}]) AS best FROM aligned),
+rendered AS (
+  SELECT *, list_reduce(list_transform(CASE WHEN best.a = '' THEN [] ELSE string_split(best.a, '') END, lambda x: {'edit': x, 'at': CAST(0 AS BIGINT), 'state': CAST(0 AS BIGINT), 'lines': CAST([] AS VARCHAR[])}),
+    lambda x, y: {'edit': y.edit, 'at': x.at + CASE WHEN y.edit = 'I' THEN 0 ELSE 1 END,
+      'state': CASE WHEN y.edit = 'D' THEN x.state WHEN y.edit = 'K' AND x.state = 0 AND left(turns[x.at + 1].role, 1) = 's' THEN 1 WHEN x.state = 3 THEN 2 ELSE 3 END,
+      'lines': x.lines || CASE y.edit WHEN 'D' THEN CAST([] AS VARCHAR[]) WHEN 'K' THEN [concat(turns[x.at + 1].role, ':', turns[x.at + 1].text)]
+        ELSE [concat(CASE WHEN x.state = 3 THEN 'assistant' ELSE 'user' END, ':', CASE WHEN y.edit = 'R' THEN turns[x.at + 1].text ELSE '' END)] END},
+    {'edit': '', 'at': CAST(0 AS BIGINT), 'state': CAST(0 AS BIGINT), 'lines': CAST([] AS VARCHAR[])}).lines AS lines
+  FROM decided)
+SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN rendered r ON r.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
+@query("op11_repair_conversations", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of every damaged conversation and its cheapest repair."""
     return turns.repair_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
