@@ -134,7 +134,7 @@ class Words:
         self.row = np.searchsorted(offsets, self.starts, "right") - 1
         self.n = np.bincount(self.row, minlength=len(offsets) - 1) if len(offsets) > 1 else np.zeros(0, np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.n)])
-        self._mask = mask
+        self.mask = mask
 
     @property
     def hashes(self) -> np.ndarray:
@@ -143,7 +143,7 @@ class Words:
             return np.zeros(0, np.uint64)
         at = np.concatenate([[0], np.cumsum(lens)[:-1]])
         place = np.arange(int(lens.sum())) - np.repeat(at, lens)
-        return mix(np.add.reduceat(_BYTE_CODE[self.lower[self._mask]] * powers(int(lens.max()))[place], at))
+        return mix(np.add.reduceat(_BYTE_CODE[self.lower[self.mask]] * powers(int(lens.max()))[place], at))
 
     def prefix_hashes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(word index, hash of its first `size` bytes) of words longer than size."""
@@ -168,6 +168,16 @@ class Words:
         return b" ".join(self.lower[s:e].tobytes() for s, e in zip(self.starts[i : i + size], self.ends[i : i + size]))
 
 
+def joined(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words, a space after each, as one array of bytes; and where each starts in it, and its end."""
+    lens = w.ends - w.starts
+    at = np.concatenate([[0], np.cumsum(lens + 1)])
+    out = np.full(int(at[-1]), 0x20, np.uint8)
+    k = np.arange(int(lens.sum()))
+    out[k + np.repeat(np.arange(len(lens)), lens)] = w.lower[w.mask]
+    return out, at
+
+
 def runs_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, starts of equal runs in it); the first key is the most significant."""
     order = np.lexsort(keys[::-1])
@@ -256,10 +266,13 @@ def in_filter(bits: np.ndarray, hashes: np.ndarray, log_bits: int) -> np.ndarray
 
 
 def filter_size(src: DataFrame) -> tuple[int, int]:
-    """(log_p, log_bits) for repeated(): buckets and bits follow the number of tasks, the bits up to 32 MB."""
-    tasks = max(1, src.rdd.getNumPartitions())
-    log_p = max(6, (8 * tasks - 1).bit_length())
-    return log_p, max(log_p + 8, min(28, 21 + (tasks - 1).bit_length()))
+    """(log_p, log_bits) for repeated(): buckets and bits follow the number of tasks, to a million buckets and 32 MB of bits."""
+    return filter_bits(src.rdd.getNumPartitions())
+
+
+def filter_bits(tasks: int) -> tuple[int, int]:
+    log_p = min(20, max(6, (8 * max(tasks, 1) - 1).bit_length()))
+    return log_p, max(log_p + 8, min(28, 21 + (max(tasks, 1) - 1).bit_length()))
 
 
 def split_by_keys(rows: DataFrame, keyed: DataFrame, keys: list[str], log_bits: int = 24) -> tuple[DataFrame, DataFrame]:

@@ -6,12 +6,14 @@ share a half with another one are candidates, whose texts are cut out once; thei
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_bytes, filter_size, in_buckets, in_filter, materialize, mix, put_together, repeated, runs_of, split_by_keys, text_bytes, unpacked
+from .common import Words, by_bytes, filter_size, in_buckets, in_filter, joined, materialize, mix, put_together, repeated, runs_of, split_by_keys, text_bytes, unpacked
 
 _B = 0xD6E8FEB86659FD93
 _INVERSE = pow(_B, -1, 1 << 64)
@@ -37,19 +39,20 @@ class Lines:
         self._pow = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, _B, np.uint64))])
         self._inv = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, _INVERSE, np.uint64))])
         self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * self._pow[: len(h)])])
-        self._more = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + _K2) * self._pow[: len(h)])])
         use = np.flatnonzero(self.words.n)
         self.doc, self.number = doc[use], number[use]
         self.a, self.n = self.words.first[use], self.words.n[use].astype(np.int64)
 
-    def _range(self, a, b, sums=None):
-        s = self._sums if sums is None else sums
-        return (s[b] - s[a]) * self._inv[a]
+    def _range(self, a, b):
+        return (self._sums[b] - self._sums[a]) * self._inv[a]
 
     def contents(self) -> tuple[np.ndarray, np.ndarray]:
-        n = self.n.astype(np.uint64) * _K1
+        """Two hashes of each line's words: one of their hashes, and a digest of their bytes, which shares no structure with it."""
         b = self.a + self.n
-        return mix(self._range(self.a, b) + n), mix(self._range(self.a, b, self._more) + n)
+        data, at = joined(self.words)
+        raw = memoryview(data)
+        digests = b"".join(hashlib.blake2b(raw[x:y], digest_size=8).digest() for x, y in zip(at[self.a].tolist(), at[b].tolist()))
+        return mix(self._range(self.a, b) + self.n.astype(np.uint64) * _K1), np.frombuffer(digests, np.uint64).copy()
 
     def halves(self, least: int) -> list[np.ndarray]:
         """Keys in the order of HALVES, 0 where there is none: two lines one edit apart agree in their first or last m // 2

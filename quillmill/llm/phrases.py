@@ -23,7 +23,7 @@ _ENDS[list(PIECE_ENDS)] = True
 PRIME = np.uint64((1 << 31) - 1)
 BASES = (1_732_050_807, 1_414_213_562)
 #: Words whose n-grams one vectorised step takes, n-grams a task holds before it sends them on.
-STEP_WORDS, HELD = 200_000, 3_000_000
+STEP_WORDS, HELD = 150_000, 2_000_000
 
 
 def _mod(x: np.ndarray) -> np.ndarray:

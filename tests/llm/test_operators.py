@@ -486,3 +486,38 @@ def test_best_fit_decreasing_against_brute_force():
 def test_ids_that_do_not_fit_are_refused(docs):
     with pytest.raises(Exception, match="needs more than 1 bytes"):
         packed.pack_matrices(docs, size=64, width=1).count()
+
+
+def test_lines_of_one_polynomial_stay_apart(spark):
+    """Thue-Morse sequences of two words and their complements agree in every polynomial modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = (" ".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    frame = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.text) for r in lines.dedup_lines(frame).collect()}
+    assert got == {1: (0, one), 2: (0, other), 3: (1, "")}
+
+
+def test_pii_long_runs_of_digits():
+    import time
+
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [(0, 5006, "ip")]
+    began = time.time()
+    run = "7" * 1_000_000
+    assert pii.base_spans(f"{run} {run}.1.1.1 {'+1' * 200_000}") == []
+    assert time.time() - began < 20
+
+
+def test_pii_base_spans_on_random_texts():
+    """The patterns as they are stated, tried at each place."""
+    stated = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    r = random.Random(11)
+    for _ in range(3000):
+        text = "".join(r.choice(["0", "1", "25", "4111 1111 1111 1111", ".", ".", "@", "a", "-", " ", "+", "(", "é", "x@y.z"]) for _ in range(r.randrange(1, 30)))
+        want = sorted(((m.start(), m.end(), k) for k, p in stated.items() for m in re.finditer(p, text) if pii.valid(k, m.group())), key=lambda s: (s[0], pii.KINDS.index(s[2])))
+        assert pii.base_spans(text) == want
+
+
+def test_filters_are_bounded():
+    from quillmill.llm.common import filter_bits
+
+    assert all(p <= 20 and p + 8 <= b <= 28 for p, b in map(filter_bits, (0, 1, 100, 10**4, 10**6, 10**8)))
