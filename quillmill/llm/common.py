@@ -266,13 +266,13 @@ def in_filter(bits: np.ndarray, hashes: np.ndarray, log_bits: int) -> np.ndarray
 
 
 def filter_size(src: DataFrame) -> tuple[int, int]:
-    """(log_p, log_bits) for repeated(): buckets and bits follow the number of tasks, to a million buckets and 32 MB of bits."""
+    """(log_p, log_bits) for repeated(): buckets and bits follow the number of tasks, to a million buckets and 16 MB of bits."""
     return filter_bits(src.rdd.getNumPartitions())
 
 
 def filter_bits(tasks: int) -> tuple[int, int]:
     log_p = min(20, max(6, (8 * max(tasks, 1) - 1).bit_length()))
-    return log_p, max(log_p + 8, min(28, 21 + (max(tasks, 1) - 1).bit_length()))
+    return log_p, max(log_p + 7, min(27, 21 + (max(tasks, 1) - 1).bit_length()))
 
 
 def split_by_keys(rows: DataFrame, keyed: DataFrame, keys: list[str], log_bits: int = 24) -> tuple[DataFrame, DataFrame]:

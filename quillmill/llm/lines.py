@@ -100,7 +100,7 @@ def one_edit(a: list, b: list) -> bool:
 PLACE = "doc_id bigint, text_key bigint, line int"
 LINES = PLACE + ", words int, c bigint, d bigint, " + ", ".join(f"{h} bigint" for h in HALVES)
 #: Rows that a task holds before it sends them to their buckets.
-HELD = 1_000_000
+HELD = 500_000
 
 
 def _names(schema: str) -> list[str]:
@@ -297,7 +297,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
 def repeated_lines(src: DataFrame, least: int = 8, edits: int = 1) -> DataFrame:
     """(doc_id, text_key, line, near) of the lines of src (doc_id, text, text_key) that an earlier line repeats."""
-    broadcast = src.sparkSession.sparkContext.broadcast  # filters of 32 MB at most
+    broadcast = src.sparkSession.sparkContext.broadcast  # filters of 16 MB at most
     lines = materialize(_hashed_lines(src, least), "lines")
     log_p, log_bits = filter_size(src)
     firsts = materialize(_first_copies(lines, log_p), "firsts")

@@ -201,7 +201,7 @@ class NearDuplicates:
 
         known = src.where("doc_id is not null")
         log_p, log_bits = filter_size(known)
-        met = spark.sparkContext.broadcast(repeated(known, samples, log_p, log_bits))  # at most 32 MB
+        met = spark.sparkContext.broadcast(repeated(known, samples, log_p, log_bits))  # at most 16 MB
 
         def sign(column: pa.Array) -> list:
             s, n = Shingles(column, cast.value), len(column)

@@ -260,7 +260,7 @@ def collocations(docs: DataFrame, group: str = "lang", least: int = 10, longest:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     src = docs.select(text.alias("text"), F.coalesce(F.col(group).cast("string"), F.lit("und")).alias("lang"))
     log_p, log_bits = filter_size(src)
-    bits = docs.sparkSession.sparkContext.broadcast(frequent(src, least, longest, log_p, log_bits))  # at most 32 MB
+    bits = docs.sparkSession.sparkContext.broadcast(frequent(src, least, longest, log_p, log_bits))  # at most 16 MB
     known = materialize(counted(src, bits, least, longest, log_p, log_bits), "phrases")
     words = F.split("phrase", " ")
     wanted = known.where("size > 1").select("lang", "phrase", "size", F.col("f").alias("a"), words.alias("words"))

@@ -265,7 +265,7 @@ def near_vectors(table: DataFrame, near: float = 0.98, vector: str = "embedding"
         return np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
 
     log_p, log_bits = filter_size(nodes)
-    shared = spark.sparkContext.broadcast(repeated(nodes, owners, log_p, log_bits, None))  # at most 32 MB
+    shared = spark.sparkContext.broadcast(repeated(nodes, owners, log_p, log_bits, None))  # at most 16 MB
 
     def emit(batches):
         for b in batches:
