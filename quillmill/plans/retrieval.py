@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import TERMS
 from ..functions.text import token_pattern, words
-from ..operators import dense, evaluate, fuse, lexical, rerank
+from ..operators import dense, evaluate, fuse, postings, rerank
+from ..sources.shared import new_path
 from .registry import query, table, view
 
 # Views.
@@ -74,8 +75,25 @@ def with_(*parts: str) -> str:
     return ("WITH " + ", ".join(parts) + " ").replace("@TOKENS@", TOKENS)
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def bm25_tables(spark, sf_dir) -> postings.Index:
+    """The index of the chunks: written by the first search of an application, read by the others."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = new_path(spark, "bm25")
+        postings.write_index(chunks(spark, sf_dir), path)
+        _INDEXES[key] = path
+    return postings.read_index(spark, _INDEXES[key])
+
+
+def bm25_topk(spark, sf_dir) -> DataFrame:
+    return postings.search(bm25_tables(spark, sf_dir), asked(spark, sf_dir)).select("query_id", "chunk", "score", "rank")
+
+
 def bm25(spark, sf_dir) -> DataFrame:
-    found = lexical.bm25_topk(asked(spark, sf_dir), chunks(spark, sf_dir))
+    found = bm25_topk(spark, sf_dir)
     return found.join(chunks(spark, sf_dir).withColumnRenamed("doc_id", "chunk"), "chunk")
 
 
@@ -91,13 +109,18 @@ def recall_bm25_capped(spark, sf_dir):
 
 @query(with_(BM25) + "SELECT token, df, round(idf, 6) AS idf FROM stats")
 def bm25_index(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    return lexical.token_stats(lexical.token_counts(c, "text")).withColumn("idf", F.round("idf", 6))
+    return bm25_tables(spark, sf_dir).terms.withColumn("idf", F.round("idf", 6))
+
+
+@query()
+def bm25_blocks(spark, sf_dir):
+    """How many blocks hold a question's tokens, and how many of them the search reads."""
+    return postings.searched(bm25_tables(spark, sf_dir), asked(spark, sf_dir))[1]
 
 
 @query(with_(BM25) + "SELECT query_id, chunk, score, rank FROM bm25")
 def bm25_top10(spark, sf_dir):
-    return lexical.bm25_topk(asked(spark, sf_dir), chunks(spark, sf_dir)).select("query_id", "chunk", "score", "rank")
+    return bm25_topk(spark, sf_dir)
 
 
 @query(with_(GOLD) + "SELECT query_id, array_to_string(source_files, ',') AS files, array_to_string(source_tags, ',') AS tags, negative_sample, is_table_question FROM gold")
@@ -288,7 +311,7 @@ def rewrite_search(spark, sf_dir):
     """Every query form searched once by BM25, its hits weighted by the form and fused."""
     v = view(spark, sf_dir, VARIANTS).select("query_id", F.array("v1", "v2").alias("variants"))
     forms = fuse.expand_queries(asked(spark, sf_dir), v).withColumn("form", F.col("query_id") * 10 + F.col("place"))
-    found = lexical.bm25_topk(forms.select(F.col("form").alias("query_id"), "query"), chunks(spark, sf_dir))
+    found = postings.search(bm25_tables(spark, sf_dir), forms.select(F.col("form").alias("query_id"), "query"))
     back = found.select((F.col("query_id") / 10).cast("bigint").alias("query_id"), (F.col("query_id") % 10).cast("int").alias("leg"), F.col("chunk").alias("key"), "score", "rank")
     return fuse.weighted_fuse(back, {0: 3.0, 1: 1.0, 2: 1.0})
 
@@ -363,7 +386,7 @@ def hashed_vectors(spark, sf_dir):
 
 def text_legs(spark, sf_dir) -> DataFrame:
     """BM25 and dense search over the documents, the latter by hashed token vectors."""
-    lexical_leg = lexical.bm25_topk(asked(spark, sf_dir), chunks(spark, sf_dir)).withColumn("leg", F.lit(1))
+    lexical_leg = bm25_topk(spark, sf_dir).withColumn("leg", F.lit(1))
     q, v = hashed_vector(asked(spark, sf_dir), "query_id", "query"), hashed_vector(chunks(spark, sf_dir), "doc_id", "text").withColumnRenamed("doc_id", "chunk")
     return lexical_leg.unionByName(dense.knn_topk(q, v, 10).withColumn("leg", F.lit(2))).withColumnRenamed("chunk", "key")
 
