@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lexical import top_k
+from . import pivots
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,64 +21,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def knn_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine", tag: str | None = None) -> DataFrame:
-    """(query_id, chunk, score, rank) of the k nearest: queries (query_id, vector[, tag]) against vectors (chunk, vector[, tag]).
-
-    With tag, only vectors of the query's tag are met, by an equi-join. Otherwise the queries come in blocks and each task
-    multiplies a block with its vectors and keeps k for each query, so k rows a query and task shuffle, no pairs.
-    """
-    if metric not in ("cosine", "dot"):
-        raise ValueError(f"unknown metric {metric}")
-    if tag:
-        q = queries.select("query_id", F.col("vector").alias("q"), tag)
-        met = vectors.join(q, tag)
-        score = cosine(F.col("q"), F.col("vector")) if metric == "cosine" else dot(F.col("q"), F.col("vector"))
-        return top_k(met.select("query_id", "chunk", F.round(score, 6).alias("score")), k)
-    found = None
-    for block in _blocks(queries):
-        part = vectors.select("chunk", "vector").mapInPandas(_nearest(block, k, metric), "query_id bigint, chunk bigint, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], "query_id bigint, chunk bigint, score double, rank int")
-    return top_k(found, k)
-
-
-def _blocks(queries: DataFrame, size: int = 4096):
-    """The query set in blocks of `size`, fetched one after the other."""
-    held: list = []
-    for r in queries.select("query_id", "vector").toLocalIterator():
-        held.append(r)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-
-
-def _nearest(block: list, k: int, metric: str) -> Callable:
-    ids, q = np.array([r[0] for r in block]), np.array([r[1] for r in block], np.float64)
-    q = _unit(q) if metric == "cosine" else q
-
-    def run(frames):
-        best = None
-        for f in frames:
-            if not len(f):
-                continue
-            v = np.stack(f["vector"].to_numpy()).astype(np.float64)
-            s = np.round(q @ (_unit(v) if metric == "cosine" else v).T, 6)
-            chunk = np.broadcast_to(f["chunk"].to_numpy(), s.shape)
-            if best is not None:
-                s, chunk = np.hstack([best[0], s]), np.hstack([best[1], chunk])
-            order = np.lexsort((chunk, -s), axis=1)[:, :k]
-            best = np.take_along_axis(s, order, 1), np.take_along_axis(chunk, order, 1)
-        if best is not None:
-            n = best[0].shape[1]
-            yield pd.DataFrame({"query_id": np.repeat(ids, n), "chunk": best[1].ravel(), "score": best[0].ravel()})
-
-    return run
+    """(query_id, chunk, score, rank) of the k nearest: queries (query_id, vector[, tag]) against vectors (chunk, vector[, tag]),
+    with tag only those of the query's tag. Searches that share a table build its cells once (see pivots)."""
+    return pivots.search(pivots.build(vectors, metric, tag), queries, k, tag)
 
 
 def with_similarity(df: DataFrame, distance: str = "distance") -> DataFrame:

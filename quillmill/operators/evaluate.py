@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ground import stated
+from .percentiles import exact_percentiles
 
 
 def _blocks(names: DataFrame, size: int = 1024):
@@ -153,12 +154,22 @@ def sample_questions(gold: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 def latency_report(results: DataFrame, measures: tuple[str, ...] = ("total_s", "retrieval_s", "llm_s"), by: tuple[str, ...] = ()) -> DataFrame:
     """Success rate, and mean, interpolated percentiles, least and greatest of each measure over successes."""
-    ok = F.col("success")
+    ok, shares = F.col("success"), (0.5, 0.95, 0.99)
     aggs = [F.count("*").alias("requests"), F.round(F.avg(ok.cast("double")), 6).alias("success_rate")]
     for m in measures:
         v = F.when(ok, F.col(m).cast("double"))
-        aggs += [F.round(F.avg(v), 6).alias(f"{m}_mean"), *[F.round(F.percentile(v, p / 100), 6).alias(f"{m}_p{p}") for p in (50, 95, 99)], F.round(F.min(v), 6).alias(f"{m}_min"), F.round(F.max(v), 6).alias(f"{m}_max")]
-    return results.groupBy(*by).agg(*aggs)
+        aggs += [F.round(F.avg(v), 6).alias(f"{m}_mean"), F.round(F.min(v), 6).alias(f"{m}_min"), F.round(F.max(v), 6).alias(f"{m}_max")]
+    each = results.where(ok).select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for m in measures])).alias("x"))
+    found = exact_percentiles(each.select(*by, "x.measure", "x.v"), "v", shares, (*by, "measure"))
+    pick = lambda m, p: F.round(F.max(F.when((F.col("measure") == m) & (F.col("share") == p), F.col("percentile"))), 6)
+    wide = found.groupBy(*by).agg(*[pick(m, p).alias(f"{m}_p{round(100 * p)}") for m in measures for p in shares])
+    summed = results.groupBy(*by).agg(*aggs)
+    if not by:
+        return summed.crossJoin(F.broadcast(wide))  # one row each
+    keys = [F.col(c).alias(f"__{c}") for c in by]
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    wide = wide.select(*keys, *[c for c in wide.columns if c not in by])
+    return summed.join(wide, same, "left").drop(*[f"__{c}" for c in by])
 
 
 def token_report(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import TERMS
 from ..functions.text import token_pattern, words
-from ..operators import dense, evaluate, fuse, postings, rerank
+from ..operators import dense, evaluate, fuse, pivots, postings, rerank
 from ..sources.shared import new_path
 from .registry import query, table, view
 
@@ -190,28 +190,47 @@ def vectors(spark, sf_dir, dims: int = 64) -> tuple[DataFrame, DataFrame]:
     return tuple(d.withColumn("vector", F.slice("vector", 1, dims)) for d in (q, v))
 
 
+_CELLS: dict[tuple, pivots.Cells] = {}
+
+
+def nearest(spark, sf_dir, k: int, dims: int = 64, tag: str | None = None) -> DataFrame:
+    """The vectors' cells are built by the first search of an application."""
+    q, v = vectors(spark, sf_dir, dims)
+    key = (spark.sparkContext.applicationId, sf_dir, dims, tag)
+    if key not in _CELLS:
+        _CELLS[key] = pivots.build(v, tag=tag)
+    return pivots.search(_CELLS[key], q, k, tag)
+
+
+@query()
+def knn_cells(spark, sf_dir):
+    """How many cells there are for each query, and how many of them the search visits."""
+    q, v = vectors(spark, sf_dir)
+    return pivots.searched(pivots.build(v), q, 10)[1]
+
+
 def _knn(dims: int, k: int, extra: str = "") -> str:
     return f"(SELECT query_id, chunk, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank, tag, own FROM (SELECT q.vec_id AS query_id, v.vec_id AS chunk, v.label AS tag, q.label AS own, round(list_cosine_similarity(CAST(q.embedding[1:{dims}] AS DOUBLE[]), CAST(v.embedding[1:{dims}] AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 25 = 0 AND v.vec_id % 25 <> 0 {extra}) QUALIFY rank <= {k})"
 
 
 @query(f"SELECT query_id, chunk, score, rank FROM {_knn(64, 10)}")
 def knn_top10(spark, sf_dir):
-    return dense.knn_topk(*vectors(spark, sf_dir), 10).select("query_id", "chunk", "score", "rank")
+    return nearest(spark, sf_dir, 10).select("query_id", "chunk", "score", "rank")
 
 
 @query(f"SELECT query_id, chunk, score, rank FROM {_knn(64, 5, 'AND q.label = v.label')}")
 def knn_filtered(spark, sf_dir):
-    return dense.knn_topk(*vectors(spark, sf_dir), 5, tag="tag").select("query_id", "chunk", "score", "rank")
+    return nearest(spark, sf_dir, 5, tag="tag").select("query_id", "chunk", "score", "rank")
 
 
-@query(f"SELECT query_id, chunk, round(1 - (1 - score), 6) AS score FROM {_knn(32, 3)}")
+@query(f"SELECT query_id, chunk, round(1 - (1 - score), 6) AS score FROM {_knn(64, 3)}")
 def similarity_scores(spark, sf_dir):
-    found = dense.knn_topk(*vectors(spark, sf_dir, 32), 3).withColumn("distance", 1 - F.col("score")).drop("score")
+    found = nearest(spark, sf_dir, 3).withColumn("distance", 1 - F.col("score")).drop("score")
     return dense.with_similarity(found).select("query_id", "chunk", F.round("score", 6).alias("score"))
 
 
 def legs(spark, sf_dir) -> DataFrame:
-    a, b = (dense.knn_topk(*vectors(spark, sf_dir, d), 10).withColumn("leg", F.lit(n)) for n, d in ((1, 64), (2, 32)))
+    a, b = (nearest(spark, sf_dir, 10, d).withColumn("leg", F.lit(n)) for n, d in ((1, 64), (2, 32)))
     return a.unionByName(b).withColumnRenamed("chunk", "key")
 
 
