@@ -7,35 +7,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ground import stated
+from .names import nearest_names
 from .percentiles import exact_percentiles
 
 
-def _blocks(names: DataFrame, size: int = 1024):
-    """The names, a one-column table, in lists of `size`, fetched one after the other."""
-    held: list[str] = []
-    for (name,) in names.toLocalIterator():
-        held.append(name)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
 def validate_gold(gold: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query_id, source_file, closest): gold files that the corpus lacks, with the nearest real name (of the first on ties).
-
-    The unknown names are the query set: they meet the corpus's names in blocks, and a task keeps one name for each of them.
-    """
+    """(query_id, source_file, closest): gold files that the corpus lacks, with the nearest real name (of the first on ties)."""
     names = corpus.select(F.col("source_file").alias("name")).distinct()
     wanted = gold.select("query_id", F.explode("source_files").alias("source_file"))
     missing = wanted.join(names, F.col("source_file") == F.col("name"), "left_anti")
-    found = missing.sparkSession.createDataFrame([], "source_file string, m struct<d:int,name:string>")
-    for block in _blocks(missing.select("source_file").where("source_file is not null").distinct()):
-        met = names.where("name is not null").select("name", F.explode(F.array(*[F.lit(x) for x in block])).alias("source_file"))
-        near = F.struct(F.levenshtein("source_file", "name").alias("d"), "name")
-        found = found.unionByName(met.groupBy("source_file").agg(F.min(near).alias("m")))
-    return missing.join(found, "source_file", "left").select("query_id", "source_file", F.col("m.name").alias("closest"))
+    near = nearest_names(missing.select("source_file"), names).select(F.col("wanted").alias("source_file"), F.col("name").alias("closest"))
+    return missing.join(near, "source_file", "left").select("query_id", "source_file", "closest")
 
 
 def eval_detail(cands: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5), fetched: int = 10, by: tuple[str, ...] = (), labels: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import TERMS
 from ..functions.text import token_pattern, words
-from ..operators import dense, evaluate, fuse, pivots, postings, rerank
+from ..operators import dense, evaluate, fuse, names, pivots, postings, rerank
 from ..sources.shared import new_path
 from .registry import query, table, view
 
@@ -174,12 +174,26 @@ def find_rank(spark, sf_dir):
     return evaluate.first_rank_within(bm25(spark, sf_dir), gold(spark, sf_dir)).withColumn("found_rank", F.col("found_rank").cast("bigint"))
 
 
-@query("SELECT item_id AS query_id, concat(source, 'x') AS source_file, 'src1' AS closest FROM (SELECT b.item_id, 'src1' AS source FROM benchmark b) UNION ALL SELECT item_id, 'doc', (SELECT min(source) FROM documents WHERE levenshtein('doc', source) = (SELECT min(levenshtein('doc', source)) FROM documents)) FROM benchmark WHERE item_id % 2 = 0")
+# Each question names its own source with a letter too many; every second one also a real file and an unlike one.
+WANTED_FILES = "SELECT item_id AS query_id, concat('src', CAST(item_id % 23 AS STRING), 'x') AS f, CASE WHEN item_id % 2 = 0 THEN 'src2' END AS real, CASE WHEN item_id % 2 = 0 THEN 'doc' END AS unlike FROM {benchmark}"
+
+
+@query("WITH w AS (" + WANTED_FILES + "), files AS (SELECT query_id, unnest([f, real, unlike]) AS source_file FROM w), names AS (SELECT DISTINCT source AS name FROM documents), near AS (SELECT DISTINCT source_file, first_value(name) OVER (PARTITION BY source_file ORDER BY levenshtein(source_file, name), name) AS closest FROM (SELECT DISTINCT source_file FROM files WHERE source_file IS NOT NULL), names) SELECT query_id, source_file, closest FROM files JOIN near USING (source_file) WHERE source_file NOT IN (SELECT name FROM names)")
 def validate_gold(spark, sf_dir):
-    q = asked(spark, sf_dir).withColumn("source_files", F.when(F.col("query_id") % 2 == 0, F.array(F.lit("src1x"), F.lit("doc"), F.lit("src2"))).otherwise(F.array(F.lit("src1x"))))
+    q = view(spark, sf_dir, WANTED_FILES).select("query_id", F.filter(F.array("f", "real", "unlike"), lambda x: x.isNotNull()).alias("source_files"))
     return evaluate.validate_gold(q, chunks(spark, sf_dir))
 
 
+#: Names of parts with a letter gone, two changed, the halves swapped, or of no part at all.
+MISSPELT = "SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN concat(substr(p_name, 1, 2), substr(p_name, 4)) WHEN 1 THEN concat('z', substr(p_name, 2, 3), 'q', substr(p_name, 6)) WHEN 2 THEN concat(substr(p_name, 5), substr(p_name, 1, 4)) ELSE concat('~', CAST(p_partkey AS STRING)) END AS wanted FROM {part} WHERE p_partkey % 40 < 4"
+
+
+@query("WITH w AS (" + MISSPELT + "), n AS (SELECT DISTINCT p_name AS name FROM part) SELECT wanted, CAST(m.d AS INT) AS d, m.name AS name FROM (SELECT wanted, min({'d': levenshtein(wanted, name), 'name': name}) AS m FROM w, n GROUP BY wanted)")
+def nearest_names(spark, sf_dir):
+    """The nearest of all part names to names that are misspelt."""
+    return names.nearest_names(view(spark, sf_dir, MISSPELT), table(spark, sf_dir, "part").select("p_name"))
+
+
 # Dense legs over the embeddings: every 25th vector asks, the others are the corpus.
 VECTORS = "SELECT vec_id AS chunk, embedding AS vector, label AS tag FROM {embeddings} WHERE vec_id % 25 <> 0"
 VECTOR_QUERIES = "SELECT vec_id AS query_id, embedding AS vector, label AS tag FROM {embeddings} WHERE vec_id % 25 = 0"
