@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import TERMS
 from ..functions.text import token_pattern, words
 from ..operators import dense, evaluate, fuse, names, pivots, postings, rerank
+from ..operators.stores import VariantStore
 from ..sources.shared import new_path
 from .registry import query, table, view
 
@@ -339,6 +340,23 @@ def variant_cache(spark, sf_dir):
     return hits.select("query_id", "key", F.lit(True).alias("hit")).unionByName(misses.select("query_id", "key", F.lit(False).alias("hit")))
 
 
+@query("SELECT item_id AS query_id, false AS first_run, md5(text) IN (SELECT md5(text) FROM benchmark WHERE item_id % 3 <> 0) AS second_run, true AS third_run, false AS cleared FROM benchmark")
+def variant_store(spark, sf_dir):
+    """Whether each question's variants are in the store: at first, after two thirds and then the misses were appended, cleared."""
+    store, q = VariantStore(spark, new_path(spark, "variants")), asked(spark, sf_dir)
+    v = view(spark, sf_dir, VARIANTS).select("query_id", F.array("v1", "v2").alias("variants"))
+    runs = []
+    for change in (lambda m: store.append(m.where("query_id % 3 <> 0").join(v, "query_id")), lambda m: store.append(m.join(v, "query_id")), lambda m: store.clear(), None):
+        hits, misses = store.resolve(q)
+        runs.append(hits.select("query_id", F.lit(True).alias("hit")))
+        if change:
+            change(misses)
+    out = q.select("query_id")
+    for name, hits in zip(("first_run", "second_run", "third_run", "cleared"), runs):
+        out = out.join(hits.withColumnRenamed("hit", name), "query_id", "left").na.fill(False, [name])
+    return out
+
+
 @query()
 def rewrite_search(spark, sf_dir):
     """Every query form searched once by BM25, its hits weighted by the form and fused."""

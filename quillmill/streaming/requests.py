@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import versions
+
 LOG = "request_id bigint, ts timestamp, question string, total_s double, retrieval_s double, llm_s double, total_tokens bigint, citation_count int, fallback boolean"
 PAYLOAD = "struct<retrieved_docs:array<struct<doc_title:string,source_file:string,article:string>>,fallback:boolean,retrieval_s:double,context_build_s:double,llm_s:double,verify_s:double>"
 
@@ -44,6 +47,16 @@ def stream_request_stats(stream: DataFrame, every: str = "10 minutes", late: str
     return once.groupBy(F.window("ts", every)).agg(*_stats())
 
 
+def running_request_stats(stream: DataFrame, late: str = "1 hour") -> DataFrame:
+    """request_stats() of all requests since the stream began, renewed by every batch (output mode complete).
+
+    Tasks add up their own rows, so a batch sends one row a task and the state is one row, beside the ids of the watermark's
+    time, within which a request counts once however often it is sent. Requests later than that are left out.
+    """
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["request_id"]).agg(*_stats())
+
+
 def stream_import(stream: DataFrame, store: str, checkpoint: str, build):
     """Append build(new files) to the store batch by batch. Each batch overwrites its own folder, so a replay adds nothing."""
 
@@ -51,3 +64,37 @@ def stream_import(stream: DataFrame, store: str, checkpoint: str, build):
         build(batch).write.mode("overwrite").parquet(f"{store}/batch={n}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_imported(spark: SparkSession, store: str, before: int | None = None) -> DataFrame | None:
+    """The rows that batches (before the given one) have added to a store of import_with_ids(), or None."""
+    try:
+        rows = spark.read.parquet(f"{store}/rows")
+    except AnalysisException:
+        return None
+    return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
+
+
+def import_with_ids(stream: DataFrame, store: str, checkpoint: str, year: str, text: str = "text", order: str = "ordinal"):
+    """Import new documents batch by batch as records whose numbers count on within their file (see versions.import_docs).
+
+    Beside the rows, each batch leaves the greatest number of the files that it has touched. A batch looks at the numbers of
+    earlier batches alone and overwrites its own folders, so one that is run again gives the ids it gave, and a restarted
+    stream those of one import.
+    """
+    spark = stream.sparkSession
+
+    def add(batch: DataFrame, n: int) -> None:
+        try:
+            had = spark.read.schema("batch bigint, source_file string, nth bigint").parquet(f"{store}/numbers").where(F.col("batch") < n)
+        except AnalysisException:
+            had = spark.createDataFrame([], "batch bigint, source_file string, nth bigint")
+        last = had.groupBy("source_file").agg(F.max("nth").alias("nth"))
+        known = last.select(F.concat("source_file", F.lit("__chunk_"), "nth").alias("chunk_id"), F.lit("").alias("text"), *[F.col(c) if c == "source_file" else F.lit("").alias(c) for c in versions.CORE])
+        made = versions.import_docs(known, batch, year, text, order).where("text != ''")
+        made.write.mode("overwrite").parquet(f"{store}/rows/batch={n}")
+        fresh = spark.read.parquet(f"{store}/rows/batch={n}")
+        number = F.regexp_extract("chunk_id", r"__chunk_(\d+)$", 1).cast("bigint")
+        fresh.groupBy("source_file").agg(F.max(number).alias("nth")).write.mode("overwrite").parquet(f"{store}/numbers/batch={n}")
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
