@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import pivots
@@ -31,45 +31,73 @@ def with_similarity(df: DataFrame, distance: str = "distance") -> DataFrame:
 
 
 def embed_corpus(df: DataFrame, embed: Callable[[list[str]], list[list[float]]], dim: int, key: str = "chunk", text: str = "text", batch: int = 16, most: int = 2000, segment: int = 500) -> DataFrame:
-    """(key, vector, failed, calls): embed is called on batches of texts cut to `most` characters.
+    """(key, vector, failed, calls, seconds, tokens): embed is called on batches of texts cut to `most` characters.
+    It returns the vectors, or the vectors and the tokens that it has billed; a batch's usage is in the row of its first text.
 
     A batch that fails is tried text by text on sanitised text, then on the mean of its segments; what still fails, and
     blank text, gets zeros and failed = true. Batches are of a task's own rows.
     """
     import re
+    import time
     import unicodedata
 
+    def ask(texts: list[str], used: list) -> list[list[float]]:
+        """embed(texts), with one call, its seconds and its tokens added to used, also if it fails."""
+        began = time.monotonic()
+        used[0] += 1
+        try:
+            got = embed(texts)
+        finally:
+            used[1] += time.monotonic() - began
+        vectors, tokens = got if isinstance(got, tuple) else (got, 0)
+        used[2] += tokens
+        return vectors
+
     def tidy(t: str) -> str:
         t = "".join(c for c in unicodedata.normalize("NFKC", t) if c in "\n\r\t" or unicodedata.category(c)[0] != "C")
         return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", t)).strip()[:most]
 
-    def one(t: str) -> tuple[list[float] | None, int]:
-        calls = 0
+    def one(t: str, used: list) -> list[float] | None:
         for form in ([t], [t[i : i + segment] for i in range(0, len(t), segment)]):
             try:
-                calls += 1
-                return np.mean(np.array(embed(form), float), axis=0).tolist(), calls
+                return np.mean(np.array(ask(form, used), float), axis=0).tolist()
             except Exception:  # noqa: BLE001, S112 - the caller's model may raise anything
                 continue
-        return None, calls
+        return None
 
     def run(frames):
         for f in frames:
             rows = []
             for lo in range(0, len(f), batch):
-                part = f.iloc[lo : lo + batch]
+                part, used = f.iloc[lo : lo + batch], [0, 0.0, 0]
                 texts = [(t or "")[:most] for t in part["t"]]
                 try:
-                    got = [(v, 1 if i == 0 else 0) for i, v in enumerate(embed(texts))] if all(t.strip() for t in texts) else None
+                    got = list(ask(texts, used)) if all(t.strip() for t in texts) else None
                 except Exception:  # noqa: BLE001
                     got = None
-                got = got or [one(s) if (s := tidy(t)) else (None, 0) for t in texts]
-                rows += [(k, v if v is not None else [0.0] * dim, v is None, c) for k, (v, c) in zip(part["k"], got)]
-            yield pd.DataFrame(rows, columns=[key, "vector", "failed", "calls"])
+                got = got or [one(s, used) if (s := tidy(t)) else None for t in texts]
+                rows += [(k, v if v is not None else [0.0] * dim, v is None, *(used if i == 0 else (0, 0.0, 0))) for i, (k, v) in enumerate(zip(part["k"], got))]
+            yield pd.DataFrame(rows, columns=[key, "vector", "failed", "calls", "seconds", "tokens"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"`{key}` {kind}, vector array<double>, failed boolean, calls int")
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"`{key}` {kind}, vector array<double>, failed boolean, calls int, seconds double, tokens bigint")
 
 
 def embed_stats(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum("calls"), F.lit(0)).cast("bigint").alias("calls"), F.count_if("failed").alias("failed"))
+    """One row: texts, calls, failures, seconds spent in calls, their mean, and tokens."""
+    calls, seconds = F.coalesce(F.sum("calls"), F.lit(0)).cast("bigint"), F.coalesce(F.sum("seconds"), F.lit(0.0))
+    return df.agg(F.count("*").alias("rows"), calls.alias("calls"), F.count_if("failed").alias("failed"), F.round(seconds, 2).alias("seconds"), F.round(seconds / F.greatest(calls, F.lit(1)), 2).alias("seconds_a_call"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("tokens"))
+
+
+def write_embedded(df: DataFrame, path: str, label: str) -> DataFrame:
+    """Write the rows of embed_corpus() to path/vectors and, gathered by the same pass, one row of their usage to path/usage."""
+    seen = Observation(label)
+    aggs = [F.count(F.lit(1)).alias("rows"), F.sum("calls").alias("calls"), F.count_if("failed").alias("failed"), F.sum("seconds").alias("seconds"), F.sum("tokens").alias("tokens")]
+    df.observe(seen, *aggs).write.mode("overwrite").parquet(f"{path}/vectors")
+    got = seen.get
+    row = (label, got["rows"], got["calls"] or 0, got["failed"] or 0, round(got["seconds"] or 0.0, 2), got["tokens"] or 0)
+    usage = df.sparkSession.createDataFrame([row], "label string, rows bigint, calls bigint, failed bigint, seconds double, tokens bigint")
+    usage.write.mode("append").parquet(f"{path}/usage")
+    return usage
+
+

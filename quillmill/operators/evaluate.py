@@ -3,9 +3,14 @@ source_tags, is_table_question, negative_sample); cands are ranked rows with sou
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+from . import fuse, rerank
 from .ground import stated
 from .names import nearest_names
 from .percentiles import exact_percentiles
@@ -41,6 +46,54 @@ def eval_detail(cands: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3,
     return d.select(*by, "query_id", "is_table_question", F.slice(files, 1, 5).alias("top_files"), F.slice(tags, 1, 5).alias("top_tags"), F.when(by_file, "file").otherwise("tag").alias("match_mode"), hit.alias("hit"), first.alias("first_rank"))
 
 
+@dataclass(frozen=True)
+class Config:
+    """A configuration of the search: one leg, or a fusion of two; then reranking, a boost, a cap by source and a cut."""
+
+    label: str
+    leg: int | None = None
+    rrf: int | None = None
+    weights: tuple[float, float] | None = None
+    fetch_k: int = 10
+    rerank: bool = False
+    boost: bool = False
+    max_per_source: int | None = None
+    top_k: int = 10
+
+    def fused(self, legs: DataFrame) -> DataFrame:
+        if self.leg is not None:
+            return legs.where(F.col("leg") == self.leg).where(F.col("rank") <= self.fetch_k)
+        return fuse.rrf_fuse(legs, self.rrf, self.fetch_k) if self.rrf else fuse.weighted_fuse(legs, dict(zip((1, 2), self.weights)) if self.weights else None, self.fetch_k)
+
+
+def ablate(legs: DataFrame, configs: Sequence[Config], described: DataFrame, queries: DataFrame) -> DataFrame:
+    """(label, query_id, key, rank, ...) of every configuration over the same legs (query_id, leg, rank, key, score).
+
+    described (key, text, source_file, ...) and queries (query_id, query) are what reranking and boosts look at. A text is
+    scored once for a question, whatever configurations rank it.
+    """
+    by, rows = ("label", "query_id"), None
+    for c in configs:
+        one = c.fused(legs).select("query_id", "key", "rank", F.lit(c.label).alias("label"))
+        rows = one if rows is None else rows.unionByName(one)
+    named = lambda want: F.col("label").isin([c.label for c in configs if want(c)])
+    # Dealt by what follows groups on; a union's branches must not be taken for one partitioning.
+    rows = materialize(rows.repartition(*by), "runs")
+    pairs = rows.where(named(lambda c: c.rerank)).select("query_id", "key").distinct()
+    texts = pairs.join(described.select("key", "text"), "key").join(queries.select("query_id", "query"), "query_id")
+    scores = texts.select("query_id", "key", rerank.overlap_score(F.col("query"), F.col("text")).alias("pair_score"))
+    rows = rows.join(described.drop("text"), "key").join(scores, ["query_id", "key"], "left").join(queries.select("query_id", "query"), "query_id")
+    out = rows.where(named(lambda c: not c.rerank)).withColumn("rerank_score", F.lit(None).cast("double"))
+    ranked = rerank.rerank(rows.where(named(lambda c: c.rerank)).withColumn("text", F.lit("")), lambda q, t: F.col("pair_score"), None, by).drop("text")
+    boosted = rerank.metadata_boost(ranked.where(named(lambda c: c.boost)), by=by).drop("metadata_boost")
+    out = out.unionByName(ranked.where(named(lambda c: c.rerank and not c.boost)).select(*out.columns)).unionByName(boosted.select(*out.columns))
+    done = out.where(named(lambda c: c.max_per_source is None))
+    for cap in {c.max_per_source for c in configs} - {None}:
+        done = done.unionByName(rerank.dedup_by_source(out.where(named(lambda c: c.max_per_source == cap)), cap, by=by).select(*done.columns))
+    cut = F.coalesce(*[F.when(F.col("label") == c.label, F.lit(c.top_k)) for c in configs])
+    return done.where(F.col("rank") <= cut)
+
+
 def recall_at_k(detail: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, subset, k, recall) over all questions and over those about tables; a subset without questions has no row."""
     rows = detail.select(*by, "is_table_question", F.explode("hit").alias("k", "hit"))

@@ -61,6 +61,29 @@ def expand_queries(queries: DataFrame, variants: DataFrame, most: int = 2) -> Da
     return q.select("query_id", F.posexplode(texts).alias("place", "query")).withColumn("weight", F.when(F.col("place") == 0, 3.0).otherwise(1.0))
 
 
+def first_score(df: DataFrame) -> Column:
+    """A hit's score by the first of fused_score, rrf_score and score that it has, else 0."""
+    have = [F.col(c).cast("double") for c in ("fused_score", "rrf_score", "score") if c in df.columns]
+    return F.coalesce(*have, F.lit(0.0))
+
+
+def multi_query(legs: DataFrame, original: float = 3.0, variant: float = 1.0, top_k: int = 10, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """(by, key, score, rank) of the hits of a query's forms, leg 0 being the query itself: weighted fusion of their scores.
+
+    A query of which one form alone has hits keeps that form's order and scores as they are.
+    """
+    legs = legs.withColumn("score", first_score(legs))
+    forms = legs.groupBy(*by).agg((F.min("leg") == F.max("leg")).alias("alone"))
+    legs = legs.join(forms, list(by)).withColumn("form", F.col("leg"))
+    single = legs.where("alone").where(F.col("rank") <= top_k).select(*by, "key", "score", "rank")
+    both = legs.where("not alone").select(*by, "form", "leg", "rank", "key", "score", F.when(F.col("form") == 0, original).otherwise(variant).alias("weight"))
+    w = Window.partitionBy(*by, "leg")
+    low, span = F.min("score").over(w), F.max("score").over(w) - F.min("score").over(w)
+    scaled = both.withColumn("part", F.col("weight") * F.when(span > 0, (F.col("score") - low) / span).otherwise(F.lit(1.0)))
+    fused = scaled.groupBy(*by, "key").agg(F.round(F.sum("part"), 9).alias("score"), F.min(F.struct("leg", "rank")).alias("first"))
+    return single.unionByName(_ranked(fused, list(by), top_k).select(*by, "key", "score", "rank"))
+
+
 def resolve_variants(queries: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits with variants, misses) of a cache keyed by md5 of the query."""
     keyed = queries.withColumn("key", F.md5("query"))

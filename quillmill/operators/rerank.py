@@ -32,9 +32,9 @@ def by_model(score: Callable[[pd.Series, pd.Series], pd.Series]) -> Callable[[Co
     return run
 
 
-def rerank(cands: DataFrame, score: Callable[[Column, Column], Column] = overlap_score, top_n: int | None = 5) -> DataFrame:
+def rerank(cands: DataFrame, score: Callable[[Column, Column], Column] = overlap_score, top_n: int | None = 5, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The top_n (all, if None) of each query by rerank_score, ties and unscored rows in their old order."""
-    w = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc_nulls_last(), "rank")
+    w = Window.partitionBy(*by).orderBy(F.col("rerank_score").desc_nulls_last(), "rank")
     scored = cands.withColumn("rerank_score", score(F.col("query"), F.col("text")))
     ranked = scored.withColumn("new_rank", F.row_number().over(w))
     return (ranked.where(F.col("new_rank") <= top_n) if top_n else ranked).drop("rank").withColumnRenamed("new_rank", "rank")
@@ -48,11 +48,11 @@ def dedup_by_source(cands: DataFrame, max_per_source: int = 2, top_k: int | None
     return out.where(F.col("rank") <= top_k) if top_k else out
 
 
-def _boosted(cands: DataFrame, active: Column, boost: Column) -> DataFrame:
+def _boosted(cands: DataFrame, active: Column, boost: Column, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Adds boost where active, and ranks anew (stable). Queries without a signal keep their order and have null boosts."""
     score = F.coalesce(F.col("rerank_score"), F.lit(0.0))
     out = cands.withColumn("metadata_boost", F.when(active, boost)).withColumn("rerank_score", F.when(active, F.round(score + F.col("metadata_boost"), 6)).otherwise(F.col("rerank_score")))
-    w = Window.partitionBy("query_id").orderBy(F.when(F.col("metadata_boost").isNotNull(), -F.col("rerank_score")), "rank")
+    w = Window.partitionBy(*by).orderBy(F.when(F.col("metadata_boost").isNotNull(), -F.col("rerank_score")), "rank")
     return out.withColumn("rank", F.row_number().over(w))
 
 
@@ -63,7 +63,7 @@ def topic_boost(cands: DataFrame, year: str = "2025-2026", boost: float = 0.08,
     return _boosted(cands, (tag != "") & _any(F.col("query"), signals), F.coalesce(add, F.lit(0.0)))
 
 
-def metadata_boost(cands: DataFrame, time: float = 0.3, year: float = 0.1, scope: float = 0.2, signals=rules.META_TIME, scopes=rules.META_SCOPE, notice: str = rules.NOTICE) -> DataFrame:
+def metadata_boost(cands: DataFrame, time: float = 0.3, year: float = 0.1, scope: float = 0.2, signals=rules.META_TIME, scopes=rules.META_SCOPE, notice: str = rules.NOTICE, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Notices rise for questions with a time signal, more so those of the asked year; rows of the asked scope rise too."""
     q = F.col("query")
     timely, asked = _any(q, signals), F.coalesce(_first_rule(q, scopes), F.lit(""))
@@ -73,7 +73,7 @@ def metadata_boost(cands: DataFrame, time: float = 0.3, year: float = 0.1, scope
     add = F.when(is_notice, F.lit(time)).otherwise(F.lit(0.0))
     add = add + F.when(is_notice & (asked_year != "") & F.contains("effective_date", asked_year), F.lit(year)).otherwise(F.lit(0.0))
     add = add + F.when((asked != "") & (F.col("scope") == asked), F.lit(scope)).otherwise(F.lit(0.0))
-    return _boosted(cands, timely | (asked != ""), add)
+    return _boosted(cands, timely | (asked != ""), add, by)
 
 
 def retrieve(cands: DataFrame, score=overlap_score, fetch_k: int = 10, top_k: int = 5, max_per_source: int | None = 2, boost: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

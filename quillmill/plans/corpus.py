@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clean, meta, structure
-from ..operators import chunk, ground, versions
+from ..operators import chunk, ground, stores, versions
 from ..sources import io
+from ..sources.shared import new_path
 from .registry import query, table, view
 
 # Views: texts with what the operators look for, made alike in both engines.
@@ -238,6 +239,20 @@ def store_consistency(spark, sf_dir):
     return versions.check_consistency(r, versions.delete_year(r, "2020-2021"))
 
 
+@query(f"SELECT store, academic_year, count(*) AS chunks FROM ({YEARLY}), (VALUES ('corpus'), ('vectors')) AS s(store) WHERE trim(text) <> '' AND academic_year <> '2022-2023' AND (academic_year <> '2021-2022' OR doc_id % 2 = 0) GROUP BY ALL")
+def paired_stores(spark, sf_dir):
+    """Rows by year of the two stores after all years were put in, one was rebuilt from half its rows, and one was dropped."""
+    both, rows = stores.PairedCorpus(spark, new_path(spark, "paired")), view(spark, sf_dir, YEARLY).where("trim(text) <> ''")
+    corpus = rows.select("doc_id", "source_file", "academic_year", "text")
+    vectors = rows.select("doc_id", "academic_year", F.array(F.length("text").cast("double")).alias("vector"))
+    both.rebuild(corpus, vectors)
+    half = "academic_year = '2021-2022' AND doc_id % 2 = 0"
+    both.rebuild(corpus.where(half), vectors.where(half), ["2021-2022"])
+    both.drop("2022-2023")
+    counted = [x.groupBy("academic_year").agg(F.count("*").alias("chunks")).withColumn("store", F.lit(n)) for n, x in zip(("corpus", "vectors"), both.read())]
+    return counted[0].unionByName(counted[1])
+
+
 _EXPORT = ["chunk_id", "text", "source_file", "academic_year"]
 
 

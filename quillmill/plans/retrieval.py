@@ -357,14 +357,18 @@ def variant_store(spark, sf_dir):
     return out
 
 
-@query()
+FORMS = "forms AS (SELECT item_id * 10 AS item_id, text FROM benchmark UNION ALL SELECT query_id * 10 + 1, v1 FROM (" + VARIANTS + ") WHERE v1 NOT IN (SELECT text FROM benchmark WHERE item_id = query_id) UNION ALL SELECT query_id * 10 + 2, v2 FROM (" + VARIANTS + ") WHERE v2 <> v1)"
+_FORM_LEGS = "legs AS (SELECT query_id // 10 AS query_id, query_id % 10 AS leg, chunk AS key, score, rank FROM bm25)"
+
+
+@query(with_(FORMS, BM25.replace("FROM benchmark", "FROM forms"), _FORM_LEGS, SCALED) + "SELECT query_id, key, score, {2} FROM (SELECT query_id, key, round(sum(s * CASE leg WHEN 0 THEN 3.0 ELSE 1.0 END), 9) AS score, min([leg, rank]) AS first FROM scaled GROUP BY ALL) QUALIFY rank <= 10".replace("{2}", _ORDERED))
 def rewrite_search(spark, sf_dir):
     """Every query form searched once by BM25, its hits weighted by the form and fused."""
     v = view(spark, sf_dir, VARIANTS).select("query_id", F.array("v1", "v2").alias("variants"))
     forms = fuse.expand_queries(asked(spark, sf_dir), v).withColumn("form", F.col("query_id") * 10 + F.col("place"))
     found = postings.search(bm25_tables(spark, sf_dir), forms.select(F.col("form").alias("query_id"), "query"))
-    back = found.select((F.col("query_id") / 10).cast("bigint").alias("query_id"), (F.col("query_id") % 10).cast("int").alias("leg"), F.col("chunk").alias("key"), "score", "rank")
-    return fuse.weighted_fuse(back, {0: 3.0, 1: 1.0, 2: 1.0})
+    back = found.select(F.floor(F.col("query_id") / 10).cast("bigint").alias("query_id"), (F.col("query_id") % 10).cast("int").alias("leg"), F.col("chunk").alias("key"), "score", "rank")
+    return fuse.multi_query(back)
 
 
 # Candidates with questions that carry the signals of the boosts.
@@ -486,3 +490,39 @@ def embedded_corpus(spark, sf_dir):
         return [[t.count(c) / max(len(t), 1) for c in "etaoinsh"] for t in texts]
 
     return dense.embed_stats(dense.embed_corpus(table(spark, sf_dir, "documents"), model, 8, "doc_id"))
+
+
+# The production chain step by step over both legs: each configuration once, legs, fusions and pair scores shared.
+CHAINS = [
+    evaluate.Config("vector", leg=2), evaluate.Config("bm25", leg=1), evaluate.Config("rrf_k20", rrf=20), evaluate.Config("rrf_k60", rrf=60), evaluate.Config("weighted_03_07", weights=(0.3, 0.7)),
+    evaluate.Config("weighted_05_05", weights=(0.5, 0.5)), evaluate.Config("weighted_07_03", weights=(0.7, 0.3)), evaluate.Config("rerank", weights=(0.5, 0.5), rerank=True, top_k=5),
+    evaluate.Config("rerank_dedup2", weights=(0.5, 0.5), rerank=True, max_per_source=2, top_k=5), evaluate.Config("rerank_dedup2_boost", weights=(0.5, 0.5), rerank=True, max_per_source=2, boost=True, top_k=5),
+]
+
+
+def chain_runs(spark, sf_dir) -> DataFrame:
+    described = chunks(spark, sf_dir).withColumnRenamed("doc_id", "key")
+    questions = asked(spark, sf_dir).withColumn("query", F.concat(F.expr(_SIGNAL), F.col("query")))
+    return evaluate.ablate(text_legs(spark, sf_dir), CHAINS, described, questions)
+
+
+def _chain_sql() -> str:
+    parts, plain = [BM25, HASHED, ASKED_HASHED, DENSE_TEXT, TEXT_LEGS, SCALED, GOLD], "SELECT query_id, source AS source_file, rank FROM ({0}) JOIN documents d ON d.doc_id = key"
+    weighted = lambda a, b: WEIGHTED.format(a, b, _ORDERED)
+    runs = {"vector": "SELECT query_id, key, rank FROM legs WHERE leg = 2", "bm25": "SELECT query_id, key, rank FROM legs WHERE leg = 1", "rrf_k20": RRF.format(20, _ORDERED), "rrf_k60": RRF.format(60, _ORDERED), "weighted_03_07": weighted(0.3, 0.7), "weighted_05_05": weighted(0.5, 0.5), "weighted_07_03": weighted(0.7, 0.3)}
+    parts += [f"run_{label} AS ({plain.format(sql)})" for label, sql in runs.items()]
+    parts += ["base AS (SELECT query_id, key AS chunk, rank FROM (" + weighted(0.5, 0.5) + "))", _RERANK.replace("@BASE@", "base"), "run_rerank AS (SELECT query_id, source_file, rank FROM r10 WHERE rank <= 5)"]
+    boost = "CASE WHEN notice THEN 0.3 ELSE 0 END + CASE WHEN notice AND query_id % 3 = 1 AND eff = '2024-2025' THEN 0.1 ELSE 0 END + CASE WHEN query_id % 3 = 1 AND college THEN 0.2 ELSE 0 END"
+    parts.append(f"b10 AS (SELECT query_id, source_file, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN query_id % 3 <= 1 THEN -round(rerank_score + {boost}, 6) END, rank) AS rank FROM r10)")
+    capped = "{0} AS (SELECT query_id, source_file, new_rank AS rank FROM (SELECT query_id, source_file, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS new_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source_file ORDER BY rank) AS nth FROM {1}) WHERE nth <= 2) WHERE new_rank <= 5)"
+    parts += [capped.format("run_rerank_dedup2", "r10"), capped.format("run_rerank_dedup2_boost", "b10")]
+    labels = [c.label for c in CHAINS]
+    parts += [DETAIL.format(f"run_{x}") for x in labels]
+    return with_(*parts) + " UNION ALL ".join(f"SELECT '{x}' AS label, subset, k, recall FROM (" + RECALL.format(f"run_{x}") + ")" for x in labels)
+
+
+@query(_chain_sql())
+def chain_ablation(spark, sf_dir):
+    """Recall of both legs, their fusions, and the chain with reranking, a cap by source and the boost, in one job."""
+    labels = spark.createDataFrame([(c.label,) for c in CHAINS], "label string")
+    return evaluate.recall_at_k(evaluate.eval_detail(chain_runs(spark, sf_dir), gold(spark, sf_dir), by=("label",), labels=labels), ("label",))

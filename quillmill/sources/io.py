@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.versions import corpus_records, numbered
+from ..operators.versions import corpus_records, numbered, read_store
 
 EXTENSIONS = (".md", ".txt", ".html", ".htm")
 GOLD = "id bigint, question string, answer string, difficulty string, category string, is_table_question boolean, source_tags array<string>, source_files array<string>, negative_sample boolean"
@@ -147,6 +148,11 @@ def write_corpus(df: DataFrame, path: str) -> None:
     corpus_records(df).write.mode("overwrite").partitionBy("academic_year").parquet(path)
 
 
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """The records of write_corpus(), with the year as text and '' where there is none."""
+    return read_store(spark, path)
+
+
 def write_vectors(df: DataFrame, path: str, drop_old: bool = False) -> None:
     df.write.mode("overwrite" if drop_old else "append").parquet(path)
 
@@ -163,3 +169,28 @@ def export_corpus(vectors: DataFrame) -> DataFrame:
 
 def write_eval(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("label").json(path)
+
+
+SUMMARY = "label string, questions bigint, hits_at_3 bigint, seconds double, recall map<string,double>"
+
+
+def write_eval_run(detail: DataFrame, path: str, label: str) -> DataFrame:
+    """Write a run's detail (see evaluate.eval_detail) to path/detail/label=... and one summary row to path/summary: questions,
+    hits and seconds are gathered by the pass that writes, recall from what it has written."""
+    spark, seen, began = detail.sparkSession, Observation(label), time.monotonic()
+    rows = detail.withColumn("hits", F.map_filter("hit", lambda _, h: h)).withColumn("hits", F.map_keys("hits"))
+    seen_rows = rows.observe(seen, F.count(F.lit(1)).alias("questions"), F.count_if(F.array_contains("hits", 3)).alias("hits_at_3"))
+    seen_rows.withColumn("ks", F.map_keys("hit")).drop("hit").write.mode("overwrite").json(f"{path}/detail/label={label}")
+    seconds = round(time.monotonic() - began, 2)
+    written = spark.read.json(f"{path}/detail/label={label}", schema="is_table_question boolean, hits array<int>, ks array<int>")
+    each = written.select("is_table_question", "hits", F.explode("ks").alias("k"))
+    parts = each.groupBy("k").agg(F.avg(F.array_contains("hits", F.col("k")).cast("double")).alias("all"), F.avg(F.when(F.col("is_table_question"), F.array_contains("hits", F.col("k")).cast("double"))).alias("table")).collect()  # a row each k
+    recall = {f"{s}_{r.k}": round(r[s], 6) for r in parts for s in ("all", "table") if r[s] is not None}
+    got = seen.get
+    row = spark.createDataFrame([(label, got["questions"], got["hits_at_3"] or 0, seconds, recall)], SUMMARY)
+    row.write.mode("overwrite").json(f"{path}/summary/run={label}")
+    return row
+
+
+def read_eval_summaries(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SUMMARY).json(f"{path}/summary/*")
