@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import clean, meta, structure
 from ..operators import chunk, ground, stores, versions
 from ..sources import io
-from ..sources.shared import new_path
+from ..sources.shared import new_path, spread
 from .registry import query, table, view
 
 # Views: texts with what the operators look for, made alike in both engines.
@@ -26,7 +26,7 @@ SELECT doc_id, trim(array_to_string(list_transform(string_split(t, chr(10)), lam
 
 @query(CLEANED.replace("{{", "{").replace("}}", "}"))
 def cleaned_text(spark, sf_dir):
-    return view(spark, sf_dir, DIRTY).select("doc_id", clean.clean_text(F.col("text")).alias("text"))
+    return spread(view(spark, sf_dir, DIRTY)).select("doc_id", clean.clean_text(F.col("text")).alias("text"))
 
 
 @query()
@@ -140,17 +140,84 @@ def sections_by_heading(spark, sf_dir):
     return s.select("doc_id", F.col("section").cast("bigint").alias("section"), F.array_join("heading_path", " > ").alias("path"), "body")
 
 
+HEADED = f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN concat('#tag no heading', {NL}, replace(text, {NL}, concat({NL}, '##  '))) ELSE concat(text, {NL}, '### Last ', CAST(doc_id AS STRING), '  ', {NL}, '# Later') END AS text FROM {{documents}}"
+
+
+@query(f"SELECT doc_id, trim(regexp_extract(text, '(?m)^#+\\s+(.+)$', 1)) AS chapter FROM ({HEADED})")
+def first_headings(spark, sf_dir):
+    return view(spark, sf_dir, HEADED).select("doc_id", meta.chapter(F.col("text")).alias("chapter"))
+
+
+# Documents with sections, paragraphs, code between fences, and tables; some paragraphs and tables are long.
+_BETWEEN = f"CASE doc_id % 4 WHEN 0 THEN concat({NL}, {NL}) WHEN 1 THEN concat({NL}, '```py', {NL}, 'code = 1', {NL}, {NL}, '```', {NL}) WHEN 2 THEN concat(' |', {NL}, '| ') ELSE concat({NL}, '## B', {NL}) END"
+_SENTENCES = f"CASE WHEN doc_id % 3 = 0 THEN replace(text, '. ', concat('.', {NL}, {NL}, ' ')) ELSE text END"
+BLOCKY = f"SELECT doc_id, concat('# T', CAST(doc_id % 7 AS STRING), {NL}, CASE WHEN doc_id % 4 = 2 THEN concat('| h | k |', {NL}, '| --- | --- |', {NL}, '| ') ELSE '' END, replace({_SENTENCES}, {NL}, {_BETWEEN}), CASE WHEN doc_id % 4 = 2 THEN ' |' ELSE '' END, CASE WHEN doc_id % 5 = 0 THEN concat({NL}, '```', {NL}, 'open') ELSE '' END) AS text FROM {{documents}}"
+
+_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+# The text's lines as blocks: a table line closes code, a closing fence ends its block, and what is open ends with the text.
+_BLOCKS = f"""line AS (SELECT doc_id, section, path, level, unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS i FROM bodies),
+flagged AS (SELECT *, starts_with(s, '|') AND ends_with(s, '|') AS tab, starts_with(s, '```') AS fence FROM (SELECT *, {_STRIP.format('line')} AS s FROM line)),
+grouped AS (SELECT *, count(*) FILTER (tab) OVER (PARTITION BY doc_id, section ORDER BY i) AS tables FROM flagged),
+fenced AS (SELECT *, count(*) FILTER (fence) OVER (PARTITION BY doc_id, section, tables ORDER BY i) % 2 = 1 AS inside FROM grouped),
+kinds AS (SELECT *, CASE WHEN tab THEN 'table' WHEN fence OR inside THEN 'code' ELSE 'text' END AS kind, fence AND NOT inside AS closing FROM fenced),
+turns AS (SELECT *, i = 0 OR kind <> lag(kind) OVER w OR lag(closing) OVER w AS turn FROM kinds WINDOW w AS (PARTITION BY doc_id, section ORDER BY i)),
+numbered AS (SELECT *, count(*) FILTER (turn) OVER (PARTITION BY doc_id, section ORDER BY i) - 1 AS block FROM turns),
+block AS (SELECT doc_id, section, path, level, block, any_value(kind) AS kind, string_agg(line, chr(10) ORDER BY i) AS content, list(line ORDER BY i) AS lines FROM numbered GROUP BY doc_id, section, path, level, block)"""
+_WINDOWS = "list_filter(list_transform(range(CAST(greatest(ceil((length({0}) - 500) / 450.0), 0) AS BIGINT) + 1), lambda k: substr({0}, k * 450 + 1, 500)), lambda x: " + _STRIP.format("x") + " <> '')"
+# Paragraphs join up to 500 characters, each pack after the last 50 of the one before; rows of long tables up to what the two
+# header lines leave.
+_PIECES = f"""part AS (SELECT *, list_filter(list_transform(string_split_regex(content, '\n\n+'), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS parts FROM block),
+packed AS (SELECT *, list_reduce(list_transform(parts, lambda x: {{'p': x, 'out': CAST([] AS VARCHAR[]), 'cur': '', 'used': CAST(0 AS BIGINT)}}),
+  lambda a, b: CASE WHEN length(b.p) > 500 THEN {{'p': '', 'out': a.out || CASE WHEN a.cur = '' THEN [] ELSE [a.cur] END || {_WINDOWS.format('b.p')}, 'cur': '', 'used': CAST(0 AS BIGINT)}}
+    WHEN a.cur = '' THEN {{'p': '', 'out': a.out, 'cur': b.p, 'used': CAST(length(b.p) AS BIGINT)}}
+    WHEN a.used + length(b.p) <= 500 THEN {{'p': '', 'out': a.out, 'cur': concat(a.cur, chr(10), chr(10), b.p), 'used': a.used + length(b.p)}}
+    ELSE {{'p': '', 'out': a.out || [a.cur], 'cur': concat({_STRIP.format('right(a.cur, 50)')}, chr(10), chr(10), b.p), 'used': CAST(length({_STRIP.format('right(a.cur, 50)')}) + length(b.p) AS BIGINT)}} END,
+  {{'p': '', 'out': CAST([] AS VARCHAR[]), 'cur': '', 'used': CAST(0 AS BIGINT)}}) AS r,
+  list_reduce(list_transform(lines[3:], lambda x: {{'p': x, 'out': CAST([] AS VARCHAR[]), 'cur': CAST(NULL AS VARCHAR), 'used': CAST(0 AS BIGINT)}}),
+  lambda a, b: CASE WHEN a.cur IS NULL THEN {{'p': '', 'out': a.out, 'cur': b.p, 'used': CAST(length(b.p) AS BIGINT)}}
+    WHEN a.used + length(b.p) <= 500 - length(lines[1]) - length(lines[2]) THEN {{'p': '', 'out': a.out, 'cur': concat(a.cur, chr(10), b.p), 'used': a.used + length(b.p)}}
+    ELSE {{'p': '', 'out': a.out || [a.cur], 'cur': b.p, 'used': CAST(length(b.p) AS BIGINT)}} END,
+  {{'p': '', 'out': CAST([] AS VARCHAR[]), 'cur': CAST(NULL AS VARCHAR), 'used': CAST(0 AS BIGINT)}}) AS t FROM part),
+cut AS (SELECT *, CASE WHEN kind = 'code' OR kind = 'table' AND (length(content) <= 1000 OR len(lines) <= 2) THEN [content]
+  WHEN kind = 'table' THEN list_transform(t.out || [t.cur], lambda x: concat(lines[1], chr(10), lines[2], chr(10), x)) ELSE r.out || CASE WHEN r.cur = '' THEN [] ELSE [r.cur] END END AS pieces FROM packed),
+piece AS (SELECT doc_id, section, block, kind, path, level, unnest(range(len(pieces))) AS piece, unnest(pieces) AS content, CASE WHEN kind = 'table' AND contains(string_split({_STRIP.format('content')}, chr(10))[1], '|') THEN array_to_string(list_filter(list_transform(string_split(string_split({_STRIP.format('content')}, chr(10))[1], '|'), lambda x: trim(x)), lambda x: x NOT IN ('', '---')), ',') END AS columns FROM cut)
+SELECT doc_id, section, block, piece, row_number() OVER (PARTITION BY doc_id ORDER BY section, block, piece) - 1 AS chunk_index, kind AS content_type, path AS heading_path, level AS heading_level, concat(CASE WHEN path = '' THEN '' ELSE concat(path, chr(10), chr(10)) END, content) AS content, columns FROM piece"""
+_BODIES = f"""WITH d AS ({BLOCKY}), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM d),
+s AS (SELECT *, count(*) FILTER (starts_with(line, '#')) OVER (PARTITION BY doc_id ORDER BY no) AS sec FROM l),
+b AS (SELECT doc_id, sec, {_STRIP.format("string_agg(line, chr(10) ORDER BY no) FILTER (NOT starts_with(line, '#'))")} AS body FROM s GROUP BY ALL),
+bodies AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS section, concat('T', CAST(doc_id % 7 AS STRING), CASE WHEN sec > 1 THEN ' > B' ELSE '' END) AS path, CASE WHEN sec > 1 THEN 2 ELSE 1 END AS level, body FROM b WHERE body <> ''),
+"""
+
+
+def _chunk_rows(spark, sf_dir, strategy: str):
+    c = chunk.chunk(view(spark, sf_dir, BLOCKY), key="doc_id", strategy=strategy)
+    whole = ("section", "block", "piece", "chunk_index", "heading_level")
+    return c.select("doc_id", "content_type", "heading_path", "content", F.array_join("table_columns", ",").alias("columns"), *[F.col(n).cast("bigint").alias(n) for n in whole])
+
+
+@query(_BODIES + _BLOCKS + ", " + _PIECES)
+def document_chunks(spark, sf_dir):
+    """Sections, their blocks, packed paragraphs and split tables of whole documents."""
+    return _chunk_rows(spark, sf_dir, "structured")
+
+
+@query(f"WITH bodies AS (SELECT doc_id, 0 AS section, '' AS path, 0 AS level, text AS body FROM ({BLOCKY})), " + _BLOCKS + ", " + _PIECES)
+def recursive_chunks(spark, sf_dir):
+    """The same documents without sections."""
+    return _chunk_rows(spark, sf_dir, "recursive")
+
+
 @query()
 def structured_chunks(spark, sf_dir):
     """Clean, mark and chunk the decorated documents."""
-    d = structure.mark_structures(view(spark, sf_dir, STRUCTURED).withColumn("text", clean.clean_text(F.col("text"))))
+    d = structure.mark_structures(spread(view(spark, sf_dir, STRUCTURED)).withColumn("text", clean.clean_text(F.col("text"))))
     return chunk.chunk(d, key="doc_id").drop("table_columns")
 
 
 @query()
 def built_corpus(spark, sf_dir):
     """The named documents as a corpus: cleaned, marked, described and chunked, whole texts."""
-    return chunk.build_corpus(view(spark, sf_dir, NAMED).drop("text"), text="body").drop("table_columns")
+    return chunk.build_corpus(spread(view(spark, sf_dir, NAMED)).drop("text"), text="body").drop("table_columns")
 
 
 GRID = "SELECT o_orderkey AS k, o_orderstatus AS a, o_orderpriority AS b FROM {orders}"

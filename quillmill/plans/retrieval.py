@@ -482,14 +482,26 @@ def fix_cases(spark, sf_dir):
     return evaluate.fix_cases(a, b).withColumn("first_rank", F.col("first_rank").cast("bigint"))
 
 
+def _letters(texts: list[str]) -> tuple[list[list[float]], int]:
+    """A small deterministic model: letter frequencies; it bills a token for four characters."""
+    return [[t.count(c) / max(len(t), 1) for c in "etaoinsh"] for t in texts], sum(len(t) // 4 for t in texts)
+
+
 @query()
 def embedded_corpus(spark, sf_dir):
-    """The embedding ladder with a small deterministic model: letter frequencies."""
+    """What embedding the documents has used."""
+    return dense.embed_stats(dense.embed_corpus(table(spark, sf_dir, "documents"), _letters, 8, "doc_id")).drop("seconds", "seconds_a_call")
+
+
+def _letter(c: str) -> str:
+    return f"round((length(t) - length(replace(t, '{c}', ''))) / length(t), 6)"
 
-    def model(texts: list[str]) -> list[list[float]]:
-        return [[t.count(c) / max(len(t), 1) for c in "etaoinsh"] for t in texts]
 
-    return dense.embed_stats(dense.embed_corpus(table(spark, sf_dir, "documents"), model, 8, "doc_id"))
+@query(f"SELECT doc_id, trim(t, ' ' || chr(10)) = '' AS failed, {_letter('e')} AS e, {_letter('h')} AS h FROM (SELECT doc_id, substr(text, 1, 2000) AS t FROM documents)")
+def embedded_texts(spark, sf_dir):
+    """The embedding of each text."""
+    v = dense.embed_corpus(table(spark, sf_dir, "documents"), _letters, 8, "doc_id")
+    return v.select("doc_id", "failed", F.round(F.get("vector", F.lit(0)), 6).alias("e"), F.round(F.get("vector", F.lit(7)), 6).alias("h"))
 
 
 # The production chain step by step over both legs: each configuration once, legs, fusions and pair scores shared.

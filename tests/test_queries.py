@@ -71,3 +71,14 @@ def test_stream_matches_batch(spark, tmp_path):
     q.awaitTermination()
     got = spark.sql("SELECT sum(total) FROM stats").first()[0]
     assert got == rows.count()
+
+
+def test_a_single_form_passes_unfused(spark):
+    rows = [(1, 0, 1, "a", 0.9), (1, 0, 2, "b", 0.5), (1, 1, 1, "b", 3.0), (2, 1, 1, "c", 7.5), (2, 1, 2, "d", 7.0), (2, 1, 3, "e", 1.0)]
+    legs = spark.createDataFrame(rows, "query_id int, leg int, rank int, key string, score double")
+    got = {(r.query_id, r.key): (r.score, r["rank"]) for r in fuse.multi_query(legs, top_k=2).collect()}
+    assert got == {(1, "a"): (3.0, 1), (1, "b"): (1.0, 2), (2, "c"): (7.5, 1), (2, "d"): (7.0, 2)}
+    from pyspark.sql import functions as F
+
+    several = legs.withColumns({"rrf_score": F.lit(0.25), "fused_score": F.when(F.col("key") == "a", 2.0)})
+    assert {r.key: r.s for r in several.select("key", fuse.first_score(several).alias("s")).where("key < 'c'").distinct().collect()} == {"a": 2.0, "b": 0.25}

@@ -70,3 +70,30 @@ def test_rows_are_numbered_within_files_across_stretches(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     text = versions.numbered(spark.createDataFrame([("a", "y"), ("a", "x")], "source_file string, k string"), "k", "nth").collect()
     assert sorted((r.k, r.nth) for r in text) == [("x", 0), ("y", 1)]
+
+
+def test_usage_is_gathered_by_the_pass_that_writes(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"text {i}" if i else " ") for i in range(40)], "chunk long, text string").repartition(3)
+    model = lambda texts: ([[float(len(t))] for t in texts], 2 * len(texts))
+    rows = dense.embed_corpus(d, model, 1)
+    used = dense.write_embedded(rows, str(tmp_path / "e"), "m").first()
+    assert (used.label, used.rows, used.failed, used.tokens) == ("m", 40, 1, 78) and used.calls >= 3
+    assert spark.read.parquet(str(tmp_path / "e" / "vectors")).count() == 40
+    stats = dense.embed_stats(rows).first()
+    assert (stats.calls, stats.tokens, stats.failed) == (used.calls, 78, 1)
+
+
+def test_runs_leave_detail_and_summary(spark, tmp_path):
+    c = spark.createDataFrame([(q, i, f"f{i}", "t") for q in (1, 2) for i in range(1, 8)], "query_id int, rank int, source_file string, business_tag string")
+    g = spark.createDataFrame([(1, ["f3"], ["t"], False, True), (2, ["f1"], [], False, False)], "query_id int, source_files array<string>, source_tags array<string>, negative_sample boolean, is_table_question boolean")
+    for label in ("a", "b"):
+        io.write_eval_run(evaluate.eval_detail(c, g), str(tmp_path / "runs"), label)
+    got = {r.label: r for r in io.read_eval_summaries(spark, str(tmp_path / "runs")).collect()}
+    assert set(got) == {"a", "b"} and got["a"].questions == 2 and got["a"].hits_at_3 == 2 and got["a"].seconds >= 0
+    assert got["b"].recall == {"all_1": 0.5, "all_3": 1.0, "all_5": 1.0, "table_1": 0.0, "table_3": 1.0, "table_5": 1.0}
+
+
+def test_corpus_round_trip(spark, tmp_path):
+    d = spark.createDataFrame([(0, "x", "f", "2020-2021"), (1, " ", "f", ""), (2, "y", "f", None)], "ordinal long, text string, source_file string, academic_year string")
+    io.write_corpus(d, str(tmp_path / "c"))
+    assert sorted((r.chunk_id, r.text, r.academic_year) for r in io.read_corpus(spark, str(tmp_path / "c")).collect()) == [("f__chunk_0", "x", "2020-2021"), ("f__chunk_2", "y", "")]
