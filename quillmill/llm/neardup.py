@@ -322,10 +322,16 @@ class NearDuplicates:
         rows = materialize(held.mapInArrow(prefixes, "gram bigint, content binary, label binary, weight double, rest double, light boolean"), "prefixes")
         several = rows.groupBy("gram").agg((F.min("label") != F.max("label")).alias("open"), F.max("light").alias("led")).where("open and led").select("gram")
         rows = materialize(rows.join(several, "gram"), "open-prefixes")
-        other = rows.select("gram", *[F.col(c).alias(f"other_{c}") for c in ("content", "label", "weight", "rest")])
+        # Each gram's rows meet those that are not of its commonest label: every pair of two labels has such a side, and many
+        # rows of one label make no pairs among themselves.
+        by_label = rows.groupBy("gram", "label").agg(F.count("*").alias("n"))
+        commonest = by_label.groupBy("gram").agg(F.max_by("label", F.struct("n", "label")).alias("commonest"))
+        apart = materialize(rows.join(commonest, "gram").where("label != commonest").drop("commonest"), "outsiders")
+        other = rows.select("gram", *[F.col(c).alias(f"other_{c}") for c in ("content", "label", "weight", "rest", "light")])
         need = least / (1 + least) * (F.col("weight") + F.col("other_weight")) - 1e-2
-        fits = (F.col("weight") >= least * F.col("other_weight") - 1e-2) & (F.least("rest", "other_rest") >= need) & (F.col("weight") <= F.col("other_weight") + 1e-2)
-        pairs = rows.where("light").join(other, "gram").where((F.col("label") != F.col("other_label")) & fits)
+        close = (F.least("weight", "other_weight") >= least * F.greatest("weight", "other_weight") - 1e-2) & (F.least("rest", "other_rest") >= need)
+        led = F.col("light") & (F.col("weight") <= F.col("other_weight") + 1e-2) | F.col("other_light") & (F.col("other_weight") <= F.col("weight") + 1e-2)
+        pairs = apart.join(other, "gram").where((F.col("label") != F.col("other_label")) & close & led)
         return pairs.select(F.least("content", "other_content").alias("a"), F.greatest("content", "other_content").alias("b"))
 
     def _test(self, pairs: DataFrame, texts: DataFrame, cast, least: float) -> None:

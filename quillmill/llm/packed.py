@@ -94,13 +94,13 @@ def id_pieces(docs: DataFrame, size: int, path: str, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, PIECES)
 
 
-def pack_matrices(docs: DataFrame, size: int = 1024, path: str | None = None, pool_tokens: int = 2_000_000, width: int = 2) -> DataFrame:
+def pack_matrices(docs: DataFrame, size: int = 1024, path: str | None = None, pool_tokens: int = 2_000_000, width: int = 2, tasks: int = 10_000) -> DataFrame:
     """One row for each packed sequence: its ids (little-endian, `width` bytes each, zero padded to size), cumulative segment
     lengths from 0, the positions at which position ids restart, and each segment's document, piece, start and checksum.
 
-    A hash deals the pieces to pools of about pool_tokens tokens, as many as the table's bytes ask for, and a task packs a
-    pool; so a pool's size and what shares a sequence follow the rows, not how the input is split. A task holds twice
-    pool_tokens at most and starts a further pool beyond. Overlong documents are cut into pieces of size tokens after a
+    A hash deals the pieces to pools of about pool_tokens tokens, as many as the table's bytes ask for, and a task packs one
+    pool after the other, one alone up to `tasks` pools; so a pool's size and what shares a sequence follow the rows, not how
+    the input is split. A task holds twice pool_tokens at most and starts a further pool beyond. Overlong documents are cut into pieces of size tokens after a
     shorter first one; pieces and starts put them together again. width 2 holds ids below 65,536, as the default file's
     are; an id that doesn't fit raises ValueError, none is cut.
 
@@ -121,25 +121,25 @@ def pack_matrices(docs: DataFrame, size: int = 1024, path: str | None = None, po
     def run(batches):
         rows, held, first, pool = [], 0, 0, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            pool = batch.column("pool")[0].as_py()
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "piece", "start", "piece_crc32", "ids"))):
+            for own, *row in zip(*(batch.column(c).to_pylist() for c in ("pool", "doc_id", "piece", "start", "piece_crc32", "ids"))):
+                if rows and (own != pool or held >= 2 * pool_tokens):
+                    yield (out := flush(str(pool), rows, first))
+                    rows, held, first = [], 0, first + out.num_rows
+                if own != pool:
+                    pool, first = own, 0
                 rows.append(row)
                 held += len(row[4]) // width
-                if held >= 2 * pool_tokens:
-                    yield (out := flush(pool, rows, first))
-                    rows, held, first = [], 0, first + out.num_rows
         if rows:
-            yield flush(pool, rows, first)
+            yield flush(str(pool), rows, first)
 
     # About three bytes a token, and an end id for each row; this decides the number of pools only.
     tokens = docs.agg((F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)) / 3 + F.count("*")).alias("n")).first()["n"]
     pools = max(1, math.ceil(tokens / pool_tokens))
-    dealt = id_pieces(docs, size, path or default_path(), width).repartition(pools, "doc_id", "piece", "piece_crc32", "copy")
+    pool = F.pmod(F.xxhash64("doc_id", "piece", "piece_crc32", "copy"), F.lit(pools)).cast("int")
+    parts = min(pools, tasks)
+    dealt = id_pieces(docs, size, path or default_path(), width).withColumn("pool", pool).repartitionById(parts, F.col("pool") % parts)
     # In one order whatever the shuffle's, a task that is run again packs alike.
-    ordered = dealt.sortWithinPartitions("doc_id", "piece", "start", "piece_crc32", "ids").drop("copy")
-    return ordered.withColumn("pool", F.spark_partition_id().cast("string")).mapInArrow(run, SCHEMA)
+    return dealt.sortWithinPartitions("pool", "doc_id", "piece", "start", "piece_crc32", "ids").drop("copy").mapInArrow(run, SCHEMA)
 
 
 def write_packed(df: DataFrame, path: str) -> None:

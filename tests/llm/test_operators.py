@@ -521,3 +521,50 @@ def test_filters_are_bounded():
     from quillmill.llm.common import filter_bits
 
     assert all(p <= 20 and p + 7 <= b <= 27 for p, b in map(filter_bits, (0, 1, 100, 10**4, 10**6, 10**8)))
+
+
+def test_pools_beyond_the_tasks_follow_each_other(docs):
+    rows = lambda df: sorted((r.pool, r.sequence, bytes(r.ids), tuple(r.pieces)) for r in df.collect())
+    one, many = (rows(packed.pack_matrices(docs, size=64, pool_tokens=300, tasks=t)) for t in (1, 10_000))
+    assert one == many and len({r[0] for r in one}) > 5
+    assert len({r[:2] for r in one}) == len(one)
+
+
+def test_classes_against_all_pairs(spark):
+    """Components of all pairs of weighted Jaccard 0.8 or more, over the documents of the smallest tables and edits of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(12)
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    for i, (_, text) in enumerate(rows[:60]):
+        words = (text or "").split(" ")
+        for k in range(2):
+            edited = [w for w in words if r.random() > (0.01, 0.03)[k]]
+            rows.append((10_000 + 2 * i + k, " ".join(edited)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = neardup.idf_table(frame.withColumn("text", F.coalesce("text", F.lit(""))))
+    s = neardup.Shingles(pa.array([t or "" for _, t in rows]), idf)
+    own = [dict(zip(s.gram[s.row == i].tolist(), s.weight[s.row == i].tolist())) for i in range(len(rows))]
+    total = [sum(x.values()) for x in own]
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if min(total[i], total[j]) >= 0.79 * max(total[i], total[j]):
+                common = sum(min(w, own[j][g]) for g, w in own[i].items() if g in own[j])
+                if common >= 0.8 * (total[i] + total[j] - common) - 1e-9 or not total[i] + total[j]:
+                    a, b = sorted((root(i), root(j)))
+                    label[b] = a
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), d), d)
+    want = {d: least[root(i)] for i, (d, _) in enumerate(rows)}
+    got = {x.doc_id: x.class_id for x in neardup.classes(frame).collect()}
+    wrong = [d for d in want if got[d] != want[d]]
+    assert not wrong and len(set(want.values())) < len(rows) - 60, np.array(wrong)
