@@ -41,6 +41,7 @@ def business_tag(stem: Column, body: Column, tags=rules.TAGS, markers=rules.MARK
     return F.coalesce(_first_rule(stem, tags), _first_rule(head, markers), F.when(best["n"] > 0, best["t"]), F.lit(rules.OTHER_TAG))
 
 
+# How years, semesters and dates are written.
 YEARS = [(r"(\d{4})[-—](\d{4})", 2), (r"(\d{4})\s*年", 1), (r"(\d{4})级", 1), (r"(\d{4})", 1)]
 
 
