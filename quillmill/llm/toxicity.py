@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from .common import Words, by_bytes, held_out, labelled, mix, table, text_bytes, with_rows
 
 # Insults of common use, each a voter.
-INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb fool jerk imbecile garbage vermin filth coward liar freak ugly hate shut kill die".split()
+INSULTS = [
+    "idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "dumb", "fool",
+    "jerk", "imbecile", "garbage", "vermin", "filth", "coward", "liar", "freak", "ugly", "hate", "shut", "kill", "die",
+]
 #: Lengths in bytes of the word beginnings that may become lexicon entries.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Pattern voters, after the lexicon voters.
