@@ -29,7 +29,9 @@ def cleaned_text(spark, sf_dir):
     return spread(view(spark, sf_dir, DIRTY)).select("doc_id", clean.clean_text(F.col("text")).alias("text"))
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, regexp_replace(nfc_normalize(text), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]|\\p{{{{Cf}}}}|\\p{{{{Co}}}}', '', 'g') AS t FROM ({DIRTY})),
+n AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), '\\n{{{{3,}}}}', chr(10) || chr(10), 'g') AS t FROM d)
+SELECT doc_id, left(regexp_replace(t, '^\\s+|\\s+$', '', 'g'), 2000) AS text FROM n""".replace("{{", "{").replace("}}", "}"))
 def sanitized_text(spark, sf_dir):
     return view(spark, sf_dir, DIRTY).select("doc_id", clean.sanitize_text(F.col("text")).alias("text"))
 
@@ -207,7 +209,33 @@ def recursive_chunks(spark, sf_dir):
     return _chunk_rows(spark, sf_dir, "recursive")
 
 
-@query()
+# The whole way from a view (doc_id, text) to chunks: cleaned, code, tables and headings marked, sections by a stack of headings.
+_MARKED = """raw AS ({0}), kept AS (SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), chr(10)), lambda x: NOT regexp_matches(trim(x, ' ' || chr(9) || chr(13)), '""" + DROPPED + """')), chr(10)) AS t FROM raw),
+tidy AS (SELECT doc_id, string_split(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(t, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: rtrim(x, ' ' || chr(9))), chr(10)), '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), chr(10)) AS ls FROM kept),
+clean AS (SELECT doc_id, string_split(trim(array_to_string(list_transform(ls, lambda x: CASE WHEN starts_with(trim(x), '|') THEN x ELSE regexp_replace(x, '[ \\t]{{2,}}', ' ', 'g') END), chr(10)), ' ' || chr(10)), chr(10)) AS ls FROM tidy),
+code AS (SELECT doc_id, ls, list_transform(ls, lambda x: regexp_matches(x, '[{{}}();=<>]') AND trim(x) <> '') AS c FROM clean),
+coded AS (SELECT doc_id, string_split(array_to_string(list_transform(range(1, len(ls) + 1), lambda i: concat(CASE WHEN c[i] AND coalesce(c[i + 1], false) AND coalesce(c[i + 2], false) AND NOT coalesce(CASE WHEN i > 1 THEN c[i - 1] END, false) THEN '```' || chr(10) ELSE '' END, ls[i],
+  CASE WHEN i > 2 AND c[i] AND c[i - 1] AND c[i - 2] AND NOT coalesce(c[i + 1], false) THEN chr(10) || '```' ELSE '' END)), chr(10)), chr(10)) AS ls FROM code),
+tables AS (SELECT doc_id, ls, list_transform(ls, lambda x: starts_with(trim(x), '|') AND ends_with(trim(x), '|')) AS t FROM coded),
+tabled AS (SELECT doc_id, string_split(array_to_string(list_transform(range(1, len(ls) + 1), lambda i: concat(CASE WHEN t[i] <> (CASE WHEN i > 1 THEN t[i - 1] ELSE false END) THEN chr(10) ELSE '' END, CASE WHEN t[i] THEN trim(ls[i]) ELSE ls[i] END)), chr(10)), chr(10)) AS ls FROM tables),
+headed AS (SELECT doc_id, list_transform(ls, lambda x: CASE
+  WHEN regexp_matches(trim(x), '^第[一二三四五六七八九十]+[章节].+$') AND length(regexp_replace(trim(x), '^第[一二三四五六七八九十]+[章节]\\s*', '')) BETWEEN 1 AND 40 AND NOT regexp_matches(x, '[。；！？]') THEN '## ' || trim(x)
+  WHEN regexp_matches(trim(x), '^[一二三四五六七八九十]+、.+$') AND length(trim(x)) <= 40 AND NOT regexp_matches(x, '[。；！？]') THEN '### ' || trim(x)
+  WHEN regexp_matches(trim(x), '^\\d+(\\.\\d+)*[、.]\\s*.+$') AND length(regexp_replace(trim(x), '^\\d+(\\.\\d+)*[、.]\\s*', '')) BETWEEN 1 AND 40 AND NOT regexp_matches(x, '[。；！？]') THEN '#### ' || trim(x) ELSE x END) AS ls FROM tabled),
+l0 AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS no FROM headed),
+l1 AS (SELECT *, regexp_matches(trim(line), '^#{{1,6}}\\s+\\S') AS head FROM l0),
+l2 AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY doc_id ORDER BY no) AS sec FROM l1),
+heads AS (SELECT doc_id, list({{'level': length(regexp_extract(trim(line), '^#+')), 'title': trim(regexp_replace(trim(line), '^#+\\s+', ''))}} ORDER BY no) AS hs FROM l2 WHERE head GROUP BY doc_id),
+secs AS (SELECT doc_id, sec, regexp_replace(string_agg(line, chr(10) ORDER BY no) FILTER (NOT head), '^\\s+|\\s+$', '', 'g') AS body FROM l2 GROUP BY ALL),
+paths AS (SELECT s.doc_id, sec, body, list_reduce(list_transform(coalesce(hs, [])[1:sec], lambda h: {{'h': h, 'path': CAST([] AS STRUCT("level" BIGINT, title VARCHAR)[])}}), lambda a, b: {{'h': b.h, 'path': list_filter(a.path, lambda x: x.level < b.h.level) || [b.h]}}, {{'h': {{'level': CAST(0 AS BIGINT), 'title': ''}}, 'path': CAST([] AS STRUCT("level" BIGINT, title VARCHAR)[])}}).path AS stack FROM secs s LEFT JOIN heads h ON h.doc_id = s.doc_id WHERE body <> ''),
+bodies AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS section, array_to_string(list_transform(stack, lambda x: x.title), ' > ') AS path, len(stack) AS level, body FROM paths)"""
+
+
+def _whole_chain_sql(source: str) -> str:
+    return "WITH " + _MARKED.replace("{{", "{").replace("}}", "}").replace("{0}", source) + ", " + _BLOCKS + ", " + _PIECES
+
+
+@query(f"SELECT doc_id, CAST(section AS INT) AS section, CAST(block AS INT) AS block, CAST(piece AS INT) AS piece, CAST(chunk_index AS INT) AS chunk_index, content_type, heading_path, CAST(heading_level AS INT) AS heading_level, content, 'structured' AS chunk_strategy FROM ({_whole_chain_sql(STRUCTURED)})")
 def structured_chunks(spark, sf_dir):
     """Clean, mark and chunk the decorated documents."""
     d = structure.mark_structures(spread(view(spark, sf_dir, STRUCTURED)).withColumn("text", clean.clean_text(F.col("text"))))
