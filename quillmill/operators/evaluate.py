@@ -6,11 +6,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
-from . import fuse, rerank
+from . import rerank
 from .ground import stated
 from .names import nearest_names
 from .percentiles import exact_percentiles
@@ -60,10 +60,24 @@ class Config:
     max_per_source: int | None = None
     top_k: int = 10
 
-    def fused(self, legs: DataFrame) -> DataFrame:
-        if self.leg is not None:
-            return legs.where(F.col("leg") == self.leg).where(F.col("rank") <= self.fetch_k)
-        return fuse.rrf_fuse(legs, self.rrf, self.fetch_k) if self.rrf else fuse.weighted_fuse(legs, dict(zip((1, 2), self.weights)) if self.weights else None, self.fetch_k)
+    def row(self) -> tuple:
+        a, b = self.weights or (1.0, 1.0)
+        return self.label, self.leg, self.rrf, a, b, self.fetch_k
+
+
+def fuse_all(legs: DataFrame, configs: Sequence[Config]) -> DataFrame:
+    """(label, query_id, key, rank): what each configuration's leg or fusion of legs 1 and 2 fetches, all in one grouping."""
+    table = legs.sparkSession.createDataFrame([c.row() for c in configs], "label string, only int, k int, first_weight double, second_weight double, fetch_k int")
+    w = Window.partitionBy("query_id", "leg")
+    score = F.coalesce("score", F.lit(0.0))
+    low, span = F.min(score).over(w), F.max(score).over(w) - F.min(score).over(w)
+    scaled = legs.withColumn("scaled", F.when(span > 0, (score - low) / span).otherwise(F.lit(1.0)))
+    each = scaled.crossJoin(F.broadcast(table)).where("only IS NULL OR only = leg")  # a row a configuration
+    weight = F.when(F.col("leg") == 1, F.col("first_weight")).otherwise(F.col("second_weight"))
+    part = F.when(F.col("only").isNotNull(), -F.col("rank")).when(F.col("k").isNotNull(), 1.0 / (F.col("k") + F.col("rank"))).otherwise(F.col("scaled") * weight)
+    fused = each.groupBy("label", "query_id", "key", "fetch_k").agg(F.round(F.sum(part), 9).alias("score"), F.min(F.struct("leg", "rank")).alias("first"))
+    order = Window.partitionBy("label", "query_id").orderBy(F.col("score").desc(), "first.leg", "first.rank", "key")
+    return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("fetch_k")).select("label", "query_id", "key", "rank")
 
 
 def ablate(legs: DataFrame, configs: Sequence[Config], described: DataFrame, queries: DataFrame) -> DataFrame:
@@ -72,13 +86,9 @@ def ablate(legs: DataFrame, configs: Sequence[Config], described: DataFrame, que
     described (key, text, source_file, ...) and queries (query_id, query) are what reranking and boosts look at. A text is
     scored once for a question, whatever configurations rank it.
     """
-    by, rows = ("label", "query_id"), None
-    for c in configs:
-        one = c.fused(legs).select("query_id", "key", "rank", F.lit(c.label).alias("label"))
-        rows = one if rows is None else rows.unionByName(one)
+    by = ("label", "query_id")
     named = lambda want: F.col("label").isin([c.label for c in configs if want(c)])
-    # Dealt by what follows groups on; a union's branches must not be taken for one partitioning.
-    rows = materialize(rows.repartition(*by), "runs")
+    rows = materialize(fuse_all(materialize(legs, "legs"), configs), "runs")
     pairs = rows.where(named(lambda c: c.rerank)).select("query_id", "key").distinct()
     texts = pairs.join(described.select("key", "text"), "key").join(queries.select("query_id", "query"), "query_id")
     scores = texts.select("query_id", "key", rerank.overlap_score(F.col("query"), F.col("text")).alias("pair_score"))
