@@ -265,12 +265,22 @@ def assembled_pages(spark, sf_dir):
     return io.assemble_pages(p).select("doc", "text", "total_pages")
 
 
-@query("SELECT page_id, url AS source_url, replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&') AS title FROM pages")
+TITLE = """regexp_replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&quot;', '"'), '&amp;?', '&', 'g') AS title"""
+
+
+@query(f"SELECT page_id, url AS source_url, {TITLE} FROM pages")
 def page_titles(spark, sf_dir):
     return io.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "source_url", "title")
 
 
-@query()
+PAGE_TEXTS = f"""WITH bodies AS (SELECT page_id, url AS source_url, {TITLE},
+    regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<h1>([^<]*)</h1>', '<h1># \\1</h1>', 'g') AS body FROM pages),
+parts AS (SELECT page_id, source_url, title, list_transform(string_split_regex(body, '<[^>]*>'),
+    lambda x: trim(regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), chr(32) || chr(9) || chr(10) || chr(13))) AS parts FROM bodies)
+SELECT page_id, source_url, title, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM parts"""
+
+
+@query(PAGE_TEXTS)
 def page_texts(spark, sf_dir):
     return io.extract_pages(table(spark, sf_dir, "pages"))
 

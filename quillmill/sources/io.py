@@ -36,34 +36,54 @@ def read_text_docs(spark: SparkSession, path: str) -> DataFrame:
 
 
 class _Page(HTMLParser):
-    """Collects a page's title and the text of its first article, main or body."""
+    """Collects a page's title and the text of its first article, main or body: headings and tables as Markdown, code fenced."""
 
     SKIP = {"script", "style", "nav", "footer", "header"}
     VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 
+    #: Elements whose text is gathered as a whole. Inside one of them another has no meaning of its own, but that a cell ends a cell.
+    WHOLE = {"title", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "code", "td", "th"}
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.title, self.skip, self.stack = "", 0, []
         self.roots: dict[str, list[str]] = {}
         self.open: dict[str, int] = {}
         self.all: list[str] = []
-        self.block: list[str] | None = None
+        self.whole, self.depth, self.block = "", 0, []
         self.rows: list[list[str]] | None = None
 
     def _add(self, text: str) -> None:
         for part in [self.all, *(self.roots[k] for k in self.open)]:
             part.append(text)
 
+    def _finish(self) -> None:
+        """What the open whole element has gathered goes to its place."""
+        tag, text = self.whole, "".join(self.block).strip()
+        self.whole, self.block = "", []
+        if tag == "title":
+            self.title = self.title or text
+        elif tag in ("td", "th"):
+            if self.rows:
+                self.rows[-1].append(text.replace("\n", " "))
+        elif tag in ("pre", "code"):
+            self._add("```\n" + text + "\n```")
+        elif text:
+            self._add("#" * int(tag[1]) + " " + text)
+
     def handle_starttag(self, tag, attrs):
         if tag in self.VOID:
             return
+        if self.whole in ("td", "th") and tag in ("td", "th", "tr"):
+            self._finish()
         self.stack.append(tag)
         if tag in self.SKIP:
             self.skip += 1
         if tag in ("article", "main", "body") and tag not in self.roots:
             self.roots[tag], self.open[tag] = [], len(self.stack)
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6", "pre", "td", "th") and not self.skip or tag == "title":
-            self.block = []
+        cell = tag in ("td", "th")
+        if tag in self.WHOLE and not self.whole and not self.skip and (cell or tag == "title" or self.rows is None) and not (cell and self.rows is None):
+            self.whole, self.depth = tag, len(self.stack)
         if tag == "table":
             self.rows = []
         if tag == "tr" and self.rows is not None:
@@ -78,29 +98,25 @@ class _Page(HTMLParser):
                 self.skip -= 1
             if last == tag:
                 break
-        text = "".join(self.block or []).strip() if self.block is not None else ""
-        if tag == "title":
-            self.title, self.block = self.title or text, None
-        elif tag[:1] == "h" and tag[1:].isdigit() and self.block is not None:
-            self.block = None
-            if text:
-                self._add("#" * int(tag[1:]) + " " + text)
-        elif tag == "pre" and self.block is not None:
-            self.block = None
-            self._add("```\n" + text + "\n```")
-        elif tag in ("td", "th") and self.rows:
-            self.rows[-1].append(text.replace("\n", " "))
-            self.block = None
-        elif tag == "table" and self.rows is not None:
+        if self.whole and len(self.stack) < self.depth:
+            self._finish()
+        if tag == "table" and self.rows is not None:
             rows, self.rows = [r for r in self.rows if any(r)], None
             if rows:
                 self._add("\n".join(["| " + " | ".join(rows[0]) + " |", "| " + " | ".join("---" for _ in rows[0]) + " |", *("| " + " | ".join(r) + " |" for r in rows[1:])]))
         self.open = {k: n for k, n in self.open.items() if n <= len(self.stack)}
 
+    def close(self):
+        super().close()
+        if self.whole:
+            self._finish()
+
     def handle_data(self, data):
-        if self.block is not None:
+        if self.skip:
+            return
+        if self.whole:
             self.block.append(data)
-        elif not self.skip and data.strip() and self.rows is None:
+        elif data.strip() and self.rows is None:
             self._add(data.strip())
 
     def text(self) -> str:

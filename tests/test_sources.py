@@ -97,3 +97,20 @@ def test_corpus_round_trip(spark, tmp_path):
     d = spark.createDataFrame([(0, "x", "f", "2020-2021"), (1, " ", "f", ""), (2, "y", "f", None)], "ordinal long, text string, source_file string, academic_year string")
     io.write_corpus(d, str(tmp_path / "c"))
     assert sorted((r.chunk_id, r.text, r.academic_year) for r in io.read_corpus(spark, str(tmp_path / "c")).collect()) == [("f__chunk_0", "x", "2020-2021"), ("f__chunk_2", "y", "")]
+
+
+def test_pages_with_code_cells_and_loose_ends(spark):
+    cases = {
+        "<body><p>run <code>ls -l</code> now</p></body>": "run\n```\nls -l\n```\nnow",
+        "<body><pre><code>a = 1\nb</code></pre>x</body>": "```\na = 1\nb\n```\nx",
+        "<main><h2>Use <code>f</code></h2></main>": "## Use f",
+        "<body><table><tr><td>a<td><pre>b\nc</pre><tr><td>d<code>e</code></table>z</body>": "| a | b c |\n| --- | --- |\n| de |\nz",
+        "<body><pre>x<script>y</script>z</pre></body>": "```\nxz\n```",
+        "<body>k<pre>cut off": "k\n```\ncut off\n```",
+        "<h3></h3>plain": "plain",
+        "": "",
+    }
+    rows = spark.createDataFrame([(i, h) for i, h in enumerate([*cases, None])], "i int, html string")
+    got = {r.i: r.p for r in rows.select("i", io.html_to_text("html").alias("p")).collect()}
+    assert [got[i].text for i in range(len(cases))] == list(cases.values())
+    assert got[len(cases)].text is None and got[len(cases)].title is None
