@@ -293,11 +293,15 @@ def split_by_keys(rows: DataFrame, keyed: DataFrame, keys: list[str], log_bits:
 def labelled(spark: SparkSession, sf_dir: str, label: str, most: int) -> DataFrame:
     """(doc_id, y) of at most `most` rows that may be learned from: crc32 of the id as text, modulo 5, is not 0.
 
-    The rows with the lowest hashes are taken, the same on each run; a null label or id teaches nothing.
+    The rows with the lowest hashes are taken, the same on each run; a null label or id teaches nothing, and equal rows count once.
+    Hashes below twice the share that is wanted go on to the sort, so the one task that ends it gets some 2 * `most` rows.
     """
     rows = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("double").alias("y")).dropna()
-    rows = rows.where(~held_out(F.col("doc_id")))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
+    rows = rows.where(~held_out(F.col("doc_id"))).distinct()
+    share = min(1.0, 2 * most / max(rows.count(), 1))
+    low = F.xxhash64("doc_id")
+    rows = rows.where(low <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))))
+    return rows.orderBy(low, "doc_id", "y").limit(most)
 
 
 def held_out(doc_id):

@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, by_bytes, held_out, labelled, mix, table, text_bytes, with_rows
+from .common import Words, by_bytes, held_out, labelled, materialize, mix, table, text_bytes, with_rows
 
 # Insults of common use, each a voter.
 INSULTS = [
@@ -180,23 +181,22 @@ def _logistic(x: np.ndarray, target: np.ndarray, steps: int = 400) -> tuple[np.n
     return w[:-1], b
 
 
-def fit(spark: SparkSession, sf_dir: str, docs: DataFrame, most: int = 12_000, entries: int = 400, least: int = 5, unlabelled: int = 16_384) -> Model:
-    """Lexicon and rates from at most `most` labelled documents, co-votes from all of docs; the linear classifier learns the label
-    model's posteriors of those documents and of at most `unlabelled` others. Without labelled rows the fixed insults alone
-    make the lexicon, and each is trusted alike.
+#: Parts of the table of co-votes that are summed apart, and the shards of tasks that are summed first.
+PARTS, SHARDS = 16, 256
 
-    The others: a text's hash deals it to a slot, and the text of least hash there stays; equal texts count once.
+
+def agreement(docs: DataFrame, cast, width: int, unlabelled: int) -> tuple[int, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(texts, co-votes of each two voters, votes of at most `unlabelled` texts by slot) over all of docs.
+
+    A task adds up the co-votes of its texts and sends the cells that are not 0, packed in PARTS rows; they are summed by shards of
+    tasks and then as a whole, so a group has some hundred rows at most. A text's hash deals it to a slot, and the text of least
+    hash there stays; equal texts count once. What comes to the driver follows the voters and slots.
     """
-    rows = F.broadcast(labelled(spark, sf_dir, "toxic", most))  # at most `most` rows
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text").join(rows, "doc_id").select("y", "text")
-    mined = mine(texts, entries, least)
-    fixed = np.array([_word_hash(x) for x in INSULTS], np.uint64)
-    lexicon = Lexicon(np.concatenate([np.array([m[0] for m in mined], np.int64).view(np.uint64), fixed]))
-    model = Model(lexicon, np.zeros(len(lexicon.hashes) + PATTERNS), 0.0)
-    cast = spark.sparkContext.broadcast(model)  # a few hundred entries
+    up, right = np.triu_indices(width)
+    cells = -(-len(up) // PARTS)
 
-    def covotes(batches):
-        total, n = np.zeros((len(cast.value.weights),) * 2), 0
+    def run(batches):
+        total, n = np.zeros((width, width)), 0
         slots: dict[int, tuple[int, bytes]] = {}
         for batch in batches:
             for part in by_bytes(batch, "text"):
@@ -212,24 +212,57 @@ def fit(spark: SparkSession, sf_dir: str, docs: DataFrame, most: int = 12_000, e
                 for i, (k, slot) in enumerate(zip(key.tolist(), (key % unlabelled).tolist())):
                     if slot not in slots or k < slots[slot][0]:
                         slots[slot] = (k, packed[i].tobytes())
-        i, j = np.nonzero(total)
-        m = len(slots)
-        first = np.concatenate([i, [-1], np.full(m, -2)])
-        second = np.concatenate([j, [-1], np.fromiter(slots, np.int64, m)])
-        number = np.concatenate([total[i, j].astype(np.int64), [n], np.fromiter((k for k, _ in slots.values()), np.int64, m)])
-        yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(number), pa.array([None] * (len(i) + 1) + [v for _, v in slots.values()], pa.binary())], names=["i", "j", "n", "votes"])
+        line = total[up, right].astype(np.int64)
+        some = np.flatnonzero(line)
+        shard = TaskContext.get().partitionId() % SHARDS
+        rows = [("n", 0, shard, n, None)]
+        for p in np.unique(some // cells).tolist():
+            at = some[some // cells == p]
+            rows.append(("cells", p, shard, 0, np.concatenate([at, line[at]]).tobytes()))
+        rows += [("slot", slot, shard, k, votes) for slot, (k, votes) in slots.items()]
+        for lo in range(0, len(rows), 1024):
+            yield pa.RecordBatch.from_pylist([dict(zip(found.names, r)) for r in rows[lo : lo + 1024]], schema=found)
+
+    found = pa.schema([("kind", pa.string()), ("at", pa.int64()), ("shard", pa.int32()), ("n", pa.int64()), ("packed", pa.binary())])
+
+    def added(key, table):
+        pairs = [np.frombuffer(x, np.int64).reshape(2, -1) for x in table.column("packed").to_pylist()]
+        line = np.zeros(cells, np.int64)
+        first = key[0].as_py() * cells
+        for at, number in pairs:
+            line[at - first] += number
+        at = np.flatnonzero(line)
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "packed": pa.array([np.concatenate([at + first, line[at]]).tobytes()], pa.binary())})
 
     src = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts, n, more = np.zeros((len(model.weights),) * 2), 0.0, []
-    # Sums of the counts, and of each slot the text of least hash: what comes to the driver follows the entries and slots.
-    found = src.mapInArrow(covotes, "i bigint, j bigint, n bigint, votes binary").groupBy("i", "j").agg(F.sum(F.when(F.col("i") > -2, F.col("n"))).alias("n"), F.min(F.struct("n", "votes")).alias("least"))
-    for r in found.toLocalIterator():
-        if r["i"] == -2:
-            more.append((r["j"], np.unpackbits(np.frombuffer(r["least"]["votes"], np.uint8), count=len(model.weights))))
-        elif r["i"] == -1:
-            n = r["n"]
-        else:
-            counts[r["i"], r["j"]] = r["n"]
+    votes = materialize(src.mapInArrow(run, "kind string, at bigint, shard int, n bigint, packed binary"), "votes")
+    packed = votes.where("kind = 'cells'")
+    for by in (["at", "shard"], ["at"]):
+        packed = packed.groupBy(*by).applyInArrow(added, "at bigint, packed binary")
+    counts = np.zeros((width, width))
+    for r in packed.toLocalIterator():  # PARTS rows
+        at, number = np.frombuffer(r["packed"], np.int64).reshape(2, -1)
+        counts[up[at], right[at]] = counts[right[at], up[at]] = number
+    n = votes.where("kind = 'n'").agg(F.sum("n")).first()[0] or 0
+    least = votes.where("kind = 'slot'").groupBy("at").agg(F.min(F.struct("n", "packed"))["packed"].alias("packed"))
+    bits = lambda x: np.unpackbits(np.frombuffer(x, np.uint8), count=width)
+    return n, counts, sorted(((r["at"], bits(r["packed"])) for r in least.toLocalIterator()), key=lambda m: m[0])
+
+
+def fit(spark: SparkSession, sf_dir: str, docs: DataFrame, most: int = 12_000, entries: int = 400, least: int = 5, unlabelled: int = 16_384) -> Model:
+    """Lexicon and rates from at most `most` labelled documents, co-votes from all of docs; the linear classifier learns the label
+    model's posteriors of those documents and of at most `unlabelled` others. Without labelled rows the fixed insults alone
+    make the lexicon, and each is trusted alike.
+    """
+    rows = F.broadcast(labelled(spark, sf_dir, "toxic", most))  # at most `most` rows
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").join(rows, "doc_id").select("y", "text")
+    mined = mine(texts, entries, least)
+    fixed = np.array([_word_hash(x) for x in INSULTS], np.uint64)
+    lexicon = Lexicon(np.concatenate([np.array([m[0] for m in mined], np.int64).view(np.uint64), fixed]))
+    model = Model(lexicon, np.zeros(len(lexicon.hashes) + PATTERNS), 0.0)
+    cast = spark.sparkContext.broadcast(model)  # a few hundred entries
+
+    n, counts, more = agreement(docs, cast, len(model.weights), unlabelled)
     got = with_rows(texts, lambda c: [pa.array([x.tobytes() for x in cast.value.inputs(c).astype(np.uint8)], pa.binary())], [("x", "binary")]).select("y", "x").collect()
     if not got:
         model.weights[: len(lexicon.hashes)] = 3.0
@@ -239,7 +272,7 @@ def fit(spark: SparkSession, sf_dir: str, docs: DataFrame, most: int = 12_000, e
     y, x = np.array([r[0] for r in got]), np.array([np.frombuffer(r[1], np.uint8) for r in got]).astype(np.float32)
     generative = label_model(n, counts, x, y)
     if more:
-        x = np.vstack([x, np.array([v for _, v in sorted(more, key=lambda m: m[0])], np.float32)])
+        x = np.vstack([x, np.array([v for _, v in more], np.float32)])
     model.weights, model.bias = _logistic(x, generative.posterior(x))
     return model
 

@@ -568,3 +568,40 @@ def test_classes_against_all_pairs(spark):
     got = {x.doc_id: x.class_id for x in neardup.classes(frame).collect()}
     wrong = [d for d in want if got[d] != want[d]]
     assert not wrong and len(set(want.values())) < len(rows) - 60, np.array(wrong)
+
+
+def test_agreement_sums_all_texts_however_they_are_split(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(5)
+    lexicon = toxicity.Lexicon(np.array([toxicity._word_hash(x) for x in toxicity.INSULTS], np.uint64))
+    width = len(lexicon.hashes) + toxicity.PATTERNS
+    model = toxicity.Model(lexicon, np.zeros(width), 0.0)
+    texts = [" ".join(r.choice(toxicity.INSULTS + WORDS[:40]) for _ in range(r.randrange(30))) for _ in range(300)]
+    texts += texts[:40] + [None, "", "!!! SHUT UP !!!", "fool fool fool " * 2000]
+    v = model.inputs(pa.array([t or "" for t in texts]))
+    once = {t or "": row.astype(int).tolist() for t, row in zip(texts, v)}
+    for parts in (1, 7):
+        df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts)
+        n, counts, others = toxicity.agreement(df, spark.sparkContext.broadcast(model), width, 1 << 40)
+        assert n == len(texts) and (counts == v.T @ v).all()
+        assert sorted(x.tolist() for _, x in others) == sorted(once.values())
+        few = toxicity.agreement(df, spark.sparkContext.broadcast(model), width, 16)[2]
+        assert [slot for slot, _ in few] == list(range(16)) and all(x.tolist() in once.values() for _, x in few)
+    n, counts, others = toxicity.agreement(df.where("false"), spark.sparkContext.broadcast(model), width, 16)
+    assert n == 0 and not counts.any() and others == []
+
+
+def test_labelled_rows_are_those_of_least_hash(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quillmill.llm.common import held_out, labelled
+
+    rows = [(i % 3000, float(i % 2)) for i in range(3500)] + [(7, 1.0)] * 500 + [(None, 1.0), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, toxic double")
+    df.write.parquet(f"{tmp_path}/labels.parquet")
+    usable = df.dropna().where(~held_out(F.col("doc_id"))).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").collect()
+    for most in (1, 50, 2000, 100_000):
+        got = labelled(spark, str(tmp_path), "toxic", most).collect()
+        assert [tuple(r) for r in got] == [tuple(r) for r in usable[:most]]
