@@ -110,7 +110,9 @@ def _visit(cells: Cells, asked: DataFrame, visits: DataFrame, k: int) -> DataFra
     """(query_id, chunk, score): the k best of each block for the queries that visit its cell: visits (query_id, tag, cell,
     angle, limit). Queries go along in packs; a block's own bound is looked at once more before its vectors are multiplied."""
     metric = cells.metric
-    going = visits.join(asked, ["query_id", "tag"]).withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(16)).cast("int"))
+    # A cell's blocks are copied for each of its packs, so there are no more packs than queries fill.
+    salts = max(1, min(16, asked.count() // PACK))
+    going = visits.join(asked, ["query_id", "tag"]).withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(salts)).cast("int"))
     going = going.repartition("tag", "cell", "salt").sortWithinPartitions("tag", "cell", "salt")
 
     def pack(batches):

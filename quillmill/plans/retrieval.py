@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +14,7 @@ from ..functions.rules import TERMS
 from ..functions.text import token_pattern, words
 from ..operators import dense, evaluate, fuse, names, pivots, postings, rerank
 from ..operators.stores import VariantStore
-from ..sources.shared import new_path
+from ..sources.shared import materialize, new_path, spread
 from .registry import query, table, view
 
 # Views.
@@ -42,10 +47,11 @@ def gold(spark, sf_dir) -> DataFrame:
     q, c = asked(spark, sf_dir), chunks(spark, sf_dir)
     q = q.withColumns({"gram": F.get(grams("query"), F.lit(1)), "long": F.size(words(F.col("query"))) >= 6})
     met = c.select("doc_id", F.explode(F.array_distinct(grams("text"))).alias("gram")).join(F.broadcast(q.where("long")), "gram").select("query_id", "query", "doc_id")
+    met = materialize(met, "met")  # its size decides whether texts are shuffled to meet it
     short = c.join(F.broadcast(q.where("not long").select("query_id", "query")), F.contains("text", F.col("query")))
     found = met.join(c, "doc_id").where(F.contains("text", F.col("query"))).unionByName(short.select("doc_id", "query_id", "query", *[x for x in c.columns if x != "doc_id"]))
     found = found.groupBy("query_id").agg(F.collect_set("source_file").alias("source_files"), F.collect_set("business_tag").alias("source_tags"))
-    out = q.join(found, "query_id", "left")
+    out = q.join(materialize(found, "found"), "query_id", "left")
     return out.select("query_id", "query", F.coalesce("source_files", F.array().cast("array<string>")).alias("source_files"), F.coalesce("source_tags", F.array().cast("array<string>")).alias("source_tags"), F.col("source_files").isNull().alias("negative_sample"), (F.col("query_id") % 4 == 0).alias("is_table_question"))
 
 
@@ -95,7 +101,7 @@ def bm25_topk(spark, sf_dir) -> DataFrame:
 
 def bm25(spark, sf_dir) -> DataFrame:
     found = bm25_topk(spark, sf_dir)
-    return found.join(chunks(spark, sf_dir).withColumnRenamed("doc_id", "chunk"), "chunk")
+    return materialize(found.join(chunks(spark, sf_dir).withColumnRenamed("doc_id", "chunk"), "chunk"), "candidates")
 
 
 def details(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -425,9 +431,22 @@ def hashed(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def hashed_vector(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, vector) of 64 counts."""
-    counts = hashed(texts, key, text).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"))
-    return counts.select(key, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at("m", i.cast("bigint")), F.lit(0)).cast("double")).alias("vector"))
+    """(key, vector) of 64 counts of each text that has tokens; keys are unique. A task hashes each token of a batch once."""
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                ts = part.column("ts")
+                found, n = ts.flatten().dictionary_encode(), pc.list_value_length(ts).to_numpy(zero_copy_only=False)
+                bucket = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64 for w in found.dictionary.to_pylist()], np.int64)
+                at = np.repeat(np.arange(len(n)), n) * 64 + bucket[found.indices.to_numpy(zero_copy_only=False)]
+                counts = np.bincount(at, minlength=64 * len(n)).astype(np.float64)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * len(n) + 1, 64, dtype=np.int32)), pa.array(counts))
+                yield pa.RecordBatch.from_arrays([part.column("key"), vectors], names=[key, "vector"])
+
+    d = texts.select(F.col(key).alias("key"), words(F.col(text)).alias("ts")).where(F.size("ts") > 0)
+    return d.mapInArrow(run, f"`{key}` {texts.schema[key].dataType.simpleString()}, vector array<double>")
 
 
 HASHED = "counted AS (SELECT doc_id, bucket, count(*) AS n FROM (SELECT doc_id, CAST(concat('0x', substr(md5(w), 1, 8)) AS BIGINT) % 64 AS bucket FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '@TOKENS@')) AS w FROM documents)) GROUP BY ALL)"
@@ -442,8 +461,9 @@ def hashed_vectors(spark, sf_dir):
 def text_legs(spark, sf_dir) -> DataFrame:
     """BM25 and dense search over the documents, the latter by hashed token vectors."""
     lexical_leg = bm25_topk(spark, sf_dir).withColumn("leg", F.lit(1))
-    q, v = hashed_vector(asked(spark, sf_dir), "query_id", "query"), hashed_vector(chunks(spark, sf_dir), "doc_id", "text").withColumnRenamed("doc_id", "chunk")
-    return lexical_leg.unionByName(dense.knn_topk(q, v, 10).withColumn("leg", F.lit(2))).withColumnRenamed("chunk", "key")
+    q, v = hashed_vector(asked(spark, sf_dir), "query_id", "query"), hashed_vector(spread(chunks(spark, sf_dir).select("doc_id", "text")), "doc_id", "text").withColumnRenamed("doc_id", "chunk")
+    near = dense.knn_topk(q, materialize(v, "vectors"), 10)  # the cells' build reads the vectors three times
+    return materialize(lexical_leg.unionByName(near.withColumn("leg", F.lit(2))), "text-legs").withColumnRenamed("chunk", "key")
 
 
 ASKED_HASHED = HASHED.replace("counted AS", "asked_counts AS").replace("doc_id", "query_id").replace("FROM documents", "FROM (SELECT item_id AS query_id, text FROM benchmark)")
