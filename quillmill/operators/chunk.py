@@ -5,17 +5,22 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions.clean import clean_text, strip
 from ..functions.meta import extract_metadata
 from ..functions.structure import mark_structures
 
+#: A task holds chunks of about so many characters at once.
+CHARS = 1 << 20
 _HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*")
 CHUNK = "section int, block int, piece int, chunk_index int, content_type string, heading_path string, heading_level int, table_columns array<string>, content string"
 
@@ -125,6 +130,40 @@ def _columns(text: str) -> list[str]:
     return [x for c in head.split("|") if (x := c.strip()) and x != "---"] if "|" in head else []
 
 
+def _chunker(key: str, sent: pa.Schema, strategy: str, size: int, overlap: int, keep_heading_path: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From batches of (k, t) to batches of chunks of about CHARS characters."""
+    names = _names()
+
+    def rows(k: int, t: str) -> Iterator[tuple]:
+        """The document's place in its batch and CHUNK's columns of each of its chunks."""
+        n = 0
+        for s, (path, body) in enumerate(sections(t) if strategy == "structured" else [([], t)]):
+            prefix = " > ".join(path) + "\n\n" if path and keep_heading_path else ""
+            for b, (kind_, part) in enumerate(blocks(body)):
+                for p, piece in enumerate(_pieces(kind_, part, size, overlap)):
+                    yield k, s, b, p, n, kind_, " > ".join(path), len(path), _columns(part) if kind_ == "table" else None, prefix + piece
+                    n += 1
+
+    def packed(keys: pa.Array, held: list[tuple]) -> pa.RecordBatch:
+        at, *columns = zip(*held)
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at)).cast(sent.field(0).type), *[pa.array(c, f.type) for c, f in zip(columns, list(sent)[1:])]], names=[key, *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, held, width = batch.column("k"), [], 0
+            for i in range(batch.num_rows):  # a text at a time, and chunks go on once they hold CHARS characters
+                for row in rows(i, batch.column("t")[i].as_py()):
+                    held.append(row)
+                    width += len(row[-1])
+                    if width >= CHARS:
+                        yield packed(keys, held)
+                        held, width = [], 0
+            if held:
+                yield packed(keys, held)
+
+    return run
+
+
 def chunk(df: DataFrame, key: str = "source_file", text: str = "text", strategy: str = "structured", size: int = 500, overlap: int = 50, keep_heading_path: bool = True) -> DataFrame:
     """One row for each chunk: the key, CHUNK's columns and chunk_strategy; chunk_index counts from 0 within a document.
 
@@ -132,24 +171,13 @@ def chunk(df: DataFrame, key: str = "source_file", text: str = "text", strategy:
     """
     if strategy not in ("structured", "recursive"):
         raise ValueError(f"unknown strategy {strategy}")
-    names = _names()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for k, t in zip(f["k"], f["t"]):
-                n = 0
-                for s, (path, body) in enumerate(sections(t) if strategy == "structured" else [([], t)]):
-                    prefix = " > ".join(path) + "\n\n" if path and keep_heading_path else ""
-                    for b, (kind, part) in enumerate(blocks(body)):
-                        for p, piece in enumerate(_pieces(kind, part, size, overlap)):
-                            rows.append((k, s, b, p, n, kind, " > ".join(path), len(path), _columns(part) if kind == "table" else None, prefix + piece))
-                            n += 1
-            yield pd.DataFrame(rows, columns=[key, *names])
-
     kind = df.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, {CHUNK}"
     src = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return src.mapInPandas(run, f"`{key}` {kind}, {CHUNK}").withColumn("chunk_strategy", F.lit(strategy))
+    sent = pa.schema([pa.field(n, to_arrow_type(t)) for n, t in [(key, df.schema[key].dataType), *[(f.name, f.dataType) for f in StructType.fromDDL(CHUNK)]]])
+
+    run = _chunker(key, sent, strategy, size, overlap, keep_heading_path)
+    return src.mapInArrow(run, schema).withColumn("chunk_strategy", F.lit(strategy))
 
 
 def split_sections(df: DataFrame, key: str = "source_file", text: str = "text") -> DataFrame:
