@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialize
+from ..sources.shared import materialize, spread
 
 STEPS = (1, 2, 3, 4, 6, 8)
+#: Up to so many names each wanted one is compared with all: at a great distance segments are short and meet most names anyway.
+FEW = 4096
 
 
 def _distances(most: int):
@@ -50,11 +52,15 @@ def _within(wanted: DataFrame, names: DataFrame, d: int) -> DataFrame:
 
 def nearest_names(wanted: DataFrame, names: DataFrame) -> DataFrame:
     """(wanted, d, name): the name of the least edit distance to each wanted one, the first on ties. Both are tables of one
-    column; nulls are left out, repeats count once, and without names there are no rows."""
+    column; nulls are left out, repeats count once, and without names there are no rows. Few names are compared with all wanted."""
     names = materialize(names.toDF("name").where("name IS NOT NULL").distinct().withColumn("l", F.length("name")), "names")
     left = materialize(wanted.toDF("wanted").where("wanted IS NOT NULL").distinct(), "wanted")
     out = left.select("wanted", F.lit(0).alias("d"), F.col("wanted").alias("name")).join(names.select("name"), "name", "left_semi").select("wanted", "d", "name")
     left = materialize(left.join(out, "wanted", "left_anti"), "left")
+    if names.count() <= FEW:
+        pairs = spread(left).crossJoin(F.broadcast(names.select("name")))  # a wanted name's pairs stay in its task
+        near = pairs.groupBy("wanted").agg(F.min(F.struct(F.levenshtein("wanted", "name").alias("d"), "name")).alias("m"))
+        return out.unionByName(near.select("wanted", "m.d", "m.name"))
     most = names.agg(F.max("l")).first()[0]
     if most is None:
         return out

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+
+from quillmill.operators import names as module
 from quillmill.operators.names import nearest_names
 
 
@@ -23,3 +26,18 @@ def test_nearest(spark):
     assert got == {w: min((distance(w, n), n) for n in names) for w in wanted}
     assert nearest_names(frame(wanted), frame([])).count() == 0
     assert nearest_names(frame([]), frame(names)).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 4096])
+def test_wanted_unlike_all(spark, monkeypatch, few):
+    """Names that are like none find the same by growing distances and by looking at few names at once; the latter makes no pairs
+    of segments."""
+    monkeypatch.setattr(module, "FEW", few)
+    if few:
+        monkeypatch.setattr(module, "_within", None)
+    r = random.Random(3)
+    names = [f"{a} {b}" for a in ("hot", "cold", "blue") for b in ("ring", "gear", "bolt")]
+    wanted = [f"~{i}" for i in range(30)] + ["".join(r.choice("hotrinage ") for _ in range(r.randrange(1, 12))) for _ in range(30)] + ["hot ring"]
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "x string")
+    got = {x.wanted: (x.d, x.name) for x in nearest_names(frame(wanted), frame(names)).collect()}
+    assert got == {w: min((distance(w, n), n) for n in names) for w in wanted}
