@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import TERMS
 from ..functions.text import token_pattern, words
-from ..operators import dense, evaluate, fuse, names, pivots, postings, rerank
+from ..operators import dense, evaluate, fuse, names, passages, pivots, postings, rerank
 from ..operators.stores import VariantStore
 from ..sources.shared import materialize, new_path, spread
 from .registry import query, table, view
@@ -34,23 +34,9 @@ def asked(spark, sf_dir) -> DataFrame:
 
 
 def gold(spark, sf_dir) -> DataFrame:
-    """Benchmark passages with the sources and languages of the documents that contain them.
-
-    The second to fifth words of a passage are whole words wherever it stands, even if it begins inside a word: ids of
-    documents meet passages on their hash, and the pairs met are looked up in full once. Passages of fewer than six words, a
-    part of a stated set, are looked up in each document.
-    """
-    def grams(c: str):
-        four = F.arrays_zip(*[F.slice(words(F.col(c)), i, 1 << 30) for i in range(1, 5)])
-        return F.transform(four, lambda z: F.xxhash64(*[z[str(i)] for i in range(4)]))
-
-    q, c = asked(spark, sf_dir), chunks(spark, sf_dir)
-    q = q.withColumns({"gram": F.get(grams("query"), F.lit(1)), "long": F.size(words(F.col("query"))) >= 6})
-    met = c.select("doc_id", F.explode(F.array_distinct(grams("text"))).alias("gram")).join(F.broadcast(q.where("long")), "gram").select("query_id", "query", "doc_id")
-    met = materialize(met, "met")  # its size decides whether texts are shuffled to meet it
-    short = c.join(F.broadcast(q.where("not long").select("query_id", "query")), F.contains("text", F.col("query")))
-    found = met.join(c, "doc_id").where(F.contains("text", F.col("query"))).unionByName(short.select("doc_id", "query_id", "query", *[x for x in c.columns if x != "doc_id"]))
-    found = found.groupBy("query_id").agg(F.collect_set("source_file").alias("source_files"), F.collect_set("business_tag").alias("source_tags"))
+    """Benchmark passages with the sources and languages of the documents that contain them."""
+    q, c = asked(spark, sf_dir), chunks(spark, sf_dir).select("text", "source_file", "business_tag")
+    found = passages.holding(c, q).groupBy("query_id").agg(F.collect_set("source_file").alias("source_files"), F.collect_set("business_tag").alias("source_tags"))
     out = q.join(materialize(found, "found"), "query_id", "left")
     return out.select("query_id", "query", F.coalesce("source_files", F.array().cast("array<string>")).alias("source_files"), F.coalesce("source_tags", F.array().cast("array<string>")).alias("source_tags"), F.col("source_files").isNull().alias("negative_sample"), (F.col("query_id") % 4 == 0).alias("is_table_question"))
 
