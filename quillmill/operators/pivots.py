@@ -82,9 +82,9 @@ def build(vectors: DataFrame, metric: str = "cosine", tag: str | None = None, mo
                 continue
             m = _matrix(b.column("vector"))
             norm = np.linalg.norm(m, axis=1)
-            angle = _angles(_unit(m), pivots)
-            cell = np.where(norm > 0, angle.argmin(axis=1), -1)
-            least = np.where(norm > 0, angle.min(axis=1), 0.0)
+            near = _unit(m) @ pivots.T
+            cell = np.where(norm > 0, near.argmax(axis=1), -1)
+            least = np.where(norm > 0, np.arccos(np.clip(near.max(axis=1), -1, 1)), 0.0)
             yield pa.RecordBatch.from_arrays([b.column("tag"), pa.array(cell.astype(np.int32)), pa.array(least), pa.array(norm), b.column("chunk"), b.column("vector")], names=["tag", "cell", "angle", "norm", "chunk", "vector"])
 
     placed = src.mapInArrow(assign, "tag string, cell int, angle double, norm double, chunk bigint, vector array<double>")
@@ -106,6 +106,18 @@ def _bounds(metric: str, angle: np.ndarray, norm: np.ndarray, x: dict) -> np.nda
     return best if metric == "cosine" else norm * np.where(best > 0, best * x["high_norm"], best * x["low_norm"])
 
 
+def _best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, column) of the k greatest scores of each row, ties by id. Only scores from the k-th on are sorted."""
+    if s.shape[1] > k:
+        row, at = np.nonzero(s >= np.partition(s, -k, axis=1)[:, -k:].min(axis=1, keepdims=True))
+    else:
+        row, at = (x.ravel() for x in np.indices(s.shape))
+    order = np.lexsort((ids[at], -s[row, at], row))
+    row, at = row[order], at[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], ids[at[first]], at[first]
+
+
 def _visit(cells: Cells, asked: DataFrame, visits: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk, score): the k best of each block for the queries that visit its cell: visits (query_id, tag, cell,
     angle, limit). Queries go along in packs; a block's own bound is looked at once more before its vectors are multiplied."""
@@ -132,8 +144,8 @@ def _visit(cells: Cells, asked: DataFrame, visits: DataFrame, k: int) -> DataFra
                 if not len(near):
                     continue
                 s = np.round((_unit(q) if metric == "cosine" else q)[near] @ m.T, 6)
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries[near], order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "chunk", "score"])
+                row, best, at = _best(s, ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(queries[near][row]), pa.array(best), pa.array(s[row, at])], names=["query_id", "chunk", "score"])
 
     met = packs.join(cells.blocks, ["tag", "cell"])
     return met.mapInArrow(score, "query_id bigint, chunk bigint, score double")

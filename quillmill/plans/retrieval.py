@@ -14,7 +14,7 @@ from ..functions.rules import TERMS
 from ..functions.text import token_pattern, words
 from ..operators import dense, evaluate, fuse, names, passages, pivots, postings, rerank
 from ..operators.stores import VariantStore
-from ..sources.shared import materialize, new_path, spread
+from ..sources.shared import materialize, new_path
 from .registry import query, table, view
 
 # Views.
@@ -416,6 +416,10 @@ def hashed(texts: DataFrame, key: str, text: str) -> DataFrame:
     return d.groupBy(key, (F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("bigint") % 64).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def md5_buckets(tokens: list[str]) -> np.ndarray:
+    return np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64 for w in tokens], np.int64)
+
+
 def hashed_vector(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, vector) of 64 counts of each text that has tokens; keys are unique. A task hashes each token of a batch once."""
 
@@ -425,8 +429,7 @@ def hashed_vector(texts: DataFrame, key: str, text: str) -> DataFrame:
                 part = b.slice(lo, 512)
                 ts = part.column("ts")
                 found, n = ts.flatten().dictionary_encode(), pc.list_value_length(ts).to_numpy(zero_copy_only=False)
-                bucket = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64 for w in found.dictionary.to_pylist()], np.int64)
-                at = np.repeat(np.arange(len(n)), n) * 64 + bucket[found.indices.to_numpy(zero_copy_only=False)]
+                at = np.repeat(np.arange(len(n)), n) * 64 + md5_buckets(found.dictionary.to_pylist())[found.indices.to_numpy(zero_copy_only=False)]
                 counts = np.bincount(at, minlength=64 * len(n)).astype(np.float64)
                 vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * len(n) + 1, 64, dtype=np.int32)), pa.array(counts))
                 yield pa.RecordBatch.from_arrays([part.column("key"), vectors], names=[key, "vector"])
@@ -445,9 +448,9 @@ def hashed_vectors(spark, sf_dir):
 
 
 def text_legs(spark, sf_dir) -> DataFrame:
-    """BM25 and dense search over the documents, the latter by hashed token vectors."""
+    """BM25 and dense search over the documents, the latter by hashed token vectors, which the index's postings make."""
     lexical_leg = bm25_topk(spark, sf_dir).withColumn("leg", F.lit(1))
-    q, v = hashed_vector(asked(spark, sf_dir), "query_id", "query"), hashed_vector(spread(chunks(spark, sf_dir).select("doc_id", "text")), "doc_id", "text").withColumnRenamed("doc_id", "chunk")
+    q, v = hashed_vector(asked(spark, sf_dir), "query_id", "query"), postings.token_vectors(bm25_tables(spark, sf_dir), md5_buckets, 64)
     near = dense.knn_topk(q, materialize(v, "vectors"), 10)  # the cells' build reads the vectors three times
     return materialize(lexical_leg.unionByName(near.withColumn("leg", F.lit(2))), "text-legs").withColumnRenamed("chunk", "key")
 

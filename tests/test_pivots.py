@@ -57,3 +57,12 @@ def test_empty(spark):
     assert pivots.search(pivots.build(spark.createDataFrame(made(1, 5), schema.format("chunk"))), q.limit(0)).count() == 0
     with pytest.raises(ValueError):
         pivots.build(none, "other")
+
+
+def test_best_sorts_what_ties_leave():
+    rng = np.random.default_rng(3)
+    for n in (1, 3, 4, 50):
+        s, ids = np.round(rng.random((20, n)), 1), rng.permutation(n) + 7
+        row, best, at = pivots._best(s, ids, 3)
+        want = [(r, i, c) for r in range(20) for _, i, c in sorted((-s[r, c], ids[c], c) for c in range(n))[:3]]
+        assert list(zip(row, best, at)) == want

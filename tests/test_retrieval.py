@@ -3,7 +3,7 @@
 import hashlib
 import re
 
-from quillmill.operators import pivots
+from quillmill.operators import pivots, postings
 from quillmill.plans import retrieval
 
 
@@ -25,3 +25,12 @@ def test_few_queries_are_one_pack_a_cell(spark):
     visits = asked.selectExpr("query_id", "tag", "0 AS cell", "0D AS angle", "CAST(NULL AS DOUBLE) AS limit")
     plan = pivots._visit(cells, asked, visits, 3)._jdf.queryExecution().executedPlan().toString()
     assert "pmod(xxhash64(query_id" in plan and ", 16)" not in plan
+
+
+def test_vectors_of_the_index(spark, tmp_path):
+    """The index's postings make the vectors that the texts make, without a look at the texts."""
+    texts = [(i, " ".join(f"w{i * j % 37}" if j % 3 else "学生 the" for j in range(i % 11))) for i in range(100)] + [(100, ""), (101, None), (102, "ñu 学生 42 ñu")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    index = postings.write_index(docs, str(tmp_path / "index"), per_range=4)
+    got = {r["chunk"]: r["vector"] for r in postings.token_vectors(index, retrieval.md5_buckets, 64).collect()}
+    assert got == {r["doc_id"]: r["vector"] for r in retrieval.hashed_vector(docs, "doc_id", "text").collect()}
