@@ -1,8 +1,10 @@
 """Scalar rules on hand-written rows."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from quillmill.functions import clean, meta, structure
+from quillmill.functions import clean, meta, rules, structure, text
 from quillmill.operators import chunk
 
 
@@ -71,3 +73,21 @@ def test_build_corpus(spark):
     meta_of = {r.doc_id: r for r in meta.extract_metadata(plain.join(docs.select("doc_id", "source_file").distinct(), "doc_id")).collect()}
     assert all(r[c] == meta_of[r.doc_id][c] for r in got for c in ("file_type", "business_tag", "academic_year", "chapter", "doc_type", "effective_date", "scope", "update_time"))
     assert chunk.build_corpus(docs.limit(0)).count() == 0 and chunk.build_corpus(docs, strategy="recursive").where("heading_path != ''").count() == 0
+
+
+def test_tokens_of_batches(spark):
+    """Texts are cut as the engine's pattern cuts them: every character, terms that overlap or span texts, odd cases and lengths."""
+    rng = random.Random(3)
+    letters = ["a", "Z", "É", "İ", "ß", "7", "٣", " ", "-", "\n", "々", "〇", "学", "分", "要", "求", "한", "𠀀", "𝔸", "😀", "é", *rules.TERMS]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(400)]
+    texts += ["", "学分", "要求", "", "毕业要求求", "专业选修专业必修通识选修", "学分要求学分要求", "abc", "abc12学x", ""]
+    texts += ["".join(chr(i) for i in range(lo, lo + 2048) if not 0xD800 <= i < 0xE000) for lo in range(0, 0x110000, 2048)]
+    texts += ["".join(f"{chr(i)} " for i in range(lo, lo + 2048) if not 0xD800 <= i < 0xE000) for lo in range(0, 0x32000, 2048)]
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", F.lower("t").alias("low"), text.words(F.col("t")).alias("ts")).orderBy("k").toArrow()
+    table = text.code_points(spark)
+    for lo, hi in ((0, len(texts)), (3, 405), (395, 410), (401, 401), (400, 401)):
+        part = d.column("low").combine_chunks().slice(lo, hi - lo)
+        ts, counts = text.cut(part, table, rules.TERMS)
+        want = d.column("ts").slice(lo, hi - lo).to_pylist()
+        assert counts.tolist() == [len(w) for w in want]
+        assert ts.to_pylist() == [t for w in want for t in w]
