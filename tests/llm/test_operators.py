@@ -95,6 +95,37 @@ def test_substrings_of_periodic_texts(spark, hot):
     assert got == sorted(want) and sum(w[2] for w in want)
 
 
+def _shuffled(spark) -> int:
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_copies_of_long_texts_are_not_looked_up_by_window(spark):
+    """Whole and edited copies of long texts, in no order and one without id: right, and shuffled as pieces."""
+    r = random.Random(11)
+    texts = [(100 + i, prose(40 + i, 2500)) for i in range(8)]
+    edited = lambda t: t[:3000] + "~" + t[3001:9000] + t[9010:]
+    copies = [(200 + 10 * k + i, edited(t) if k == 3 else "Before. " + t if k == 4 else t) for k in range(6) for i, (_, t) in enumerate(texts)] + [(7, texts[0][1]), (None, texts[1][1])]
+    r.shuffle(copies)
+    began = _shuffled(spark)
+    substrings.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    alone = _shuffled(spark) - began
+    got = sorted((x.doc_id or -1, x.n_bytes, x.n_removed, x.n_spans) for x in substrings.remove_repeats(spark.createDataFrame(texts + copies, "doc_id long, text string")).collect())
+    both = _shuffled(spark) - began - alone
+    seen, want = set(), [(-1, len(texts[1][1]), 0, 0)]
+    for i, t in sorted((x for x in texts + copies if x[0]), key=lambda x: x[0]):
+        windows = [t[p : p + 50] for p in range(len(t) - 49)]
+        hit = [False] * len(t)
+        for p, w in enumerate(windows):
+            if w in seen:
+                hit[p : p + 50] = [True] * 50
+        seen.update(windows)
+        want.append((i, len(t), sum(hit), sum(h and not (k and hit[k - 1]) for k, h in enumerate(hit))))
+    assert got == sorted(want)
+    assert both < 4 * alone + 200_000, (alone, both)
+
+
 def test_decontaminate(spark, docs, none):
     bench = spark.createDataFrame([(1, " ".join(BASE.split()[5:25])), (2, "W3"), (3, None), (None, BASE), (1, " ".join(BASE.split()[5:25]))], "item_id long, text string")
     for rows in (400_000, 3):  # one block, and several passes
