@@ -20,6 +20,8 @@ ANGLE_SLACK, SCORE_SLACK = 1e-6, 2e-6
 #: Pivots are at most so many vectors; they alone are known to every task.
 MOST_PIVOTS = 1024
 BLOCK, PACK = 1024, 256
+#: Rows of bounds of cells up to which they are broadcast; more are joined.
+BROADCAST_CELLS = 100_000
 
 
 @dataclass(frozen=True)
@@ -124,12 +126,19 @@ def _visit(cells: Cells, asked: DataFrame, visits: DataFrame, k: int) -> DataFra
     metric = cells.metric
     # A cell's blocks are copied for each of its packs, so there are no more packs than queries fill.
     salts = max(1, min(16, asked.count() // PACK))
-    going = visits.join(asked, ["query_id", "tag"]).withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(salts)).cast("int"))
+
+    def packed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("tag"), pa.array([m.tobytes() for m in _matrix(b.column("vector"))], pa.binary())], names=["query_id", "tag", "vector"])
+
+    # A query goes along with each of its visits: as bytes, that Python needn't take apart.
+    vectors = asked.mapInArrow(packed, "query_id bigint, tag string, vector binary")
+    going = visits.join(vectors, ["query_id", "tag"]).withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(salts)).cast("int"))
     going = going.repartition("tag", "cell", "salt").sortWithinPartitions("tag", "cell", "salt")
 
     def pack(batches):
         for x in _packed(batches, ("tag", "cell", "salt"), PACK):
-            row = [x["tag"][0], x["cell"][0], x["query_id"], x["angle"], [-math.inf if v is None else v for v in x["limit"]], np.array(x["vector"], np.float64).tobytes()]
+            row = [x["tag"][0], x["cell"][0], x["query_id"], x["angle"], [-math.inf if v is None else v for v in x["limit"]], b"".join(x["vector"])]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary()))], names=["tag", "cell", "queries", "angles", "limits", "asked"])
 
     packs = going.select("tag", "cell", "salt", "query_id", "angle", "limit", "vector").mapInArrow(pack, "tag string, cell int, queries array<bigint>, angles array<double>, limits array<double>, asked binary")
@@ -170,6 +179,9 @@ def searched(cells: Cells, queries: DataFrame, k: int = 10, tag: str | None = No
                 yield pa.RecordBatch.from_arrays([b.column("query_id").take(at), b.column("tag").take(at), pa.array(np.append(cell, [-1] * len(m)).astype(np.int32)), pa.array(np.append(a.ravel(), np.zeros(len(m)))), pa.array(np.linalg.norm(m, axis=1)).take(at)], names=["query_id", "tag", "cell", "angle", "norm"])
 
     around = cells.blocks.groupBy("tag", "cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("low_norm").alias("low_norm"), F.max("high_norm").alias("high_norm"))
+    # Left to itself Spark takes the angles, a row for each query and pivot, for as small as the queries and may send them through the driver.
+    around = materialize(around, "cells")
+    around = F.broadcast(around) if around.count() <= BROADCAST_CELLS else around.hint("merge")
     met = asked.mapInArrow(angles, "query_id bigint, tag string, cell int, angle double, norm double").join(around, ["tag", "cell"])
     gap = F.greatest(F.greatest(F.col("angle") - F.col("hi"), F.col("lo") - F.col("angle")) - ANGLE_SLACK, F.lit(0.0))
     best = F.cos(gap)

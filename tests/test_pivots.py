@@ -66,3 +66,16 @@ def test_best_sorts_what_ties_leave():
         row, best, at = pivots._best(s, ids, 3)
         want = [(r, i, c) for r in range(20) for _, i, c in sorted((-s[r, c], ids[c], c) for c in range(n))[:3]]
         assert list(zip(row, best, at)) == want
+
+
+def test_angles_of_queries_are_not_broadcast(spark, monkeypatch):
+    """A row for each query and pivot stays in the tasks; the cells' bounds go to them, or both are shuffled where these are many."""
+    plans, write = {}, pivots.materialize
+    monkeypatch.setattr(pivots, "materialize", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or write(df, name))
+    schema, queries, vectors = "{0} long, vector array<double>, tag string", made(2, 40), made(1, 400)
+    cells = pivots.build(spark.createDataFrame(vectors, schema.format("chunk")), tag="tag", block=16)
+    for most, join in ((100_000, "BuildRight"), (1, "SortMergeJoin")):
+        monkeypatch.setattr(pivots, "BROADCAST_CELLS", most)
+        found = pivots.search(cells, spark.createDataFrame(queries, schema.format("query_id")), 5, "tag")
+        assert join in plans["cell-bounds"] and "BuildLeft" not in plans["cell-bounds"]
+        same([tuple(x) for x in found.select("query_id", "chunk", "score", "rank").collect()], list(expected(queries, vectors, 5, "cosine", True)))
