@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
 from . import pivots
 
 
@@ -22,7 +23,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 def knn_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine", tag: str | None = None) -> DataFrame:
     """(query_id, chunk, score, rank) of the k nearest: queries (query_id, vector[, tag]) against vectors (chunk, vector[, tag]),
-    with tag only those of the query's tag. Searches that share a table build its cells once (see pivots)."""
+    with tag only those of the query's tag. Few queries meet all vectors in one reading, as dealing the vectors to cells would
+    take as many products. Searches that share a table build its cells once (see pivots)."""
+    queries = materialize(queries, "queries")
+    n, values = queries.agg(F.count("*"), F.sum(F.size("vector"))).first()
+    if n <= pivots.MOST_PIVOTS and (values or 0) <= pivots.SCANNED:
+        return pivots.scan(vectors, queries, k, metric, tag)
+    vectors = materialize(vectors, "vectors")  # the cells' build reads them three times
     return pivots.search(pivots.build(vectors, metric, tag), queries, k, tag)
 
 

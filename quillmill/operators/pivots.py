@@ -22,6 +22,8 @@ MOST_PIVOTS = 1024
 BLOCK, PACK = 1024, 256
 #: Rows of bounds of cells up to which they are broadcast; more are joined.
 BROADCAST_CELLS = 100_000
+#: Values of all queries' vectors up to which scan() may be asked, and scores that it looks at at once.
+SCANNED, SCORES = 1 << 20, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -120,6 +122,47 @@ def _best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     return row[first], ids[at[first]], at[first]
 
 
+def scan(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", tag: str | None = None) -> DataFrame:
+    """search() without cells: all queries go to the tasks, which read the vectors once and keep the k best of each query."""
+    if metric not in ("cosine", "dot"):
+        raise ValueError(f"unknown metric {metric}")
+    rows = _tagged(queries, tag, F.col("query_id").cast("bigint").alias("query_id")).collect()
+    unit = _unit if metric == "cosine" else lambda m: m
+    asked = (np.array([r["query_id"] for r in rows], np.int64), np.array([r["tag"] for r in rows], object), unit(np.array([r["vector"] for r in rows], np.float64)) if rows else None)
+    sent = vectors.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches):
+        ids, tags, q = sent.value
+        held: list[tuple] = []
+
+        def kept() -> tuple:
+            row, s, chunk = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((chunk, -s, row))
+            row, s, chunk = row[order], s[order], chunk[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            return row[first], s[first], chunk[first]
+
+        step = max(1, SCORES // max(len(ids), 1))
+        for b in batches if len(ids) else ():
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                chunks = part.column("chunk").to_numpy(zero_copy_only=False)
+                s = np.round(q @ unit(_matrix(part.column("vector"))).T, 6)
+                if tag:
+                    s[tags[:, None] != part.column("tag").to_numpy(zero_copy_only=False)] = -math.inf
+                row, best, at = _best(s, chunks, k)
+                some = s[row, at] > -math.inf
+                held.append((row[some], s[row, at][some], best[some]))
+                if sum(len(x[0]) for x in held) > max(1 << 18, 2 * k * len(ids)):
+                    held = [kept()]
+        if held:
+            row, s, chunk = kept()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(chunk), pa.array(s)], names=["query_id", "chunk", "score"])
+
+    src = _tagged(vectors, tag, F.col("chunk").cast("bigint").alias("chunk"))
+    return top_k(src.mapInArrow(run, "query_id bigint, chunk bigint, score double"), k)
+
+
 def _visit(cells: Cells, asked: DataFrame, visits: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk, score): the k best of each block for the queries that visit its cell: visits (query_id, tag, cell,
     angle, limit). Queries go along in packs; a block's own bound is looked at once more before its vectors are multiplied."""

@@ -416,8 +416,12 @@ def hashed(texts: DataFrame, key: str, text: str) -> DataFrame:
     return d.groupBy(key, (F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("bigint") % 64).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def md5_buckets(tokens: list[str]) -> np.ndarray:
-    return np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64 for w in tokens], np.int64)
+def md5_buckets(tokens: pa.Array) -> np.ndarray:
+    """The bucket of each token: the first eight hex digits of its md5, of which the fourth byte counts, modulo 64."""
+    tokens = tokens.cast(pa.large_binary())
+    ends = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset : tokens.offset + len(tokens) + 1].tolist() if len(tokens) else [0]
+    data = tokens.buffers()[2].to_pybytes() if len(tokens) and tokens.buffers()[2] else b""
+    return np.array([hashlib.md5(data[i:j], usedforsecurity=False).digest()[3] for i, j in zip(ends, ends[1:])], np.int64) % 64
 
 
 def hashed_vector(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -429,7 +433,7 @@ def hashed_vector(texts: DataFrame, key: str, text: str) -> DataFrame:
                 part = b.slice(lo, 512)
                 ts = part.column("ts")
                 found, n = ts.flatten().dictionary_encode(), pc.list_value_length(ts).to_numpy(zero_copy_only=False)
-                at = np.repeat(np.arange(len(n)), n) * 64 + md5_buckets(found.dictionary.to_pylist())[found.indices.to_numpy(zero_copy_only=False)]
+                at = np.repeat(np.arange(len(n)), n) * 64 + md5_buckets(found.dictionary)[found.indices.to_numpy(zero_copy_only=False)]
                 counts = np.bincount(at, minlength=64 * len(n)).astype(np.float64)
                 vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * len(n) + 1, 64, dtype=np.int32)), pa.array(counts))
                 yield pa.RecordBatch.from_arrays([part.column("key"), vectors], names=[key, "vector"])
@@ -451,7 +455,7 @@ def text_legs(spark, sf_dir) -> DataFrame:
     """BM25 and dense search over the documents, the latter by hashed token vectors, which the index's postings make."""
     lexical_leg = bm25_topk(spark, sf_dir).withColumn("leg", F.lit(1))
     q, v = hashed_vector(asked(spark, sf_dir), "query_id", "query"), postings.token_vectors(bm25_tables(spark, sf_dir), md5_buckets, 64)
-    near = dense.knn_topk(q, materialize(v, "vectors"), 10)  # the cells' build reads the vectors three times
+    near = dense.knn_topk(q, v, 10)
     return materialize(lexical_leg.unionByName(near.withColumn("leg", F.lit(2))), "text-legs").withColumnRenamed("chunk", "key")
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quillmill.operators import pivots
+from quillmill.operators import dense, pivots
 
 
 def made(seed, n, dim=16, spread=0.1):
@@ -79,3 +79,22 @@ def test_angles_of_queries_are_not_broadcast(spark, monkeypatch):
         found = pivots.search(cells, spark.createDataFrame(queries, schema.format("query_id")), 5, "tag")
         assert join in plans["cell-bounds"] and "BuildLeft" not in plans["cell-bounds"]
         same([tuple(x) for x in found.select("query_id", "chunk", "score", "rank").collect()], list(expected(queries, vectors, 5, "cosine", True)))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot"])
+@pytest.mark.parametrize("tagged", [False, True])
+def test_few_queries_read_the_vectors_once(spark, monkeypatch, metric, tagged):
+    """Few queries are answered without cells, more by cells, alike; whole ties, zeros and nulls among them."""
+    vectors = [*made(1, 300), (900, [0.0] * 16, "t0"), (901, None, "t1"), *[(1000 + i, made(1, 3)[2][1], "t2") for i in range(30)]]
+    queries = [*made(2, 25), (500, None, "t1"), (501, [0.0] * 16, "t0"), (502, made(3, 1)[0][1], "nowhere")]
+    schema, tag = "{0} long, vector array<double>, tag string", "tag" if tagged else None
+    v, q = spark.createDataFrame(vectors, schema.format("chunk")), spark.createDataFrame(queries, schema.format("query_id"))
+    built, build = [], pivots.build
+    monkeypatch.setattr(pivots, "build", lambda *a, **o: built.append(a) or build(*a, **o))
+    monkeypatch.setattr(pivots, "SCORES", 64, raising=False)
+    for most, cells in ((1 << 20, 0), (1, 1)):
+        monkeypatch.setattr(pivots, "SCANNED", most, raising=False)
+        found = dense.knn_topk(q, v, 7, metric, tag)
+        same([tuple(x) for x in found.select("query_id", "chunk", "score", "rank").collect()], list(expected(queries, vectors, 7, metric, tagged)))
+        assert len(built) == cells
+    assert dense.knn_topk(q.limit(0), v).count() == 0 and dense.knn_topk(q, v.limit(0)).count() == 0
